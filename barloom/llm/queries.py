@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing
+from . import chat, langid, line_dedup, mixing, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_mixing": mixing.op5_mixing,
+        "op7_language_id": langid.op7_language_id,
+        "op8_tiff": tiff.op8_tiff,
+        "op10_chat": chat.op10_chat,
     }
 
 
