@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, langid, line_dedup, mixing, tiff
+from . import chat, langid, line_dedup, mixing, packing, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_mixing": mixing.op5_mixing,
         "op7_language_id": langid.op7_language_id,
         "op8_tiff": tiff.op8_tiff,
+        "op9_packing": packing.op9_packing,
         "op10_chat": chat.op10_chat,
     }
 
