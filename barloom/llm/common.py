@@ -69,3 +69,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return pairs.union(roots)
+
+
+def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Marks the side of a join for broadcast if a count shows at most ``rows`` (narrow) rows; else leaves the plan open.
+
+    The count reads a checkpointed table, so it costs one small job.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
