@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, line_dedup, mixing, packing, tiff
+from . import chat, html, langid, line_dedup, mixing, near_vectors, packing, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": html.op1_html,
+        "op2_near_vectors": near_vectors.op2_near_vectors,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op7_language_id": langid.op7_language_id,
