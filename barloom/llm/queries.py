@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, line_dedup, mixing, near_vectors, packing, tiff
+from . import chat, hmm, html, langid, line_dedup, mixing, near_vectors, packing, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_near_vectors": near_vectors.op2_near_vectors,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_mixing": mixing.op5_mixing,
+        "op6_hmm": hmm.op6_hmm,
         "op7_language_id": langid.op7_language_id,
         "op8_tiff": tiff.op8_tiff,
         "op9_packing": packing.op9_packing,
