@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hmm, html, langid, line_dedup, mixing, near_vectors, packing, tiff
+from . import chat, hmm, html, jaccard, langid, line_dedup, mixing, near_vectors, packing, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html": html.op1_html,
         "op2_near_vectors": near_vectors.op2_near_vectors,
+        "op3_jaccard": jaccard.op3_jaccard,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_hmm": hmm.op6_hmm,
