@@ -6,6 +6,7 @@ import base64
 import re
 import sys
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -131,60 +132,61 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [b for group in bins.values() for b in group]
 
 
-def fillings(counts: dict[int, int], room: int, width: int, steps: int = 4000) -> list[Pattern]:
+def fillings(counts: dict[int, int], free: list[int], room: int, width: int, budget: list[int]) -> list[Pattern]:
     """Undominated sets of lengths that fill ``room``, least waste first (then fewer, larger ones); ``width`` at most.
 
     A filling is dominated if a free length no larger than one of its lengths (or two of them together) plus
-    the waste could take that place.
+    the waste could take that place. ``free`` holds the lengths in ascending order. Ends when ``budget`` steps are spent.
     """
-    free = sorted((x for x, n in counts.items() if n and x <= room), reverse=True)
     found: list[tuple[int, int, Pattern]] = []
-    budget = [steps]
+
+    def between(lo: int, hi: int, used: Counter) -> bool:
+        """Whether a free length x has lo <= x <= hi."""
+        i = bisect_right(free, hi) - 1
+        while i >= 0 and free[i] >= lo:
+            if counts[free[i]] > used[free[i]]:
+                return True
+            i -= 1
+        return False
 
     def dominated(chosen: list[int], waste: int) -> bool:
         used = Counter(chosen)
         pairs = [a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]] if len(chosen) <= 6 else []
-        for x in free:
-            if counts[x] > used[x] and (any(y < x <= y + waste for y in chosen) or any(p <= x <= p + waste for p in pairs)):
-                return True
-        return False
+        return waste > 0 and (any(between(y + 1, y + waste, used) for y in chosen) or any(between(p, p + waste, used) for p in pairs))
 
-    def go(at: int, left: int, chosen: list[int]) -> bool:
-        """True once no better filling can come."""
+    def go(top: int, left: int, chosen: list[int]) -> bool:
+        """Fills with lengths up to free[top]; true once no better filling can come."""
         budget[0] -= 1
-        if budget[0] < 0:
-            return True
         grew = False
-        for i in range(at, len(free)):
+        for i in range(min(top, bisect_right(free, left) - 1), -1, -1):
             x = free[i]
-            if x > left or chosen.count(x) >= counts[x]:
-                continue
-            grew = True
-            if go(i, left - x, [*chosen, x]):
-                return True
-        if not grew and not any(x <= left and chosen.count(x) < counts[x] for x in free[:at]) and not dominated(chosen, left):
+            if chosen.count(x) < counts[x]:
+                grew = True
+                if go(i, left - x, [*chosen, x]) or budget[0] < 0:
+                    return True
+        if not grew and not between(1, left, Counter(chosen)) and not dominated(chosen, left):
             found.append((left, len(chosen), tuple(chosen)))
-            return left == 0 and len(found) >= width
+            return len(found) >= (1 if left == 0 else 8 * width)
         return False
 
-    go(0, room, [])
-    if not found:  # the search ran out of steps: the greedy filling stands in
+    go(len(free) - 1, room, [])
+    if not found:  # out of steps: the greedy filling stands in
         chosen, left = [], room
-        for x in free:
-            while x <= left and chosen.count(x) < counts[x]:
-                chosen.append(x)
-                left -= x
+        for x in reversed(free):
+            k = min(left // x, counts[x])
+            chosen += [x] * k
+            left -= k * x
         found.append((left, len(chosen), tuple(chosen)))
     return [f for _, _, f in sorted(found)[:width]]
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4) -> tuple[Packing, int]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4, steps: int = 200_000) -> tuple[Packing, int]:
     """Packs a histogram (length: number) into few bins; returns the packing and a lower bound on its size.
 
     Best-fit decreasing gives the first incumbent. The search then takes the largest length left, tries its
     undominated fillings and repeats each as often as the numbers allow, drops branches whose waste already
-    exceeds what a better packing may waste, and ends at the bound or after ``nodes``. Work depends on how
-    many different lengths there are, not on the number of documents.
+    exceeds what a better packing may waste, and ends at the bound, or after ``nodes`` branches or ``steps`` of
+    enumeration. Work depends on how many different lengths there are, not on the number of documents.
     """
     total = sum(x * n for x, n in counts.items())
     bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
@@ -193,7 +195,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, wid
     if size == bound:
         return best, bound
     stack: list[tuple[dict[int, int], int, int, object]] = [({x: n for x, n in counts.items() if n}, 0, 0, None)]
-    while stack and nodes:
+    budget = [steps]
+    while stack and nodes and budget[0] > 0:
         nodes -= 1
         left, used, waste, path = stack.pop()
         if waste > (size - 1) * capacity - total:
@@ -211,7 +214,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, wid
         rest = dict(left)
         rest[largest] -= 1
         branches = []
-        for filling in fillings(rest, capacity - largest, width):
+        for filling in fillings(rest, sorted(x for x, n in rest.items() if n), capacity - largest, width, budget):
             pattern = (largest, *filling)
             need = Counter(pattern)
             times = min(left[x] // k for x, k in need.items())
