@@ -34,6 +34,11 @@ def _bars(spark: SparkSession, sf: str) -> DataFrame:
     return cal.with_session(src.bars_from_events(spark, sf))
 
 
+def _feats(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide rows, kept (memory, then disk) while a session asks several times for the same tape."""
+    return ft.features(spark, sf).persist()
+
+
 # -- sources -----------------------------------------------------------------------------------------------
 
 
@@ -154,7 +159,7 @@ def _(spark, sf):
 
 @query("val_avail", f"WITH {O.EVS} SELECT e.symbol, e.ce, e.event, g.mid_os + 1800 <= e.ce AS ok FROM evs e JOIN gaps g ON e.symbol = g.symbol AND e.ce = g.ce AND e.event = 'fvg_formed_' || g.side")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     g = ft.gaps(f)
     return g.select("symbol", "ce", F.concat(F.lit("fvg_formed_"), "side").alias("event"), (F.col("mid_os") + src.INTERVAL <= F.col("ce")).alias("ok"))
 
@@ -236,7 +241,7 @@ for _name in [*ft.STATE, "above_vwap"]:
     else:
         _sql = _expr
     SQL[f"f_{_name}"] = f"WITH {O.FEATS} SELECT symbol, ce, {_sql} AS value FROM feats WHERE {_sql} IS NOT NULL"
-    QUERIES[f"f_{_name}"] = lambda spark, sf, e=_expr: ft.features(spark, sf).select("symbol", "ce", F.expr(e).alias("value")).where("value is not null")
+    QUERIES[f"f_{_name}"] = lambda spark, sf, e=_expr: _feats(spark, sf).select("symbol", "ce", F.expr(e).alias("value")).where("value is not null")
 
 _MAKERS = {
     "session_open": ft.session_events, "session_close": ft.session_events, "opening_range_established": ft.opening_range_events, "or_high_broken": ft.opening_range_events, "or_low_broken": ft.opening_range_events,
@@ -245,12 +250,12 @@ _MAKERS = {
 }
 for _name, _make in _MAKERS.items():
     SQL[f"e_{_name}"] = f"WITH {O.FEATS},\n{O.GAPS}\nSELECT symbol, session_date, ce, event, round(value, 6) AS value, reference FROM ({O.EVENTS[_name]})"
-    QUERIES[f"e_{_name}"] = lambda spark, sf, n=_name, m=_make: m(ft.features(spark, sf)).where(F.col("event") == n).withColumn("value", F.round("value", 6))
+    QUERIES[f"e_{_name}"] = lambda spark, sf, n=_name, m=_make: m(_feats(spark, sf)).where(F.col("event") == n).withColumn("value", F.round("value", 6))
 
 
 @query("records_long", f"WITH {O.FEATS} SELECT symbol, session_date, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT symbol, session_date FROM feats WHERE {'phase' if x == 'phase' else 'vwap' if x in ('above_vwap', 'distance_to_vwap') else x.removeprefix('distance_to_')} IS NOT NULL" for x in [*ft.STATE, "phase", "above_vwap"]) + ") GROUP BY ALL")
 def _(spark, sf):
-    return ft.records(ft.features(spark, sf)).groupBy("symbol", "session_date").agg(F.count("*").alias("n"))
+    return ft.records(_feats(spark, sf)).groupBy("symbol", "session_date").agg(F.count("*").alias("n"))
 
 
 # -- joins -------------------------------------------------------------------------------------------------
@@ -272,31 +277,31 @@ def _(spark, sf):
     return pt.reference_bar(m, src.bars_from_events(spark, sf)).select(F.col("id").alias("event_id"), "ref_ce", "ref_c")
 
 
-@query("j_forward_window", f"WITH {O.FEATS},\n{O.GAPS},\na AS ({O.EVENTS['displacement_up']}) SELECT a.symbol, a.ce, count(*) AS n, sum(b.c) AS closes FROM a JOIN bars b ON a.symbol = b.symbol AND b.ce > a.ce AND b.ce <= a.ce + 14400 GROUP BY ALL")
+@query("j_forward_window", f"WITH {O.FEATS},\n{O.GAPS},\na AS ({O.EVENTS['displacement_up']}) SELECT a.symbol, a.ce, count(*) AS n, CAST(sum(b.c) AS BIGINT) AS closes FROM a JOIN bars b ON a.symbol = b.symbol AND b.ce > a.ce AND b.ce <= a.ce + 14400 GROUP BY ALL")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     return pt.interval_join(ft.displacement_events(f).where("event = 'displacement_up'").select("symbol", "ce"), f, 14400).groupBy("symbol", "ce").agg(F.count("*").alias("n"), F.sum("b_c").alias("closes"))
 
 
 @query("j_recent_events", f"WITH {O.EVS} SELECT a.symbol, a.ce, a.event, coalesce(a.reference, '') AS reference, string_agg(DISTINCT b.event, ',' ORDER BY b.event) AS recent FROM (SELECT DISTINCT symbol, ce, event, reference FROM evs) a JOIN evs b ON a.symbol = b.symbol AND b.ce BETWEEN a.ce - 3600 AND a.ce GROUP BY ALL")
 def _(spark, sf):
-    e = ft.all_events(ft.features(spark, sf))
+    e = ft.all_events(_feats(spark, sf))
     return pt.recent_events(e, 3600).select("symbol", "ce", "event", F.coalesce("reference", F.lit("")).alias("reference"), "recent").distinct()
 
 
 @query("j_as_of_filter", f"WITH {O.EVS} SELECT symbol, event, count(*) AS n FROM evs WHERE ce <= 1705276800 GROUP BY ALL")
 def _(spark, sf):
-    return ft.all_events(ft.features(spark, sf)).where("ce <= 1705276800").groupBy("symbol", "event").agg(F.count("*").alias("n"))
+    return ft.all_events(_feats(spark, sf)).where("ce <= 1705276800").groupBy("symbol", "event").agg(F.count("*").alias("n"))
 
 
 @query("j_required_types", f"WITH {O.EVS} SELECT event, count(*) AS n FROM evs WHERE event IN ('sweep_high', 'sweep_low') GROUP BY event")
 def _(spark, sf):
-    return ft.all_events(ft.features(spark, sf)).where(F.col("event").isin("sweep_high", "sweep_low")).groupBy("event").agg(F.count("*").alias("n"))
+    return ft.all_events(_feats(spark, sf)).where(F.col("event").isin("sweep_high", "sweep_low")).groupBy("event").agg(F.count("*").alias("n"))
 
 
 @query("j_exclude", f"WITH {O.EVS} SELECT symbol, count(*) AS n FROM feats f WHERE NOT EXISTS (SELECT 1 FROM evs e WHERE e.symbol = f.symbol AND e.ce = f.ce AND e.event = 'displacement_up') GROUP BY symbol")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     own = ft.displacement_events(f).where("event = 'displacement_up'").select("symbol", "ce")
     return f.join(own, ["symbol", "ce"], "left_anti").groupBy("symbol").agg(F.count("*").alias("n"))
 
@@ -311,7 +316,7 @@ def _(spark, sf):
 
 for _h in pt.HORIZONS:
     SQL[f"p_path_{_h // 60}"] = f"WITH {O.FEATS},\n{O.paths('p', _h)} SELECT symbol, ce, terminal, max_up, max_down, max_up_at, max_down_at, n_path, truncated FROM p"
-    QUERIES[f"p_path_{_h // 60}"] = lambda spark, sf, h=_h: pt.with_paths(ft.features(spark, sf), h).select("symbol", "ce", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path", "truncated")
+    QUERIES[f"p_path_{_h // 60}"] = lambda spark, sf, h=_h: pt.with_paths(_feats(spark, sf), h).select("symbol", "ce", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path", "truncated")
 
 _ORIENT = """SELECT symbol, ce, d AS direction, CASE WHEN d = 'up' THEN terminal ELSE -terminal END AS signed, CASE WHEN d = 'up' THEN max_up ELSE -max_down END AS mfe, CASE WHEN d = 'up' THEN max_down ELSE -max_up END AS mae,
   CASE WHEN fav IS NULL AND adv IS NULL THEN NULL WHEN adv IS NULL THEN true WHEN fav IS NULL THEN false WHEN fav = adv THEN NULL ELSE fav < adv END AS favorable_first
@@ -320,7 +325,7 @@ _ORIENT = """SELECT symbol, ce, d AS direction, CASE WHEN d = 'up' THEN terminal
 
 @query("p_oriented", f"WITH {O.FEATS},\n{O.paths('p', 3600)} {_ORIENT}")
 def _(spark, sf):
-    p = pt.with_paths(ft.features(spark, sf), 3600).withColumn("direction", F.explode(F.array(F.lit("up"), F.lit("down"))))
+    p = pt.with_paths(_feats(spark, sf), 3600).withColumn("direction", F.explode(F.array(F.lit("up"), F.lit("down"))))
     return pt.oriented(p).select("symbol", "ce", "direction", "signed", "mfe", "mae", "favorable_first")
 
 
@@ -330,7 +335,7 @@ _HIT = f"""WITH {O.FEATS} SELECT symbol, ce, CASE WHEN fav IS NULL AND adv IS NU
 
 @query("p_hit_atr", _HIT)
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     return pt.hit_first(f, f, 14400)
 
 
@@ -342,7 +347,7 @@ _QUALITY = (
 q0 AS (SELECT *, CASE WHEN phase = 'rth' THEN (os - open_s) // 1800 END AS slot, (close_s - open_s) // 1800 AS n_slots, lag(c) OVER w AS bc, lead(o) OVER w AS ao FROM feats WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ce)),
 q1 AS (SELECT *, slot - coalesce(lag(slot) OVER (PARTITION BY symbol, session_date ORDER BY ce), -1) - 1 AS gap FROM q0 WHERE slot IS NOT NULL),
 q2 AS (SELECT symbol, session_date, max(gap) AS gap, max(slot) AS last_slot, count(DISTINCT slot) AS seen FROM q1 GROUP BY ALL),
-q3 AS (SELECT symbol, session_date, count(*) AS n_bars, sum(v) AS volume, count(*) FILTER (phase = 'rth') AS n_rth, count(*) FILTER (phase <> 'rth') AS n_overnight, max(n_slots) AS n_slots,
+q3 AS (SELECT symbol, session_date, count(*) AS n_bars, CAST(sum(v) AS BIGINT) AS volume, count(*) FILTER (phase = 'rth') AS n_rth, count(*) FILTER (phase <> 'rth') AS n_overnight, max(n_slots) AS n_slots,
    count(*) FILTER (bc IS NOT NULL AND ao IS NOT NULL AND least(bc, ao) > 0 AND h > greatest(bc, ao) * 201.0) AS n_bad, max(bar_range) AS max_range, list_sort(list(bar_range))[count(*) // 2 + 1] AS mid_range, bool_or(early) AS early FROM q0 GROUP BY ALL),
 q4 AS (SELECT q3.*, coalesce(seen, 0) / n_slots AS coverage, greatest(coalesce(gap, 0), n_slots - 1 - coalesce(last_slot, -1)) AS longest_gap, CASE WHEN mid_range > 0 THEN max_range / mid_range END AS range_ratio FROM q3 LEFT JOIN q2 USING (symbol, session_date)),
 q5 AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.6 OR n_rth < 4 THEN 'rth_coverage' END, CASE WHEN longest_gap > 4 THEN 'rth_contiguous_gap' END, CASE WHEN n_bad > 0 THEN 'implausible_print' END) AS exclusions,
@@ -352,18 +357,18 @@ q5 AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.6 OR n_rth < 4 THEN 'rth_
 
 @query("a_quality", f"WITH {_QUALITY} SELECT symbol, session_date, n_bars, volume, n_rth, n_overnight, coverage, longest_gap, n_bad, range_ratio, exclusions, observations, exclusions = '' AS passed FROM q5")
 def _(spark, sf):
-    return ql.quality(ft.features(spark, sf))
+    return ql.quality(_feats(spark, sf))
 
 
 @query("a_quality_summary", f"WITH {_QUALITY} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(exclusions, ',')) AS rule FROM q5 WHERE exclusions <> '' UNION ALL SELECT unnest(string_split(observations, ',')) FROM q5 WHERE observations <> '') GROUP BY rule")
 def _(spark, sf):
-    q = ql.quality(ft.features(spark, sf))
+    q = ql.quality(_feats(spark, sf))
     return q.select(F.explode(F.array_union(F.split("exclusions", ","), F.split("observations", ","))).alias("rule")).where("rule <> ''").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("a_passed_days", f"WITH {_QUALITY} SELECT symbol, session_date FROM q5 WHERE exclusions = ''")
 def _(spark, sf):
-    return ql.quality(ft.features(spark, sf)).where("passed").select("symbol", "session_date")
+    return ql.quality(_feats(spark, sf)).where("passed").select("symbol", "session_date")
 
 
 _CONT = (
@@ -387,7 +392,7 @@ def _(spark, sf):
 
 @query("j_eligible", f"WITH {O.EVS}, " + _CONT.removeprefix(O.SESS).lstrip(",\n") + " SELECT e.event, k.verdict, count(*) AS n FROM evs e JOIN k2 k USING (symbol, session_date) WHERE e.event IN ('sweep_high', 'sweep_low') GROUP BY ALL")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     k = ql.continuity(ql.contracts(f)).select("symbol", "session_date", "verdict")
     return ft.sweep_events(f).join(k, ["symbol", "session_date"]).groupBy("event", "verdict").agg(F.count("*").alias("n"))
 
@@ -413,7 +418,7 @@ obs AS (SELECT y.hypothesis, e.symbol, e.session_date, e.ce, CASE WHEN y.directi
 
 def _observations(spark: SparkSession, sf: str) -> DataFrame:
     """Events of each hypothesis with the path that its horizon and direction ask for."""
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     e = ft.all_events(f).join(F.broadcast(inf.hypotheses(spark)), "event").select("hypothesis", "direction", "bars", "above", "symbol", "session_date", "ce")
     p = None
     for b in (1, 2, 4):
@@ -437,7 +442,7 @@ _LIFT = f"WITH {_OBS},\n{_CTRL},\ncells AS (SELECT hypothesis, stratum, sum(sign
 
 @query("a_lift", _LIFT)
 def _(spark, sf):
-    control = pt.with_paths(ft.features(spark, sf), 7200).where("n_path > 0").select(F.when(F.hour(F.timestamp_seconds("ce")) < 18, "day").otherwise("night").alias("stratum"), F.col("terminal").alias("signed"))
+    control = pt.with_paths(_feats(spark, sf), 7200).where("n_path > 0").select(F.when(F.hour(F.timestamp_seconds("ce")) < 18, "day").otherwise("night").alias("stratum"), F.col("terminal").alias("signed"))
     x = inf.lift(_observations(spark, sf).select("hypothesis", "stratum", "signed"), control, ["hypothesis"], "signed")
     return x.select("hypothesis", "n", *[F.round(c, 4).alias(c) for c in ("event_mean", "control_mean", "lift")])
 
@@ -505,7 +510,7 @@ SELECT symbol, session_date, round(reference, 6) AS reference FROM ref"""
 
 @query("w_vol_reference", _REF)
 def _(spark, sf):
-    c = ft.features(spark, sf).where("atr is not null").groupBy("symbol", "session_date").agg(F.max_by("atr", "ce").alias("atr"))
+    c = _feats(spark, sf).where("atr is not null").groupBy("symbol", "session_date").agg(F.max_by("atr", "ce").alias("atr"))
     w = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(-5, -1)
     return c.select("symbol", "session_date", F.round(F.when(F.count("atr").over(w) == 5, F.expr("percentile(atr, 0.5)").over(w)), 6).alias("reference"))
 
@@ -518,7 +523,7 @@ def _(spark, sf):
 
 @query("a_cube", f"WITH {O.FEATS} SELECT coalesce(symbol, '*') AS symbol, coalesce(phase, '*') AS phase, coalesce(side, '*') AS side, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM (SELECT symbol, phase, CASE WHEN vwap IS NULL OR c > vwap THEN 'above' ELSE 'below' END AS side, c FROM feats) GROUP BY GROUPING SETS ((), (symbol), (phase), (side), (symbol, phase), (symbol, side), (phase, side))")
 def _(spark, sf):
-    f = ft.features(spark, sf).select("symbol", "phase", F.coalesce("above_vwap", F.lit("above")).alias("side"), "c")
+    f = _feats(spark, sf).select("symbol", "phase", F.coalesce("above_vwap", F.lit("above")).alias("side"), "c")
     sets = [[], ["symbol"], ["phase"], ["side"], ["symbol", "phase"], ["symbol", "side"], ["phase", "side"]]
     g = f.groupingSets([[F.col(c) for c in s] for s in sets], F.col("symbol"), F.col("phase"), F.col("side")).agg(F.count("*").alias("n"), F.sum("c").cast("long").alias("total"))
     return g.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in ("symbol", "phase", "side")], "n", "total")
@@ -535,13 +540,13 @@ def _(spark, sf):
 
 @query("a_cluster_rate", f"WITH {_QUALITY} SELECT CAST(isodow(CAST(session_date AS DATE)) AS BIGINT) AS weekday, count(*) AS n, count(*) FILTER (exclusions <> '') AS excluded FROM q5 GROUP BY 1")
 def _(spark, sf):
-    q = ql.quality(ft.features(spark, sf))
+    q = ql.quality(_feats(spark, sf))
     return q.groupBy((F.weekday(F.col("session_date").cast("date")) + 1).cast("long").alias("weekday")).agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("excluded"))
 
 
 @query("a_first_touch", f"WITH {O.FEATS}, brackets(b) AS (VALUES (2000), (5000), (10000)), a AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ce) AS k FROM feats), t AS (SELECT a.symbol, a.ce, b, min(x.ce) FILTER (x.h >= a.c + b) AS fav, min(x.ce) FILTER (x.l <= a.c - b) AS adv FROM a JOIN feats x ON a.symbol = x.symbol AND x.ce > a.ce AND x.ce <= a.ce + 14400, brackets WHERE a.k % 3 = 1 GROUP BY ALL) SELECT CAST(b AS BIGINT) AS bracket, count(*) AS n, count(*) FILTER (fav IS NOT NULL AND (adv IS NULL OR fav < adv)) AS up_first, count(*) FILTER (fav = adv) AS ambiguous, count(*) FILTER (fav IS NULL AND adv IS NULL) AS neither FROM t GROUP BY b")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     a = f.withColumn("k", F.row_number().over(ft.w_s())).where("k % 3 = 1").select("symbol", "ce", "c")
     j = pt.interval_join(a, f, 14400).withColumn("bracket", F.explode(F.array(*[F.lit(x).cast("long") for x in (2000, 5000, 10000)])))
     t = j.groupBy("symbol", "ce", "bracket").agg(F.min(F.expr("case when b_h >= c + bracket then b_ce end")).alias("fav"), F.min(F.expr("case when b_l <= c - bracket then b_ce end")).alias("adv"))
@@ -575,13 +580,13 @@ def _(spark, sf):
 
 @query("set_session_universe", f"WITH {O.EVS} SELECT DISTINCT session_date FROM evs UNION SELECT session_date FROM sess")
 def _(spark, sf):
-    f = ft.features(spark, sf)
+    f = _feats(spark, sf)
     return ft.all_events(f).select("session_date").union(f.select("session_date")).distinct()
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Opening-range breaks above VWAP and their mean path over the next hour, by symbol."""
-    f = pt.with_paths(ft.features(spark, sf), 3600)
+    f = pt.with_paths(_feats(spark, sf), 3600)
     e = ft.opening_range_events(f).where("event = 'or_high_broken'").select("symbol", "ce")
     return f.join(e, ["symbol", "ce"]).where("n_path > 0").groupBy("symbol", "above_vwap").agg(F.count("*").alias("n"), F.round(F.avg("terminal"), 4).alias("mean_return"))
 
