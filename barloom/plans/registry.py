@@ -409,7 +409,7 @@ _OBS = (
     + "),\n"
     + _HYP
     + """,
-obs AS (SELECT y.hypothesis, e.symbol, e.session_date, e.ce, CASE WHEN y.direction = 'up' THEN p.terminal ELSE -p.terminal END AS signed, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe,
+obs AS (SELECT y.hypothesis, e.symbol, e.session_date, e.ce, CASE WHEN y.direction = 'up' THEN p.terminal ELSE -p.terminal END AS signed, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe, CASE WHEN p.max_up_at IS NULL AND p.max_down_at IS NULL THEN NULL WHEN p.max_up_at = p.max_down_at THEN NULL ELSE (y.direction = 'up') = (p.max_down_at IS NULL OR coalesce(p.max_up_at < p.max_down_at, false)) END AS favorable_first, p.c > p.vwap AS above,
    CASE WHEN extract('hour' FROM make_timestamp(e.ce * 1000000)) < 18 THEN 'day' ELSE 'night' END AS stratum
   FROM hyp y JOIN evs e USING (event) JOIN all_p p ON p.symbol = e.symbol AND p.ce = e.ce AND p.bars = y.bars
   WHERE p.n_path > 0 AND (y.above IS NULL OR (p.vwap IS NOT NULL AND p.c > p.vwap)))"""
@@ -584,6 +584,70 @@ def _(spark, sf):
     return ft.all_events(f).select("session_date").union(f.select("session_date")).distinct()
 
 
+_VERDICT = """CASE WHEN d_n IS NULL OR d_n < 30 THEN 'inconclusive' WHEN NOT (d_lo > 0 OR d_hi < 0) THEN 'reject' WHEN NOT significant THEN 'reject' WHEN d_hi < 0 THEN 'opposite_effect'
+  WHEN v_n IS NULL THEN 'promising' WHEN v_n < 30 THEN 'inconclusive' WHEN NOT (v_lo > 0 OR v_hi < 0) THEN 'reject' WHEN (d_mean > 0) <> (v_mean > 0) THEN 'reject'
+  WHEN h_n IS NULL THEN 'promising' WHEN h_n < 30 THEN 'inconclusive' WHEN NOT (h_lo > 0 OR h_hi < 0) OR (h_mean > 0) <> (d_mean > 0) THEN 'reject' WHEN fav < 0.5 THEN 'promising' ELSE 'robust' END"""
+_PART = "CASE WHEN i < greatest(1, CAST(floor(n * 0.5) AS BIGINT)) THEN 'd' WHEN i < least(greatest(greatest(1, CAST(floor(n * 0.5) AS BIGINT)) + 1, CAST(floor(n * 0.8) AS BIGINT)), n - 1) THEN 'v' ELSE 'h' END"
+_CLASSIFY = f"""WITH {_OBS}, {_DAYS}, parts AS (SELECT session_date, {_PART} AS part FROM d),
+est AS (SELECT hypothesis, part, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd, avg(CAST(favorable_first AS INT)) AS fav FROM obs JOIN parts USING (session_date) GROUP BY ALL),
+ci AS (SELECT *, mean - 1.96 * sd / sqrt(n) AS lo, mean + 1.96 * sd / sqrt(n) AS hi, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS z FROM est),
+y AS (SELECT *, 1.0 / (1 + 0.3275911 * (z / sqrt(2.0))) AS t FROM ci), c AS (SELECT *, 0.5 * (2 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)) AS cdf FROM y),
+p AS (SELECT hypothesis, round({_P}, 9) AS p FROM c WHERE part = 'd'), r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p),
+s AS (SELECT hypothesis, rank <= coalesce(max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (), 0) AS significant FROM r),
+w AS (SELECT hypothesis, any_value(n) FILTER (part = 'd') AS d_n, any_value(mean) FILTER (part = 'd') AS d_mean, any_value(lo) FILTER (part = 'd') AS d_lo, any_value(hi) FILTER (part = 'd') AS d_hi, any_value(fav) FILTER (part = 'd') AS fav,
+  any_value(n) FILTER (part = 'v') AS v_n, any_value(mean) FILTER (part = 'v') AS v_mean, any_value(lo) FILTER (part = 'v') AS v_lo, any_value(hi) FILTER (part = 'v') AS v_hi,
+  any_value(n) FILTER (part = 'h') AS h_n, any_value(mean) FILTER (part = 'h') AS h_mean, any_value(lo) FILTER (part = 'h') AS h_lo, any_value(hi) FILTER (part = 'h') AS h_hi FROM ci GROUP BY hypothesis)
+SELECT hypothesis, d_n, v_n, h_n, {_VERDICT} AS verdict FROM w LEFT JOIN s USING (hypothesis)"""
+
+
+@query("i_classify", _CLASSIFY)
+def _(spark, sf):
+    parts = QUERIES["w_split"](spark, sf).select("session_date", F.substring("part", 1, 1).alias("part"))
+    o = _observations(spark, sf).join(F.broadcast(parts), "session_date")
+    e = inf.estimate(o, ["hypothesis", "part"], "signed").join(o.groupBy("hypothesis", "part").agg(F.avg(F.col("favorable_first").cast("int")).alias("fav")), ["hypothesis", "part"])
+    half = 1.96 * F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    e = e.withColumn("lo", F.col("mean") - half).withColumn("hi", F.col("mean") + half)
+    p = e.where("part = 'd'").withColumn("p", F.round(inf.two_sided_p(F.col("mean"), F.col("sd"), F.col("n")), 9))
+    sig = inf.benjamini_hochberg(p.select("hypothesis", "p"), "hypothesis", "p").select("hypothesis", "significant")
+    one = lambda c, k: F.max(F.when(F.col("part") == k, F.col(c)))
+    w = e.groupBy("hypothesis").agg(*[one(c, k).alias(f"{k}_{c}") for k in "dvh" for c in ("n", "mean", "lo", "hi")], one("fav", "d").alias("fav"))
+    return w.join(sig, "hypothesis", "left").select("hypothesis", "d_n", "v_n", "h_n", F.expr(_VERDICT).alias("verdict"))
+
+
+@query("a_conditioning", f"WITH {_OBS}, x AS (SELECT hypothesis, coalesce(above, false) AS matched, count(*) AS n, avg(signed) AS mean FROM obs GROUP BY ALL) SELECT hypothesis, any_value(n) FILTER (matched) AS n_matched, any_value(n) FILTER (NOT matched) AS n_rest, round(any_value(mean) FILTER (matched) - any_value(mean) FILTER (NOT matched), 4) AS contrast FROM x GROUP BY hypothesis HAVING any_value(n) FILTER (matched) >= 10 AND any_value(n) FILTER (NOT matched) >= 10")
+def _(spark, sf):
+    m = F.coalesce(F.col("above_vwap") == "above", F.lit(False))
+    x = _observations(spark, sf).groupBy("hypothesis").agg(F.count_if(m).alias("n_matched"), F.count_if(~m).alias("n_rest"), F.avg(F.when(m, F.col("signed"))).alias("a"), F.avg(F.when(~m, F.col("signed"))).alias("b"))
+    return x.where("n_matched >= 10 and n_rest >= 10").select("hypothesis", "n_matched", "n_rest", F.round(F.col("a") - F.col("b"), 4).alias("contrast"))
+
+
+_BAND = "CASE WHEN reference IS NULL OR atr IS NULL THEN 'unknown' WHEN atr < 0.8 * reference THEN 'quiet' WHEN atr > 1.2 * reference THEN 'elevated' ELSE 'normal' END"
+
+
+@query("j_stratify", _REF[: _REF.rindex("SELECT symbol, session_date, round")] + f"SELECT f.symbol, f.ce, CAST(floor((f.ce - f.open_s) / 3600.0) AS BIGINT) AS bucket, {_BAND} AS band FROM feats f LEFT JOIN ref USING (symbol, session_date)".replace("atr", "f.atr"))
+def _(spark, sf):
+    f = _feats(spark, sf)
+    c = f.where("atr is not null").groupBy("symbol", "session_date").agg(F.max_by("atr", "ce").alias("atr"))
+    w = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(-5, -1)
+    ref = c.select("symbol", "session_date", F.when(F.count("atr").over(w) == 5, F.expr("percentile(atr, 0.5)").over(w)).alias("reference"))
+    return f.join(ref, ["symbol", "session_date"], "left").select("symbol", "ce", F.expr("floor((ce - open_s) / 3600)").alias("bucket"), F.expr(_BAND).alias("band"))
+
+
+@query("i_perm", f"""WITH {_OBS}, o AS (SELECT hypothesis, signed, stratum, symbol || '|' || ce || '|' || signed AS id, count(*) OVER (PARTITION BY hypothesis, stratum) AS m FROM (SELECT DISTINCT hypothesis, symbol, ce, signed, stratum FROM obs) q),
+x AS (SELECT hypothesis, r, avg(CASE WHEN CAST('0x' || substr(md5('11|' || r || '|' || id), 1, 8) AS BIGINT) % 2 = 0 THEN signed ELSE -signed END) AS mean FROM o, range(1, 101) t(r) GROUP BY ALL), real AS (SELECT hypothesis, avg(signed) AS mean FROM o GROUP BY hypothesis)
+SELECT real.hypothesis, round((count(*) FILTER (abs(x.mean) >= abs(real.mean)) + 1) / (count(*) + 1), 6) AS p FROM real JOIN x USING (hypothesis) GROUP BY real.hypothesis""")
+def _(spark, sf):
+    # signs are drawn by md5 of the round and the row, and rows shrink to one mean for each round as they are drawn
+    o = _observations(spark, sf).select("hypothesis", "symbol", "ce", "signed").distinct()
+    row = F.concat_ws("|", "symbol", F.col("ce").cast("string"), F.col("signed").cast("string"))
+    d = o.withColumn("id", row).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    even = F.pmod(inf.md5_int(F.lit(11), F.col("round"), F.col("id")), F.lit(2)) == 0
+    x = d.groupBy("hypothesis", "round").agg(F.avg(F.when(even, F.col("signed")).otherwise(-F.col("signed"))).alias("mean"))
+    real = o.groupBy("hypothesis").agg(F.avg("signed").alias("real"))
+    j = x.join(F.broadcast(real), "hypothesis").groupBy("hypothesis").agg(F.count_if(F.abs("mean") >= F.abs("real")).alias("extreme"), F.count("*").alias("n"))
+    return j.select("hypothesis", F.round((F.col("extreme") + 1) / (F.col("n") + 1), 6).alias("p"))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Opening-range breaks above VWAP and their mean path over the next hour, by symbol."""
     f = pt.with_paths(_feats(spark, sf), 3600)
