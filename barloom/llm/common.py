@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,15 @@ def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """
     df = cut(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Eager steps inside send at most ``rows`` rows to Python at once; for rows that hold whole token sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_side, table
+from .common import components, cut, small_batches, small_side, table
 
 #: Odd multipliers, one for each place in a shingle (fixed values).
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
@@ -24,8 +24,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each whole text, the sorted distinct 64-bit hashes of its n-word shingles (all words as one, if fewer)."""
+def shingle_sets(texts: pa.Array, n: int, step: int = 2_000_000) -> Iterator[np.ndarray]:
+    """For each whole text, the sorted distinct 64-bit hashes of its n-word shingles (all words as one, if fewer).
+
+    Works on about ``step`` bytes of whole texts at a time, so its memory does not follow the batch.
+    """
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + step, "right")))
+        yield from _shingle_sets(texts.take(pa.array(np.arange(lo, hi))), n)  # a copy: some kernels misread slices
+        lo = hi
+
+
+def _shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "").cast(pa.large_string())))
     words = lists.flatten()
     at = lists.offsets.to_numpy()
@@ -83,17 +95,68 @@ def frequent_tokens(docs: DataFrame, text: str, n: int, sample: int, least: int,
             for s in shingle_sets(batch.column(0), n):
                 held.append(s)
                 size += len(s)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield out()
                 size = 0
         if held:
             yield out()
 
-    few = docs.where(draw * F.lit(float(total)) < sample).select(F.col(text).alias("t")).distinct()
+    few = docs.where(draw * F.lit(float(total)) < sample).select(F.col(text).alias("t"))
     got = few.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     return np.sort(np.array([r[0] for r in got.orderBy(F.desc("c"), "token").limit(most).collect()], np.int64).view(np.uint64))
 
 
+def repeated_tokens(described: DataFrame, most: int, bucket: int = 2_000_000) -> np.ndarray | None:
+    """The upper 32 bits of every prefix token that two classes hold (and of a few others), sorted; None if over ``most``.
+
+    Tasks pack the bits they see, each twice at most, by range; a range's packets meet in one task, which
+    keeps what came twice. Only tokens outside the list are sure to be alone, so leaving those out is exact.
+    """
+    total = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
+    ranges = max(1, -(-total // bucket))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+
+        def out() -> pa.RecordBatch:
+            x = np.sort(np.concatenate(held))
+            third = np.concatenate((np.zeros(min(2, len(x)), bool), x[2:] == x[:-2]))
+            x = x[~third]
+            at = np.searchsorted(x, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
+            some = [i for i in range(ranges) if at[i] < at[i + 1]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())], names=["range", "packet"])
+
+        for batch in batches:
+            for h, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if h is None or h in seen:
+                    continue
+                seen.add(h)  # copies in one task count once
+                held.append(flat.values.to_numpy().view(np.uint64) >> np.uint64(32))
+                size += len(held[-1])
+            if size > 2_000_000:
+                yield out()
+                size, seen = 0, set()
+        if size:
+            yield out()
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_range: dict[int, list] = {}
+        for batch in batches:
+            for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_range.setdefault(r, []).append(np.frombuffer(b, np.uint32))
+        for r, parts in by_range.items():
+            x = np.sort(np.concatenate(parts))
+            x = np.unique(x[1:][x[1:] == x[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "bits"])
+
+    packets = described.select("h", "prefix").mapInArrow(pack, "range int, packet binary").repartition(ranges, "range")
+    found = cut(packets.mapInArrow(twice, "n long, bits binary"))
+    if (found.agg(F.sum("n")).first()[0] or 0) > most:
+        return None
+    return np.sort(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in found.select("bits").collect())]))
+
+
 def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
     """One group and a block of queries: the group's token union bounds each overlap, qualifying queries are compared."""
     member = group.column("member").to_numpy(zero_copy_only=False)
@@ -123,7 +186,7 @@ def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, sample: int = 30_000, frequent: int = 8, most_frequent: int = 200_000, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, sample: int = 30_000, frequent: int = 8, most_frequent: int = 200_000, most_repeated: int = 8_000_000, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
     """Classes of texts linked by Jaccard similarity of word shingles: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * |both| >= percent * |either| over their sets of distinct ``words``-word
@@ -132,8 +195,11 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     1. Equal sets collapse to one class, so copies cost nothing further.
     2. Tokens have one order: rare before frequent (by a sample), then by hash. Similar sets of sizes a and b
-       must meet in their first a - ceil(percent a) + 1 and b - ... tokens, so only these prefixes are shuffled.
-    3. In each token's list the classes are held against the first one (a star, not all pairs); verified
+       must meet in their first a - ceil(percent a) + 1 and b - ... tokens, so only these prefixes matter. Tokens that
+       one class alone holds are left out where the list of the others is small enough to send to the tasks
+       (``most_repeated``; a count decides, and beyond it all prefix tokens are shuffled: same links, more bytes).
+    3. In each token's list the classes are held against the first one (a star, not all pairs), first by
+       the prefixes' overlap, which bounds the whole one, then by their sets; verified
        links make the groups of similar texts, in blocks of at most ``group`` members.
     4. The token-group matrix (token, group) holds the union of each group's prefixes. A text's overlap with a
        group it is not in is counted in the matrix; if too small for any size in the group, the group stays shut.
@@ -168,37 +234,66 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     described = cut(slim.mapInArrow(describe, "id long, n long, h long, g long, prefix array<long>"))
+    filtered = described
+    if (bits := repeated_tokens(described, most_repeated)) is not None:
+        repeated = spark.sparkContext.broadcast(bits)
+
+        def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = repeated.value
+            for batch in batches:
+                lists = batch.column(4)
+                flat = lists.flatten().to_numpy().view(np.uint64)
+                high = (flat >> np.uint64(32)).astype(np.uint32)
+                keep = last[np.minimum(np.searchsorted(last, high), len(last) - 1)] == high if len(last) else np.zeros(len(flat), bool)
+                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                ends = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[keep].view(np.int64)))], names=batch.schema.names)
+
+        filtered = described.mapInArrow(shorten, described.schema)
     # min_by keeps one prefix for each class and task, so a class of many copies shuffles little
-    classes = cut(described.where("h is not null and id is not null").groupBy("h", "g").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.min_by("prefix", "id").alias("prefix")))
+    classes = cut(filtered.where("h is not null and id is not null").groupBy("h", "g").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.min_by("prefix", "id").alias("prefix")))
     rows = described.select("id", "n", "h", "g")
 
     # lists of the prefix tokens that two classes or more hold; a list's first class is its centre
-    posted = classes.select(F.explode("prefix").alias("token"), "cid", "n")
+    posted = classes.select(F.explode("prefix").alias("token"), "cid")
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sorted by token, then class: passes on the rows of tokens that come twice, with the first class of each."""
-        held, centre = None, (None, 0, 0)
+        held, centre = None, (None, 0)
         for batch in _then_none(batches):
-            new = None if batch is None else tuple(batch.column(i).to_numpy() for i in range(3))
+            new = None if batch is None else tuple(batch.column(i).to_numpy() for i in range(2))
             if held is not None:
-                token, cid, n = held
-                after = new[0][0] if new is not None and len(new[0]) else None
+                token, cid = held
+                after = new[0][0] if new is not None else None
                 first = np.concatenate(([token[0] != centre[0]], token[1:] != token[:-1]))
                 last = np.concatenate((token[1:] != token[:-1], [token[-1] != after]))
                 start = np.maximum.accumulate(np.where(first, np.arange(len(token)), -1))
-                c, cn = np.where(start < 0, centre[1], cid[start]), np.where(start < 0, centre[2], n[start])
-                centre = (token[-1], c[-1], cn[-1])
+                c = np.where(start < 0, centre[1], cid[start])
+                centre = (token[-1], c[-1])
                 keep = ~(first & last)
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (token, cid, n, c, cn)], names=["token", "cid", "n", "c", "cn"])
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (token, cid, c)], names=["token", "cid", "c"])
             held = new
 
     dealt = posted.repartition("token").sortWithinPartitions("token", "cid")
-    lists = cut(dealt.mapInArrow(shared, "token long, cid long, n long, c long, cn long"))
+    lists = cut(dealt.mapInArrow(shared, "token long, cid long, c long"))
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    stars = cut(lists.where((F.col("cid") != F.col("c")) & fits(F.col("n"), F.col("cn"))).select("cid", "c").distinct())
+    def prefix_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sets share at least p(a+b)/(100+p) tokens; all but the prefixes' common ones lie behind the longer rest."""
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                rest = max(_needed(a, percent), _needed(b, percent)) - 1
+                common = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy()))
+                keep.append(common >= -(-percent * (a + b) // (100 + percent)) - rest)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    stars = lists.where("cid <> c").select("cid", "c").distinct()
+    x, y = (classes.select(F.col("cid").alias(f"{k}_cid"), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_prefix")) for k in "xy")
+    stars = stars.join(x, F.col("cid") == F.col("x_cid")).join(y, F.col("c") == F.col("y_cid")).where(fits(F.col("x_n"), F.col("y_n")))
+    stars = cut(stars.select("cid", "c", "x_n", "y_n", "x_prefix", "y_prefix").mapInArrow(prefix_bound, "cid long, c long"))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """The whole token sets of the given classes, from their texts."""
@@ -206,48 +301,55 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         found = slim.join(small_side(wanted), F.col("id") == F.col("w_cid"))
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = set()
             for batch in batches:
                 made, same = [], []
-                for s, h, g in zip(shingle_sets(batch.column(1), words), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                for i, s, h, g in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                     d = xxhash.xxh3_128_digest(s.tobytes())
-                    same.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) == (h, g))
+                    # a row repeated in this task comes out once; other texts of the id do not
+                    same.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) == (h, g) and i not in seen)
+                    if same[-1]:
+                        seen.add(i)
                     made.append(s.tobytes())
                 out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["s_cid", "tokens"])
                 yield out.filter(pa.array(same, pa.bool_()))
 
-        got = found.select("id", "t", "h", "g").mapInArrow(tokens, "s_cid long, tokens binary")
-        return got.dropDuplicates(["s_cid"])
+        return found.select("id", "t", "h", "g").mapInArrow(tokens, "s_cid long, tokens binary")
 
     near = stars.select("cid").union(stars.select("c")).distinct()
     ids = classes.select(F.col("cid").alias("k_cid"), "h", "g", "n")
-    sets = cut(sets_of(ids.join(near, F.col("k_cid") == F.col("cid"), "left_semi").withColumnRenamed("k_cid", "cid")))
+    with small_batches(spark, 1000):
+        sets = cut(sets_of(ids.join(near, F.col("k_cid") == F.col("cid"), "left_semi").withColumnRenamed("k_cid", "cid")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 keep.append(_links(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("s_cid").alias("x_cid"), F.col("tokens").alias("x"))
     two = sets.select(F.col("s_cid").alias("y_cid"), F.col("tokens").alias("y"))
     pairs = stars.join(one, F.col("cid") == F.col("x_cid")).join(two, F.col("c") == F.col("y_cid")).select("cid", "c", "x", "y")
-    links = cut(pairs.mapInArrow(compare, "cid long, c long")).select(F.col("cid").alias("a"), F.col("c").alias("b"))
+    with small_batches(spark, 100):
+        links = cut(pairs.mapInArrow(compare, "cid long, c long"))
+    links = links.select(F.col("cid").alias("a"), F.col("c").alias("b"))
     part = cut(components(links))
 
     # groups: blocks of what is connected so far
-    parts = lists.select("token", "cid", "n").join(part, F.col("cid") == F.col("node"), "left").select("token", "cid", "n", F.coalesce("component", "cid").alias("part"))
+    member = ids.join(part, F.col("k_cid") == F.col("node"), "left").select("k_cid", "n", F.coalesce("component", "k_cid").alias("part"))
+    parts = lists.select("token", "cid").join(member, F.col("cid") == F.col("k_cid")).select("token", "cid", "n", "part")
     big = part.join(ids, F.col("node") == F.col("k_cid")).groupBy(F.col("component").alias("b_part")).agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / group_tokens)).alias("blocks")).where("blocks > 1")
     parts = parts.join(small_side(big), F.col("part") == F.col("b_part"), "left")
-    parts = cut(parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block")))
+    parts = parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"))
+    # a token of one part only says nothing
+    several = lists.select("token", "cid").join(member, F.col("cid") == F.col("k_cid")).groupBy(F.col("token").alias("s_token")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("s_token")
+    parts = cut(parts.join(several, F.col("token") == F.col("s_token"), "left_semi"))
     matrix = parts.groupBy(F.col("token").alias("m_token"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     bounds = parts.groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    # a token of one part only says nothing; the pair of parts is tried once, from the larger id
-    several = parts.groupBy(F.col("token").alias("s_token")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("s_token")
-    asks = parts.join(several, F.col("token") == F.col("s_token"), "left_semi").select("token", "cid", "n", "part")
-    held = matrix.join(several, F.col("m_token") == F.col("s_token"), "left_semi")
-    met = asks.join(held, (F.col("token") == F.col("m_token")) & (F.col("m_part") < F.col("part")) & (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100))
+    # a pair of parts is tried once, from the larger id
+    met = parts.select("token", "cid", "n", "part").join(matrix, (F.col("token") == F.col("m_token")) & (F.col("m_part") < F.col("part")) & (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100))
     counted = met.groupBy("cid", "n", F.col("m_part").alias("g_part"), F.col("m_block").alias("g_block")).agg(F.count("*").alias("overlap"))
     b = bounds.withColumnsRenamed({"part": "o_part", "block": "o_block"})
     counted = counted.join(b, (F.col("g_part") == F.col("o_part")) & (F.col("g_block") == F.col("o_block")))
@@ -277,7 +379,9 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     filled = work.join(every, F.col("cid") == F.col("s_cid")).select("g_part", "g_block", "chunk", "member", "cid", "tokens")
     late = filled.groupBy("g_part", "g_block", "chunk").applyInArrow(lambda key, g: _open_groups(key, g, percent), "a long, b long")
 
-    whole = components(links.unionByName(cut(late)))
+    with small_batches(spark, 100):
+        late = cut(late)
+    whole = components(links.unionByName(late))
     label = classes.select("h", "g", "cid").join(whole, F.col("cid") == F.col("node"), "left").select(F.col("h").alias("l_h"), F.col("g").alias("l_g"), F.coalesce("component", "cid").alias("label"))
     out = rows.join(label, (F.col("h") == F.col("l_h")) & (F.col("g") == F.col("l_g")), "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
