@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import numpy as np
@@ -32,6 +34,9 @@ SIGNS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 STATES = frozenset("has no with without is".split())
 
 MAIN, OTHER, AROUND_ZONE = 1, 0, -1
+#: Added to the zone of a line that many pages of the host hold at the same place.
+FRAMED = 4
+MASK = (1 << 64) - 1
 
 
 def _marked(attrs: str) -> bool:
@@ -164,8 +169,25 @@ def _near(path: str, other: str) -> int:
     return next((i for i in range(n) if path[i] != other[i]), n)
 
 
-def main_text(lines: list[str], zones: list[int], pair: list[str] | None, copy_share: float) -> tuple[list[str], int]:
-    """What stays of a page, given the lines of its nearest page, and how many lines the differencing deleted."""
+def _places(host: str, lines: list[str], zones: list[int]) -> list[tuple[int, int]]:
+    """Two keys for each line: what it says at its place from the beginning, and from the end, of the lines of its zone on this host."""
+    n, at, out = Counter(zones), Counter(), []
+    salt = blake2b(host.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+    for s, z in zip(lines, zones, strict=True):
+        k = int.from_bytes(blake2b(s.encode("utf-8", "surrogatepass"), digest_size=8, key=salt).digest(), "little") ^ (z & 3)
+        ends = (2 * at[z], 2 * (n[z] - 1 - at[z]) + 1)
+        out.append(tuple(((k ^ (e + 1) * 0x9E3779B97F4A7C15) & MASK) - (1 << 63) for e in ends))
+        at[z] += 1
+    return out
+
+
+def main_text(lines: list[str], zones: list[int], pair: list[str] | None, copy_share: float, framed: list[bool] | None = None) -> tuple[list[str], int]:
+    """What stays of a page, given the lines of its nearest page, and how many lines the differencing deleted.
+
+    ``framed`` tells the lines that many pages of the host hold at the same place. A shared line in an article
+    or main element goes if it is one of them; other shared lines go in any case.
+    """
+    framed = framed or [False] * len(lines)
     shared = [False] * len(lines)
     if pair:
         shared = shared_lines(lines, pair)
@@ -174,19 +196,25 @@ def main_text(lines: list[str], zones: list[int], pair: list[str] | None, copy_s
         same = sum(len(s) for s, z, x in zip(lines, zones, shared, strict=True) if z != AROUND_ZONE and x)
         if same > copy_share * size:
             shared = [False] * len(lines)
-    best = MAIN if MAIN in zones else OTHER
-    kept = [s for s, z, x in zip(lines, zones, shared, strict=True) if z == best and (best == MAIN or not x)]
-    return kept, sum(x and not (z == MAIN) for x, z in zip(shared, zones, strict=True))
+    gone = [x and (z != MAIN or f) for x, z, f in zip(shared, zones, framed, strict=True)]
+    size = Counter()
+    for s, z, x in zip(lines, zones, gone, strict=True):
+        size[z] += 0 if x else len(s)
+    # an article that holds less than the text around it is a teaser, and the page's text is both
+    best = (MAIN,) if MAIN in zones and size[MAIN] >= size[OTHER] else (MAIN, OTHER)
+    return [s for s, z, x in zip(lines, zones, gone, strict=True) if z in best and not x], sum(gone)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = 2_000, copy_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = 2_000, copy_share: float = 0.5, frame_share: float = 0.25, frame_least: int = 3) -> DataFrame:
     """The main text of each page: page_id, url, text, n_shared (lines deleted because the paired page has them).
 
     Pages of one host are ordered by URL path; each is paired with the neighbour whose path begins most like
     its own (the one before it on a tie). Their text lines are aligned by longest common subsequence and the
-    shared lines deleted, except where the two pages share more than ``copy_share`` of their text (copies), and
-    except inside an article or main element: repeated passages in articles are text, and such an element is
-    surer evidence. Menus, headers, footers, asides, forms, and elements whose class, id or role names an
+    shared lines deleted, except where the two pages share more than ``copy_share`` of their text (copies).
+    Inside an article or main element repeated passages may be text, so a shared line there goes only if at
+    least ``frame_share`` of the host's pages (and ``frame_least`` pages) hold it at the same place, counted from
+    the beginning or the end of the element. Where what stays of the article is less than what stays around it,
+    both are the text; else only the article. Menus, headers, footers, asides, forms, and elements whose class, id or role names an
     advert, notice, comment and the like are left out of the text, but take part in the alignment.
     White space inside a block becomes one space; blocks are joined by an empty line.
 
@@ -198,15 +226,36 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = lambda c: F.coalesce(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = lambda c: F.coalesce(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
 
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, key = [], []
+            for one, name, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found, zones = text_lines(code or "")
+                mine = {k for ks, z in zip(_places(name, found, zones), zones, strict=True) if z != AROUND_ZONE for k in ks}
+                key.extend(mine)
+                h.extend([one] * len(mine))
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(key, pa.int64())], names=["h", "key"])
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [text_lines(h or "") for h in batch.column(2).to_pylist()]
-            made = [pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.list_(pa.int8()))]
+            texts, marks = [], []
+            for code, name, frame in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                found, zones = text_lines(code or "")
+                frame = set(frame or ())
+                texts.append(found)
+                marks.append([z + FRAMED * (not frame.isdisjoint(ks)) for z, ks in zip(zones, _places(name, found, zones), strict=True)] if frame else zones)
+            made = [pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), *made], names=["id", "url", "host", "path", "lines", "zones"])
 
     slim = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
     kind = slim.schema["id"].dataType.simpleString()
-    lines = slim.mapInArrow(read, f"id {kind}, url string, host string, path string, lines array<string>, zones array<tinyint>")
+    # what many pages of a host hold at the same place: two numbers a line are counted, and only the frequent ones go on
+    sizes = slim.groupBy(F.xxhash64("host").alias("s_h")).agg(F.count("*").alias("pages")).where(F.col("pages") >= frame_least)
+    held = slim.select(F.xxhash64("host").alias("h"), "host", "html").mapInArrow(places, "h long, key long").groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= frame_least)
+    held = held.join(sizes, (F.col("h") == F.col("s_h")) & (F.col("n") >= frame_share * F.col("pages")))
+    held = small_side(held.groupBy(F.col("h").alias("f_h")).agg(F.collect_list("key").alias("frame")), 20_000)
+    lines = slim.join(held, F.xxhash64("host") == F.col("f_h"), "left").select("id", "url", "html", "host", "path", "frame")
+    lines = lines.mapInArrow(read, f"id {kind}, url string, host string, path string, lines array<string>, zones array<tinyint>")
     hot = pages.select(host(F.col(url)).alias("hot_host")).groupBy("hot_host").agg(F.count("*").alias("hot_n")).where(F.col("hot_n") > block)
     blocks: Column = F.coalesce(F.ceil(F.col("hot_n") / block), F.lit(1)).cast("long")
     lines = lines.join(small_side(hot), F.col("host") == F.col("hot_host"), "left").withColumn("salt", F.pmod(F.xxhash64("id", "path"), blocks)).drop("hot_host", "hot_n")
@@ -230,7 +279,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         for after in rows():
             if page is not None:
                 near = [(_near(page[3], q[3]), -i, q[4]) for i, q in enumerate((before, after)) if q is not None and q[2] == page[2]]
-                kept, n = main_text(page[4], page[5], max(near)[2] if near else None, copy_share)
+                zones, framed = [(z + 1) % FRAMED - 1 for z in page[5]], [z + 1 >= FRAMED for z in page[5]]
+                kept, n = main_text(page[4], zones, max(near)[2] if near else None, copy_share, framed)
                 ids.append(page[0])
                 urls.append(page[1])
                 texts.append("\n\n".join(kept))

@@ -63,6 +63,19 @@ def test_html_differencing_and_odd_rows(spark):
     assert html.extract(df.where("false")).count() == 0
 
 
+def test_html_differencing_inside_articles(spark):
+    word = lambda i: " ".join(f"{c}{i}{c}" for c in "abcdefghijklmno")
+    page = "<body><div>Shop</div><article><h1>{0}</h1><div class=x1>Win a car</div><p>{0} body</p>{1}<p>Tell a friend</p></article></body>"
+    # the passage stands twice in neighbouring articles only, so it is text; the other two lines are on every page
+    rows = [(i, f"http://h.com/a/{i}", page.format(word(i), "<p>a quoted passage</p>" if i in (3, 4) else "")) for i in range(10)]
+    rows += [(20 + i, f"http://t.com/{i}", f"<div>Shop</div><article>teaser {i}</article><div>{word(i)}</div><div>{word(i + 50)}</div>") for i in range(2)]
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        assert got[i] == ("\n\n".join([word(i), f"{word(i)} body", *["a quoted passage"] * (i in (3, 4))]), 3)
+    for i in range(2):
+        assert got[20 + i] == (f"teaser {i}\n\n{word(i)}\n\n{word(i + 50)}", 1)
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------
 
 
