@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import json
+import logging
 import re
 import sys
 import zlib
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
+LOG = logging.getLogger(__name__)
 #: Words that one Python worker remembers the tokens of; others are encoded each time.
 REMEMBERED = 400_000
 #: Texts with other white space than single spaces and single newlines are encoded in one piece.
@@ -132,13 +135,15 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [b for group in bins.values() for b in group]
 
 
-def fillings(counts: dict[int, int], free: list[int], room: int, width: int, budget: list[int]) -> list[Pattern]:
+def fillings(counts: dict[int, int], free: list[int], room: int, width: int, steps: int = 4000, perfect: int | None = None) -> list[Pattern]:
     """Undominated sets of lengths that fill ``room``, least waste first (then fewer, larger ones); ``width`` at most.
 
     A filling is dominated if a free length no larger than one of its lengths (or two of them together) plus
-    the waste could take that place. ``free`` holds the lengths in ascending order. Ends when ``budget`` steps are spent.
+    the waste could take that place. ``free`` holds the lengths in ascending order. Ends with ``perfect``
+    fillings without waste (``width`` if not given), or when ``steps`` are spent.
     """
     found: list[tuple[int, int, Pattern]] = []
+    budget, full = [steps], [0]
 
     def between(lo: int, hi: int, used: Counter) -> bool:
         """Whether a free length x has lo <= x <= hi."""
@@ -166,7 +171,8 @@ def fillings(counts: dict[int, int], free: list[int], room: int, width: int, bud
                     return True
         if not grew and not between(1, left, Counter(chosen)) and not dominated(chosen, left):
             found.append((left, len(chosen), tuple(chosen)))
-            return len(found) >= (1 if left == 0 else 8 * width)
+            full[0] += left == 0
+            return full[0] >= (perfect or width)
         return False
 
     go(len(free) - 1, room, [])
@@ -177,16 +183,52 @@ def fillings(counts: dict[int, int], free: list[int], room: int, width: int, bud
             chosen += [x] * k
             left -= k * x
         found.append((left, len(chosen), tuple(chosen)))
-    return [f for _, _, f in sorted(found)[:width]]
+    return [f for _, _, f in sorted(found, key=lambda f: (f[0], f[1], [-x for x in f[2]]))[:width]]
+
+
+def _branches(left: dict[int, int], used: int, waste: int, path: object, capacity: int, width: int, steps: int, perfect: int) -> list[tuple]:
+    """The nodes below a node: the largest length left with each of its fillings, as often as the numbers allow."""
+    largest = max(left)
+    rest = dict(left)
+    rest[largest] -= 1
+    out = []
+    for filling in fillings(rest, sorted(x for x, n in rest.items() if n), capacity - largest, width, steps, perfect):
+        pattern = (largest, *filling)
+        need = Counter(pattern)
+        times = min(left[x] // k for x, k in need.items())
+        after = {x: n - times * need[x] for x, n in left.items() if n > times * need[x]}
+        out.append((after, used + times, waste + times * (capacity - sum(pattern)), ((times, pattern), path)))
+    return out
+
+
+def _search(node: tuple, size: int, bound: int, total: int, capacity: int, nodes: int, width: int, steps: int, perfect: int) -> tuple[int, Packing | None]:
+    """Depth first below a node for packings of fewer than ``size`` bins: the least size found and its bins below the node."""
+    stack, best = [(*node, None)], None
+    while stack and nodes and size > bound:
+        nodes -= 1
+        left, used, waste, path = stack.pop()
+        if waste > (size - 1) * capacity - total:
+            continue
+        if left:
+            stack += reversed(_branches(left, used, waste, path, capacity, width, steps, perfect))
+        elif used < size:
+            size, best = used, []
+            while path is not None:
+                entry, path = path
+                best.append(entry)
+    return size, best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4, steps: int = 200_000) -> tuple[Packing, int]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4, steps: int = 4000, parts: int = 8, spark: SparkSession | None = None) -> tuple[Packing, int]:
     """Packs a histogram (length: number) into few bins; returns the packing and a lower bound on its size.
 
     Best-fit decreasing gives the first incumbent. The search then takes the largest length left, tries its
     undominated fillings and repeats each as often as the numbers allow, drops branches whose waste already
-    exceeds what a better packing may waste, and ends at the bound, or after ``nodes`` branches or ``steps`` of
-    enumeration. Work depends on how many different lengths there are, not on the number of documents.
+    exceeds what a better packing may waste, and ends at the bound. The first ``parts`` nodes or so are
+    independent residual histograms: each is searched on its own, first with one filling without waste a node,
+    then with ``width``, for ``nodes`` branches of ``steps`` of enumeration each; with ``spark`` they are rows of
+    a job. The best packing counts, so both ways give the same. Work depends on how many different lengths there
+    are, not on the number of documents.
     """
     total = sum(x * n for x, n in counts.items())
     bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
@@ -194,33 +236,42 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, wid
     size = sum(n for n, _ in best)
     if size == bound:
         return best, bound
-    stack: list[tuple[dict[int, int], int, int, object]] = [({x: n for x, n in counts.items() if n}, 0, 0, None)]
-    budget = [steps]
-    while stack and nodes and budget[0] > 0:
-        nodes -= 1
-        left, used, waste, path = stack.pop()
-        if waste > (size - 1) * capacity - total:
-            continue
-        if not left:
-            if used < size:
-                size, best = used, []
-                while path is not None:
-                    entry, path = path
-                    best.append(entry)
-                if size == bound:
-                    break
-            continue
-        largest = max(left)
-        rest = dict(left)
-        rest[largest] -= 1
-        branches = []
-        for filling in fillings(rest, sorted(x for x, n in rest.items() if n), capacity - largest, width, budget):
-            pattern = (largest, *filling)
-            need = Counter(pattern)
-            times = min(left[x] // k for x, k in need.items())
-            after = {x: n - times * need[x] for x, n in left.items() if n > times * need[x]}
-            branches.append((after, used + times, waste + times * (capacity - sum(pattern)), ((times, pattern), path)))
-        stack += reversed(branches)
+    front: list[tuple[dict[int, int], int, int, object]] = [({x: n for x, n in counts.items() if n}, 0, 0, None)]
+    at = 0
+    while len(front) - at < parts and at < len(front):
+        if not any(f[0] for f in front[at:]):
+            break
+        front += _branches(*front[at], capacity, width, steps, width) if front[at][0] else [front[at]]
+        at += 1
+    front = front[at:]
+
+    def look(left: dict[int, int], used: int, waste: int) -> tuple[int, Packing | None]:
+        found = [_search((left, used, waste), size, bound, total, capacity, nodes, width, steps, 1)]
+        if found[0][0] > bound:
+            found.append(_search((left, used, waste), found[0][0], bound, total, capacity, nodes, width, steps, width))
+        return next((f for f in reversed(found) if f[1] is not None), (size, None))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                left, used, waste = json.loads(code)
+                n, bins = look(dict(left), used, waste)
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([json.dumps(bins)])], names=["i", "n", "bins"])
+
+    if spark is None:
+        found = ((*look(*f[:3]), f[3]) for f in front)
+    else:
+        rows = [(i, json.dumps([list(left.items()), used, waste])) for i, (left, used, waste, _) in enumerate(front)]
+        made = spark.createDataFrame(rows, "i long, node string").mapInArrow(task, "i long, n long, bins string").collect()
+        found = [(r["n"], json.loads(r["bins"]), front[r["i"]][3]) for r in sorted(made, key=lambda r: r["i"])]
+    for n, bins, path in found:
+        if bins is not None and n < size:
+            size, best = n, [(times, tuple(pattern)) for times, pattern in bins]
+            while path is not None:
+                entry, path = path
+                best.append(entry)
+        if size == bound:
+            break
     return best, bound
 
 
@@ -228,7 +279,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     """Adds sequence_id and offset to every row: rows share sequences of ``capacity`` without gaps or overlap.
 
     Only the histogram of lengths (at most ``capacity`` rows) comes to the driver, which packs it with
-    bin_completion; the resulting patterns say which ranks of a length go where. Ranks are counted in hash
+    bin_completion (its search is a job) and logs the bins used against the lower bound; the resulting patterns say which ranks of a length go where. Ranks are counted in hash
     buckets of about ``bucket`` rows, so a length that a third of all rows share spreads over many tasks.
     ``order`` names the columns that tell rows apart; equal rows are interchangeable. Lengths must lie in
     1..capacity (others fail the job). An empty table stays empty. Reruns over equal rows agree.
@@ -238,7 +289,9 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     keys = [f"o{i}" for i in range(len(order))]
     rows = rows.withColumn("len", F.when(F.col("len").between(1, capacity), F.col("len")).otherwise(F.raise_error(F.lit("length out of range")).cast("long")))
     hist = {r["len"]: r["n"] for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect()}
-    packing, _ = bin_completion(hist, capacity)
+    packing, bound = bin_completion(hist, capacity, spark=pieces.sparkSession)
+    used = sum(n for n, _ in packing)
+    LOG.log(logging.WARNING if used > bound else logging.INFO, "packing: %d bins used, at least %d needed", used, bound)
     first, base, slots = Counter(), 0, []
     for times, pattern in sorted(packing, key=lambda p: (p[1], p[0]), reverse=True):
         at = 0

@@ -309,6 +309,17 @@ def test_bins_against_brute_force():
         assert bound <= sum(n for n, _ in found) == brute(items, cap)
 
 
+def test_bins_reach_the_bound_where_one_dive_does_not(spark):
+    for seed in (54, 56, 95):
+        random.seed(seed)
+        cap = random.choice((60, 100, 150))
+        items = Counter([random.randrange(cap // 6, cap // 2 + 5) for _ in range(random.choice((30, 45)))])
+        found, bound = packing.bin_completion(items, cap)
+        assert sum(n for n, _ in found) == bound
+        assert packing.bin_completion(items, cap, spark=spark)[0] == found
+    assert [sum(f) for f in packing.fillings({5: 2, 4: 2, 3: 2, 2: 3, 1: 4}, [1, 2, 3, 4, 5], 8, 4)] == [8] * 4
+
+
 def test_packing_odd_rows(spark, odd):
     got = packing.pack(packing.token_pieces(odd).withColumn("rank", F.lit(1)), order=["doc_id", "piece"]).toPandas().sort_values(["sequence_id", "offset"])
     per = got.groupby("sequence_id")
