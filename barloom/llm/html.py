@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -181,6 +183,45 @@ def _places(host: str, lines: list[str], zones: list[int]) -> list[tuple[int, in
     return out
 
 
+def is_copy(page: tuple, other: tuple, copy_share: float) -> bool:
+    """Whether a page (lines, zones, framed) shares more than ``copy_share`` of its own text with another.
+
+    Lines that many pages of the host hold at the same place are no page's own: thin pages in a large frame are no
+    copies of each other. Pages without own text are copies of each other only.
+    """
+    own = [s for s, z, f in zip(*page, strict=True) if z != AROUND_ZONE and not f]
+    size = sum(map(len, own))
+    if not size:
+        return not any(z != AROUND_ZONE and not f for z, f in zip(*other[1:], strict=True))
+    both = set(other[0])
+    if sum(len(s) for s in own if s in both) <= copy_share * size:
+        return False  # what the alignment holds cannot be more
+    shared = shared_lines(page[0], other[0])
+    return sum(len(s) for s, z, f, x in zip(*page, shared, strict=True) if z != AROUND_ZONE and not f and x) > copy_share * size
+
+
+def pairs(pages: list[tuple], paths: list[str], copy_share: float) -> list[int | None]:
+    """For each page of a host in order of path, the nearest page that is no copy of it (the one before it on a tie).
+
+    Past a copy the walk goes on where that copy's own walk ended, so it is short in large groups of copies.
+    """
+    n = len(pages)
+    ends: list[list[int]] = []
+    for step in (-1, 1):
+        end = [0] * n
+        for i in range(n) if step < 0 else range(n - 1, -1, -1):
+            j = i + step
+            while 0 <= j < n and is_copy(pages[i], pages[j], copy_share):
+                j = end[j]
+            end[i] = j
+        ends.append(end)
+    out = []
+    for i, two in enumerate(zip(*ends, strict=True)):
+        near = [(_near(paths[i], paths[j]), -k, j) for k, j in enumerate(two) if 0 <= j < n]
+        out.append(max(near)[2] if near else None)
+    return out
+
+
 def main_text(lines: list[str], zones: list[int], pair: list[str] | None, copy_share: float, framed: list[bool] | None = None) -> tuple[list[str], int]:
     """What stays of a page, given the lines of its nearest page, and how many lines the differencing deleted.
 
@@ -205,12 +246,13 @@ def main_text(lines: list[str], zones: list[int], pair: list[str] | None, copy_s
     return [s for s, z, x in zip(lines, zones, gone, strict=True) if z in best and not x], sum(gone)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = 2_000, copy_share: float = 0.5, frame_share: float = 0.25, frame_least: int = 3) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", block: int = 2_000, copy_share: float = 0.5, frame_share: float = 0.25, frame_least: int = 3, edge: int = 32) -> DataFrame:
     """The main text of each page: page_id, url, text, n_shared (lines deleted because the paired page has them).
 
-    Pages of one host are ordered by URL path; each is paired with the neighbour whose path begins most like
-    its own (the one before it on a tie). Their text lines are aligned by longest common subsequence and the
-    shared lines deleted, except where the two pages share more than ``copy_share`` of their text (copies).
+    Pages of one host are ordered by URL path; each is paired with the page that is
+    no copy of it and whose path begins most like its own (the one before it on a tie). A copy shares more than
+    ``copy_share`` of the text that is not the host's frame. The lines of the two are aligned by longest common
+    subsequence and the shared lines deleted.
     Inside an article or main element repeated passages may be text, so a shared line there goes only if at
     least ``frame_share`` of the host's pages (and ``frame_least`` pages) hold it at the same place, counted from
     the beginning or the end of the element. Where what stays of the article is less than what stays around it,
@@ -220,8 +262,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Null or empty html, or one without text: an empty text. A null or unparsable url: host and path are empty.
     Repeated rows come back as often as they came. A page alone on its host has no pair. An empty table gives
-    an empty table. Hosts with more than ``block`` pages are dealt by hash into blocks of about that size, so a
-    hot host spreads over many tasks; a page is paired inside its block. A task holds three pages at a time.
+    an empty table. Pages are dealt by ranges of (host, path, id) of about ``block`` pages, so a hot host spreads
+    over many tasks in order; a range also sees the pages beyond its ends, as far as ``edge`` different ones of
+    the next range, and a walk past copies ends there. A task holds the pages of one host in its range.
     """
     host = lambda c: F.coalesce(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit(""))
     path = lambda c: F.coalesce(F.regexp_extract(c, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
@@ -238,58 +281,70 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = [], []
-            for code, name, frame in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            texts, marks, row, part, beyond = [], [], [], [], []
+            for i, (code, name, at, frame) in enumerate(zip(*(batch.column(j).to_pylist() for j in (2, 3, 5, 6)), strict=True)):
                 found, zones = text_lines(code or "")
                 frame = set(frame or ())
-                texts.append(found)
-                marks.append([z + FRAMED * (not frame.isdisjoint(ks)) for z, ks in zip(zones, _places(name, found, zones), strict=True)] if frame else zones)
-            made = [pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int8()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), batch.column(4), *made], names=["id", "url", "host", "path", "lines", "zones"])
+                marked = [z + FRAMED * (not frame.isdisjoint(ks)) for z, ks in zip(zones, _places(name, found, zones), strict=True)] if frame else zones
+                mine = max(bisect_right(lows, at) - 1, 0)
+                near = [mine - 1] * (mine > 0 and at <= heads[mine]) + [mine + 1] * (mine + 1 < len(lows) and at >= tails[mine])
+                for k in (mine, *near):
+                    row.append(i)
+                    part.append(k)
+                    beyond.append(k != mine)
+                    texts.append(found)
+                    marks.append(marked)
+            row = pa.array(row, pa.int64())
+            made = [pa.array(texts, pa.list_(pa.string())), pa.array(marks, pa.list_(pa.int8())), pa.array(part, pa.int64()), pa.array(beyond, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(row) for j in (0, 1, 3, 4, 5)), *made], names=["id", "url", "host", "path", "at", "lines", "zones", "part", "beyond"])
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = head = None
+        first: set[int] = set()
+        last: dict[int, str] = {}  # where each content was seen last, in that order
+        for batch in batches:
+            for at, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                low = at if low is None else low
+                if len(first) < edge:
+                    first.add(code)
+                    head = at
+                last.pop(code, None)
+                last[code] = at
+                if len(last) > 4 * edge:
+                    last = dict(list(last.items())[-edge:])
+        if low is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in (low, head, list(last.values())[-edge:][0])], names=["low", "head", "tail"])
 
     slim = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(html).alias("html")).withColumns({"host": host(F.col("url")), "path": path(F.col("url"))})
+    slim = slim.withColumn("at", F.concat("host", F.lit("\x00"), "path", F.lit("\x00"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     kind = slim.schema["id"].dataType.simpleString()
+    # ranges of about ``block`` pages in order of host and path: where each begins, and which pages its neighbours see
+    n = -(-pages.count() // block)
+    order = slim.select("at", F.xxhash64("html").alias("code")).repartitionByRange(max(n, 1), "at").sortWithinPartitions("at")
+    found = sorted(tuple(r) for r in order.mapInArrow(edges, "low string, head string, tail string").collect())
+    lows, heads, tails = ([r[i] for r in found] for i in range(3))
     # what many pages of a host hold at the same place: two numbers a line are counted, and only the frequent ones go on
     sizes = slim.groupBy(F.xxhash64("host").alias("s_h")).agg(F.count("*").alias("pages")).where(F.col("pages") >= frame_least)
     held = slim.select(F.xxhash64("host").alias("h"), "host", "html").mapInArrow(places, "h long, key long").groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= frame_least)
     held = held.join(sizes, (F.col("h") == F.col("s_h")) & (F.col("n") >= frame_share * F.col("pages")))
     held = small_side(held.groupBy(F.col("h").alias("f_h")).agg(F.collect_list("key").alias("frame")), 20_000)
-    lines = slim.join(held, F.xxhash64("host") == F.col("f_h"), "left").select("id", "url", "html", "host", "path", "frame")
-    lines = lines.mapInArrow(read, f"id {kind}, url string, host string, path string, lines array<string>, zones array<tinyint>")
-    hot = pages.select(host(F.col(url)).alias("hot_host")).groupBy("hot_host").agg(F.count("*").alias("hot_n")).where(F.col("hot_n") > block)
-    blocks: Column = F.coalesce(F.ceil(F.col("hot_n") / block), F.lit(1)).cast("long")
-    lines = lines.join(small_side(hot), F.col("host") == F.col("hot_host"), "left").withColumn("salt", F.pmod(F.xxhash64("id", "path"), blocks)).drop("hot_host", "hot_n")
-    dealt = lines.repartition("host", "salt").sortWithinPartitions("host", "salt", "path", "id").select("id", "url", F.concat_ws("\x00", "host", "salt").alias("host"), "path", "lines", "zones")
+    lines = slim.join(held, F.xxhash64("host") == F.col("f_h"), "left").select("id", "url", "html", "host", "path", "at", "frame")
+    lines = lines.mapInArrow(read, f"id {kind}, url string, host string, path string, at string, lines array<string>, zones array<tinyint>, part long, beyond boolean")
+    dealt = lines.repartition(max(n, 1), "part").sortWithinPartitions("part", "at").select("id", "url", "part", "host", "path", "lines", "zones", "beyond")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            yield None
-
-        ids, urls, texts, gone = [], [], [], []
-
-        def out() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(ids, types[0]), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(gone, pa.int64())], names=["id", "url", "text", "n_shared"])
-            for v in (ids, urls, texts, gone):
-                v.clear()
-            return made
-
-        before = page = None
-        for after in rows():
-            if page is not None:
-                near = [(_near(page[3], q[3]), -i, q[4]) for i, q in enumerate((before, after)) if q is not None and q[2] == page[2]]
-                zones, framed = [(z + 1) % FRAMED - 1 for z in page[5]], [z + 1 >= FRAMED for z in page[5]]
-                kept, n = main_text(page[4], zones, max(near)[2] if near else None, copy_share, framed)
-                ids.append(page[0])
-                urls.append(page[1])
-                texts.append("\n\n".join(kept))
-                gone.append(n)
-                if len(ids) >= 1000:
-                    yield out()
-            before, page = page, after
-        if ids:
-            yield out()
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, group in groupby(rows, key=lambda r: r[2:4]):
+            group = list(group)
+            read = [(r[5], [(z + 1) % FRAMED - 1 for z in r[6]], [z + 1 >= FRAMED for z in r[6]]) for r in group]
+            kept = []
+            for r, page, pair in zip(group, read, pairs(read, [r[4] for r in group], copy_share), strict=True):
+                if not r[7]:
+                    found, gone = main_text(*page[:2], None if pair is None else read[pair][0], 1, page[2])
+                    kept.append((r[0], r[1], "\n\n".join(found), gone))
+            if kept:
+                made = [pa.array(v, t) for v, t in zip(zip(*kept, strict=True), (*types, pa.string(), pa.string(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(made, names=["id", "url", "text", "n_shared"])
 
     types = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]]
     return dealt.mapInArrow(differ, f"id {kind}, url string, text string, n_shared long").withColumnRenamed("id", page_id)

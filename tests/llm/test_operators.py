@@ -76,6 +76,17 @@ def test_html_differencing_inside_articles(spark):
         assert got[20 + i] == (f"teaser {i}\n\n{word(i)}\n\n{word(i + 50)}", 1)
 
 
+def test_html_pairs_across_ranges_and_past_copies(spark):
+    word = lambda i: " ".join(f"{c}{i}{c}" for c in "abcdefghijklmno")
+    # sections of two pages with a menu of their own on a host of many ranges, and copies beside their only other page
+    rows = [(i, f"http://h.com/{i // 2:03}/{i}", f"<div>menu {i // 2}</div><div>{word(i)}</div>") for i in range(120)]
+    rows += [(200 + i, f"http://c.com/a/{i}", f"<div>Shop</div><div>{word(7 if i else 8)}</div>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for block in (8, 2000):
+        got = {r["page_id"]: r["text"] for r in html.extract(df, block=block).collect()}
+        assert got == {i: word(i) for i in range(120)} | {200 + i: word(7 if i else 8) for i in range(6)}
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------
 
 
