@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches, small_side, table
@@ -74,87 +74,150 @@ def _links(common: int, a: int, b: int, t: int) -> bool:
     return 100 * common >= t * (a + b - common)
 
 
-def frequent_tokens(docs: DataFrame, text: str, n: int, sample: int, least: int, most: int, seed: int) -> np.ndarray:
-    """Tokens that at least ``least`` of about ``sample`` sampled texts hold, ``most`` of them at the most, sorted.
+def _ranges(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The range of the hash space that each token lies in, and 32 bits that tell tokens of a range apart."""
+    v = (tokens >> np.uint64(24)) * np.uint64(ranges)
+    return (v >> np.uint64(40)).astype(np.int64), (v >> np.uint64(8)).astype(np.uint32)
 
-    They only come last in the order of tokens; any list gives the same links.
+
+def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int, most: int, seed: int, bucket: int = 2_000_000) -> np.ndarray:
+    """The upper 32 bits of tokens in ``least`` sampled texts or more (one text in ``one_in``), sorted; ``most`` at the most.
+
+    The sample grows with the table, so ``least`` means the same number of texts at every size. Tasks send packets
+    of bits by range of the hash space, a range's packets are counted together; where more than ``most`` tokens
+    qualify, the most frequent are taken, by a histogram of counts. These tokens only come last in the order
+    of tokens; any list gives the same links.
     """
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(text, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    few = docs.select(F.col(text).alias("t")).where(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(one_in)) == 0)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    ranges = max(1, -(-size // (6 * one_in * bucket)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
 
         def out() -> pa.RecordBatch:
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c > 1], c[c > 1]
+            x = np.sort(np.concatenate(held)) >> np.uint64(32)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "c"])
+            at = np.searchsorted(x * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+            some = [i for i in range(ranges) if at[i] < at[i + 1]]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())], names=["range", "packet"])
 
         for batch in batches:
             for s in shingle_sets(batch.column(0), n):
-                held.append(s)
-                size += len(s)
-            if size > 1_000_000:
-                yield out()
-                size = 0
+                if len(s) and (d := xxhash.xxh3_64_intdigest(s.tobytes())) not in seen:
+                    seen.add(d)  # copies in one task count once
+                    held.append(s)
+                    size += len(s)
+                if size > bucket:
+                    yield out()
+                    size = 0
         if held:
             yield out()
 
-    few = docs.where(draw * F.lit(float(total)) < sample).select(F.col(text).alias("t"))
-    got = few.mapInArrow(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    return np.sort(np.array([r[0] for r in got.orderBy(F.desc("c"), "token").limit(most).collect()], np.int64).view(np.uint64))
-
-
-def repeated_tokens(described: DataFrame, most: int, bucket: int = 2_000_000) -> np.ndarray | None:
-    """The upper 32 bits of every prefix token that two classes hold (and of a few others), sorted; None if over ``most``.
-
-    Tasks pack the bits they see, each twice at most, by range; a range's packets meet in one task, which
-    keeps what came twice. Only tokens outside the list are sure to be alone, so leaving those out is exact.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_range: dict[int, list] = {}
+        for batch in batches:
+            for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_range.setdefault(r, []).append(np.frombuffer(b, np.uint32))
+        for parts in by_range.values():
+            u, c = np.unique(np.concatenate(parts), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u[c >= least].astype(np.int64)), pa.array(c[c >= least].astype(np.int64))], names=["token", "c"])
+
+    found = cut(few.mapInArrow(send, "range int, packet binary").repartition(ranges, "range").mapInArrow(count, "token long, c long"))
+    level = F.floor(F.log2("c") * 16).cast("long")
+    steps = sorted(((r["level"], r["k"]) for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
+    from_level, total = None, 0
+    for at, k in steps:
+        if total + k > most:
+            break
+        from_level, total = at, total + k
+    if from_level is None:
+        return np.empty(0, np.uint32)
+    return np.sort(np.array([r[0] for r in found.where(level >= from_level).select("token").toLocalIterator()], np.uint32))
+
+
+def _late(tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which tokens are on the list of frequent ones."""
+    bits = (tokens >> np.uint64(32)).astype(np.uint32)
+    return last[np.minimum(np.searchsorted(last, bits), len(last) - 1)] == bits if len(last) else np.zeros(len(tokens), bool)
+
+
+def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
+    """(token, cid, c, late): the classes of each prefix token that two classes or more hold; c is the first of the list.
+
+    Tasks send packets of about ``bucket`` tokens in all, by range of the hash space; a range's packets are
+    sorted together and tokens of one class go, so each token travels once, in 12 bytes. Frequent tokens (late)
+    are not brought together: each lot of them stays with the packets of a task, so that no list has to meet
+    in one task, has a first class of its own, and keeps tokens of one class.
     """
-    total = described.agg(F.coalesce(F.sum(F.size("prefix")), F.lit(0))).first()[0]
-    ranges = max(1, -(-total // bucket))
+    ranges = max(1, -(-int(described.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]) // (8 * bucket)))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, cls, size = hot.value, [], [], 0
 
         def out() -> pa.RecordBatch:
-            x = np.sort(np.concatenate(held))
-            third = np.concatenate((np.zeros(min(2, len(x)), bool), x[2:] == x[:-2]))
-            x = x[~third]
-            at = np.searchsorted(x, (np.arange(ranges + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges))
-            some = [i for i in range(ranges) if at[i] < at[i + 1]]
+            x = np.concatenate(held)
+            c = np.repeat(np.array(cls, np.int64), [len(v) for v in held])
+            late = _late(x, last)
+            r, low = _ranges(x, ranges)
+            rows = []
+            order = np.flatnonzero(~late)
+            order = order[np.argsort(r[order], kind="stable")]
+            at = np.searchsorted(r[order], np.arange(ranges + 1))
+            for i in np.flatnonzero(at[1:] > at[:-1]):
+                mine = order[at[i] : at[i + 1]]
+                rows.append((int(i), False, low[mine].tobytes(), c[mine].tobytes()))
+            if late.any():
+                whole = (r[late].astype(np.int64) << 32) | low[late].astype(np.int64)
+                rows.append((int(cls[0] % ranges), True, whole.tobytes(), c[late].tobytes()))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x[at[i] : at[i + 1]].astype(np.uint32).tobytes() for i in some], pa.binary())], names=["range", "packet"])
+            cls.clear()
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v[j] for v in rows], k) for j, k in enumerate(kinds)], names=["range", "late", "tokens", "classes"])
 
         for batch in batches:
-            for h, flat in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if h is None or h in seen:
-                    continue
-                seen.add(h)  # copies in one task count once
-                held.append(flat.values.to_numpy().view(np.uint64) >> np.uint64(32))
-                size += len(held[-1])
-            if size > 2_000_000:
-                yield out()
-                size, seen = 0, set()
-        if size:
+            for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if b:
+                    held.append(np.frombuffer(b, np.uint64))
+                    cls.append(h)
+                    size += len(held[-1])
+                if size > bucket:
+                    yield out()
+                    size = 0
+        if held:
             yield out()
 
-    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_range: dict[int, list] = {}
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: dict[tuple, list] = {}
         for batch in batches:
-            for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by_range.setdefault(r, []).append(np.frombuffer(b, np.uint32))
-        for r, parts in by_range.items():
-            x = np.sort(np.concatenate(parts))
-            x = np.unique(x[1:][x[1:] == x[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["n", "bits"])
-
-    packets = described.select("h", "prefix").mapInArrow(pack, "range int, packet binary").repartition(ranges, "range")
-    found = cut(packets.mapInArrow(twice, "n long, bits binary"))
-    if (found.agg(F.sum("n")).first()[0] or 0) > most:
-        return None
-    return np.sort(np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r[0], np.uint32) for r in found.select("bits").collect())]))
+            for r, late, t, c in zip(*(v.to_pylist() for v in batch.columns), strict=True):
+                lots.setdefault((r, late), []).append((np.frombuffer(t, np.int64 if late else np.uint32), np.frombuffer(c, np.int64)))
+        for (r, late), parts in lots.items():
+            token, cid = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+            parts.clear()
+            order = np.argsort(token, kind="stable")
+            if not late:  # most tokens are alone: only the others are sorted by class
+                s = token[order]
+                same = s[1:] == s[:-1]
+                order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+            order = order[np.lexsort((cid[order], token[order]))]
+            token, cid = token[order].astype(np.int64), cid[order]
+            new = np.ones(len(token), bool)  # copies described by several tasks are one
+            new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+            token, cid = token[new], cid[new]
+            first = np.ones(len(token), bool)
+            first[1:] = token[1:] != token[:-1]
+            begin = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
+            c = cid[begin]
+            if not late:
+                several = ~(first & np.append(first[1:], True))
+                token, cid, c = token[several] + (r << 32), cid[several], c[several]
+            for lo in range(0, len(token), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(cid[part]), pa.array(c[part]), pa.array(np.full(len(token[part]), late))], names=["token", "cid", "c", "late"])
+
+    sent = described.where("h is not null").select("h", "prefix").mapInArrow(send, "range int, late boolean, tokens binary, classes binary")
+    return cut(sent.repartition(ranges, "range").mapInArrow(meet, "token long, cid long, c long, late boolean"))
 
 
 def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
@@ -186,21 +249,21 @@ def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, sample: int = 30_000, frequent: int = 8, most_frequent: int = 200_000, most_repeated: int = 8_000_000, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, one_in: int = 4, frequent: int = 4, most_frequent: int = 4_000_000, bucket: int = 2_000_000, centres: int = 2, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
     """Classes of texts linked by Jaccard similarity of word shingles: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * |both| >= percent * |either| over their sets of distinct ``words``-word
     shingles (A-Z lower-cased; a shorter text is one shingle; no words, no links). component_id is the
-    smallest doc_id that links reach. Exact but for collisions of 64-bit shingle hashes.
-
-    1. Equal sets collapse to one class, so copies cost nothing further.
-    2. Tokens have one order: rare before frequent (by a sample), then by hash. Similar sets of sizes a and b
-       must meet in their first a - ceil(percent a) + 1 and b - ... tokens, so only these prefixes matter. Tokens that
-       one class alone holds are left out where the list of the others is small enough to send to the tasks
-       (``most_repeated``; a count decides, and beyond it all prefix tokens are shuffled: same links, more bytes).
-    3. In each token's list the classes are held against the first one (a star, not all pairs), first by
-       the prefixes' overlap, which bounds the whole one, then by their sets; verified
-       links make the groups of similar texts, in blocks of at most ``group`` members.
+    smallest doc_id that links reach. Exact but for collisions of 64-bit hashes.
+
+    1. Equal sets collapse to one class (the 64-bit hash of the set), so copies cost nothing further.
+    2. Tokens have one order: those in about ``one_in * frequent`` texts or more last, then by hash. Similar sets of
+       sizes a and b must meet in their first a - ceil(percent a) + 1 and b - ... tokens, so only these prefixes matter;
+       each travels once, by range of the hash space, and tokens that one class alone holds end there. The list of
+       frequent tokens is the one thing broadcast: ``most_frequent`` entries of 4 bytes at the most, the same links whatever it holds.
+    3. In each token's list the classes are held against the first one (a star, not all pairs). A class is compared
+       with the ``centres`` it meets most often by whole sets; verified links make the groups of similar texts, in
+       blocks of at most ``group`` members. This only finds groups; what it misses, steps 4 and 5 find.
     4. The token-group matrix (token, group) holds the union of each group's prefixes. A text's overlap with a
        group it is not in is counted in the matrix; if too small for any size in the group, the group stays shut.
     5. Open groups get the text: the union of all their tokens bounds it again, then members are compared.
@@ -211,115 +274,80 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     table gives an empty table. Long texts cost by length, once; no list or group is held whole unless it is
     within the stated block sizes, and adaptive execution splits the joins on hot tokens.
     """
+    with small_batches(docs.sparkSession, 500):
+        return _similar(docs, doc_id, text, words, percent, one_in, frequent, most_frequent, bucket, centres, group, group_tokens, queries, seed)
+
+
+def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, one_in: int, frequent: int, most_frequent: int, bucket: int, centres: int, group: int, group_tokens: int, queries: int, seed: int) -> DataFrame:
     spark = docs.sparkSession
-    hot = spark.sparkContext.broadcast(frequent_tokens(docs, text, words, sample, frequent, most_frequent, seed))
+    hot = spark.sparkContext.broadcast(frequent_tokens(docs, text, words, one_in, frequent, most_frequent, seed))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = hot.value
+        last, seen = hot.value, set()
         for batch in batches:
-            n, h, g, prefix = [], [], [], []
+            n, h, prefix = [], [], []
             for s in shingle_sets(batch.column(1), words):
                 n.append(len(s))
-                d = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b""
-                h.append(int.from_bytes(d[:8], "little", signed=True) if d else None)
-                g.append(int.from_bytes(d[8:], "little", signed=True) if d else None)
-                k = len(s) - _needed(len(s), percent) + 1 if len(s) else 0
-                if len(last) and len(s):
-                    late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                    s = np.concatenate((s[~late], s[late]))
-                prefix.append(s[:k].view(np.int64))
-            ends = np.cumsum([0, *map(len, prefix)]).astype(np.int32)
-            flat = pa.array(np.concatenate(prefix) if prefix else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(g, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n", "h", "g", "prefix"])
+                h.append(_class(s))
+                if not len(s) or h[-1] in seen:  # one copy in a task brings the prefix
+                    prefix.append(None)
+                    continue
+                seen.add(h[-1])
+                late = _late(s, last)
+                k = len(s) - _needed(len(s), percent) + 1
+                prefix.append(np.concatenate((s[~late], s[late]))[:k].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(h, pa.int64()), pa.array(prefix, pa.binary())], names=["id", "n", "h", "prefix"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    described = cut(slim.mapInArrow(describe, "id long, n long, h long, g long, prefix array<long>"))
-    filtered = described
-    if (bits := repeated_tokens(described, most_repeated)) is not None:
-        repeated = spark.sparkContext.broadcast(bits)
-
-        def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last = repeated.value
-            for batch in batches:
-                lists = batch.column(4)
-                flat = lists.flatten().to_numpy().view(np.uint64)
-                high = (flat >> np.uint64(32)).astype(np.uint32)
-                keep = last[np.minimum(np.searchsorted(last, high), len(last) - 1)] == high if len(last) else np.zeros(len(flat), bool)
-                at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                ends = np.concatenate(([0], np.cumsum(keep)))[at].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[keep].view(np.int64)))], names=batch.schema.names)
-
-        filtered = described.mapInArrow(shorten, described.schema)
-    # min_by keeps one prefix for each class and task, so a class of many copies shuffles little
-    classes = cut(filtered.where("h is not null and id is not null").groupBy("h", "g").agg(F.min("id").alias("cid"), F.first("n").alias("n"), F.min_by("prefix", "id").alias("prefix")))
-    rows = described.select("id", "n", "h", "g")
-
-    # lists of the prefix tokens that two classes or more hold; a list's first class is its centre
-    posted = classes.select(F.explode("prefix").alias("token"), "cid")
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted by token, then class: passes on the rows of tokens that come twice, with the first class of each."""
-        held, centre = None, (None, 0)
-        for batch in _then_none(batches):
-            new = None if batch is None else tuple(batch.column(i).to_numpy() for i in range(2))
-            if held is not None:
-                token, cid = held
-                after = new[0][0] if new is not None else None
-                first = np.concatenate(([token[0] != centre[0]], token[1:] != token[:-1]))
-                last = np.concatenate((token[1:] != token[:-1], [token[-1] != after]))
-                start = np.maximum.accumulate(np.where(first, np.arange(len(token)), -1))
-                c = np.where(start < 0, centre[1], cid[start])
-                centre = (token[-1], c[-1])
-                keep = ~(first & last)
-                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (token, cid, c)], names=["token", "cid", "c"])
-            held = new
-
-    dealt = posted.repartition("token").sortWithinPartitions("token", "cid")
-    lists = cut(dealt.mapInArrow(shared, "token long, cid long, c long"))
+    # rows without an id link nothing and need no prefix
+    described = cut(slim.mapInArrow(describe, "id long, n long, h long, prefix binary"))
+    rows = described.select("id", "n", "h")
+    classes = cut(rows.where("h is not null and id is not null").groupBy(F.col("h").alias("k_cid")).agg(F.min("id").alias("k_id"), F.first("n").alias("n")))
+    lists = token_lists(described, hot, bucket)
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
-    def prefix_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sets share at least p(a+b)/(100+p) tokens; all but the prefixes' common ones lie behind the longer rest."""
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                rest = max(_needed(a, percent), _needed(b, percent)) - 1
-                common = len(np.intersect1d(x.values.to_numpy(), y.values.to_numpy()))
-                keep.append(common >= -(-percent * (a + b) // (100 + percent)) - rest)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    stars = lists.where("cid <> c").select("cid", "c").distinct()
-    x, y = (classes.select(F.col("cid").alias(f"{k}_cid"), F.col("n").alias(f"{k}_n"), F.col("prefix").alias(f"{k}_prefix")) for k in "xy")
-    stars = stars.join(x, F.col("cid") == F.col("x_cid")).join(y, F.col("c") == F.col("y_cid")).where(fits(F.col("x_n"), F.col("y_n")))
-    stars = cut(stars.select("cid", "c", "x_n", "y_n", "x_prefix", "y_prefix").mapInArrow(prefix_bound, "cid long, c long"))
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """The whole token sets of the given classes, from their texts."""
-        wanted = ids.select(F.col("cid").alias("w_cid"), "h", "g")
-        found = slim.join(small_side(wanted), F.col("id") == F.col("w_cid"))
+    # sets of sizes a, b share at least p(a+b)/(100+p); all but the shared prefix tokens lie behind the longer rest
+    def least_overlap(a: Column, b: Column) -> Column:
+        need = F.ceil((a + b) * percent / (100 + percent))
+        return need - F.greatest(F.ceil(a * percent / 100), F.ceil(b * percent / 100)) + 1
+
+    # first classes of the lots of one frequent token meet the smallest of them
+    lots = lists.where("late").groupBy("token", "c").agg(F.lit(1).alias("one"))
+    heads = lots.groupBy("token").agg(F.min("c").alias("least"), F.count("*").alias("lots")).where("lots > 1").withColumnRenamed("token", "h_token")
+    across = lots.join(heads, F.col("token") == F.col("h_token")).select(F.col("c").alias("cid"), F.col("least").alias("c"))
+    met = lists.select("cid", "c").unionByName(across).where("cid <> c").groupBy("cid", "c").agg(F.count("*").alias("met"))
+    x, y = (classes.select(F.col("k_cid").alias(f"{k}_cid"), F.col("n").alias(f"{k}_n")) for k in "xy")
+    met = met.join(x, F.col("cid") == F.col("x_cid")).join(y, F.col("c") == F.col("y_cid")).where(fits(F.col("x_n"), F.col("y_n")) & (F.col("met") * 2 >= least_overlap(F.col("x_n"), F.col("y_n"))))
+    best = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("met"), "c"))
+    stars = cut(met.withColumn("place", best).where(F.col("place") <= centres).select("cid", "c"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """The whole token sets of the given classes (w_cid, w_id), from their texts."""
+        found = slim.join(small_side(wanted), F.col("id") == F.col("w_id"))
 
         def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = set()
             for batch in batches:
                 made, same = [], []
-                for i, s, h, g in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    d = xxhash.xxh3_128_digest(s.tobytes())
+                for i, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), words), strict=True):
                     # a row repeated in this task comes out once; other texts of the id do not
-                    same.append((int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)) == (h, g) and i not in seen)
+                    same.append(i not in seen and _class(s) == i)
                     if same[-1]:
                         seen.add(i)
-                    made.append(s.tobytes())
-                out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["s_cid", "tokens"])
-                yield out.filter(pa.array(same, pa.bool_()))
+                    made.append(s.tobytes() if same[-1] else b"")
+                    if sum(map(len, made)) > 8_000_000:
+                        yield _some(batch.column(0), made, same)
+                        batch, made, same = batch.slice(len(made)), [], []
+                if made:
+                    yield _some(batch.column(0), made, same)
 
-        return found.select("id", "t", "h", "g").mapInArrow(tokens, "s_cid long, tokens binary")
+        return found.select(F.col("w_cid"), "t").mapInArrow(tokens, "s_cid long, tokens binary")
 
     near = stars.select("cid").union(stars.select("c")).distinct()
-    ids = classes.select(F.col("cid").alias("k_cid"), "h", "g", "n")
-    with small_batches(spark, 1000):
-        sets = cut(sets_of(ids.join(near, F.col("k_cid") == F.col("cid"), "left_semi").withColumnRenamed("k_cid", "cid")))
+    ids = classes.select(F.col("k_cid").alias("w_cid"), F.col("k_id").alias("w_id"))
+    sets = cut(sets_of(ids.join(near, F.col("w_cid") == F.col("cid"), "left_semi")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,14 +366,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     part = cut(components(links))
 
     # groups: blocks of what is connected so far
-    member = ids.join(part, F.col("k_cid") == F.col("node"), "left").select("k_cid", "n", F.coalesce("component", "k_cid").alias("part"))
+    member = classes.join(part, F.col("k_cid") == F.col("node"), "left").select("k_cid", "n", F.coalesce("component", "k_cid").alias("part"))
     parts = lists.select("token", "cid").join(member, F.col("cid") == F.col("k_cid")).select("token", "cid", "n", "part")
-    big = part.join(ids, F.col("node") == F.col("k_cid")).groupBy(F.col("component").alias("b_part")).agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / group_tokens)).alias("blocks")).where("blocks > 1")
-    parts = parts.join(small_side(big), F.col("part") == F.col("b_part"), "left")
-    parts = parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"))
     # a token of one part only says nothing
-    several = lists.select("token", "cid").join(member, F.col("cid") == F.col("k_cid")).groupBy(F.col("token").alias("s_token")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("s_token")
-    parts = cut(parts.join(several, F.col("token") == F.col("s_token"), "left_semi"))
+    several = parts.groupBy(F.col("token").alias("s_token")).agg(F.min("part").alias("p0"), F.max("part").alias("p1")).where("p0 < p1").select("s_token")
+    parts = parts.join(several, F.col("token") == F.col("s_token"), "left_semi")
+    big = part.join(classes, F.col("node") == F.col("k_cid")).groupBy(F.col("component").alias("b_part")).agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / group_tokens)).alias("blocks")).where("blocks > 1")
+    parts = parts.join(small_side(big), F.col("part") == F.col("b_part"), "left")
+    parts = cut(parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block")))
     matrix = parts.groupBy(F.col("token").alias("m_token"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
     bounds = parts.groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # a pair of parts is tried once, from the larger id
@@ -353,20 +381,13 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     counted = met.groupBy("cid", "n", F.col("m_part").alias("g_part"), F.col("m_block").alias("g_block")).agg(F.count("*").alias("overlap"))
     b = bounds.withColumnsRenamed({"part": "o_part", "block": "o_block"})
     counted = counted.join(b, (F.col("g_part") == F.col("o_part")) & (F.col("g_block") == F.col("o_block")))
-
-    # sets of sizes a, b share at least p(a+b)/(100+p); all but the shared prefix tokens lie behind the longer rest
-    def least_overlap(other: Column) -> Column:
-        need = F.ceil((F.col("n") + other) * percent / (100 + percent))
-        rest = F.greatest(F.ceil(F.col("n") * percent / 100), F.ceil(other * percent / 100)) - 1
-        return need - rest
-
     small = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
     large = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    # both ends and the own size (less rounding by one) bound every size between
-    enough = F.least(least_overlap(small), least_overlap(large)) - 1
+    # both ends and the own size bound every size between; one less for rounding, one for two tokens of a range with the same 32 bits
+    enough = F.least(least_overlap(F.col("n"), small), least_overlap(F.col("n"), large)) - 2
     opened = cut(counted.where((small <= large) & (F.col("overlap") >= enough)).select("cid", "g_part", "g_block"))
 
-    inside = parts.select(F.col("cid").alias("i_cid"), F.col("part").alias("i_part"), F.col("block").alias("i_block")).distinct()
+    inside = member.join(small_side(big), F.col("part") == F.col("b_part"), "left").select(F.col("k_cid").alias("i_cid"), F.col("part").alias("i_part"), F.pmod(F.xxhash64("k_cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("i_block"))
     chunks = opened.groupBy(F.col("g_part").alias("c_part"), F.col("g_block").alias("c_block")).agg(F.ceil(F.count("*") / queries).cast("long").alias("chunks"))
     asked = opened.join(chunks, (F.col("g_part") == F.col("c_part")) & (F.col("g_block") == F.col("c_block"))).select("cid", "g_part", "g_block", F.pmod(F.xxhash64("cid"), "chunks").alias("chunk"), F.lit(False).alias("member"))
     members = inside.join(chunks, (F.col("i_part") == F.col("c_part")) & (F.col("i_block") == F.col("c_block"))).select(
@@ -374,22 +395,27 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     )
     work = cut(asked.unionByName(members))
     missing = work.select("cid").distinct().join(sets, F.col("cid") == F.col("s_cid"), "left_anti")
-    more = sets_of(ids.join(missing, F.col("k_cid") == F.col("cid"), "left_semi").withColumnRenamed("k_cid", "cid"))
-    every = sets.unionByName(more)
+    every = sets.unionByName(cut(sets_of(ids.join(missing, F.col("w_cid") == F.col("cid"), "left_semi"))))
     filled = work.join(every, F.col("cid") == F.col("s_cid")).select("g_part", "g_block", "chunk", "member", "cid", "tokens")
-    late = filled.groupBy("g_part", "g_block", "chunk").applyInArrow(lambda key, g: _open_groups(key, g, percent), "a long, b long")
-
     with small_batches(spark, 100):
-        late = cut(late)
+        late = cut(filled.groupBy("g_part", "g_block", "chunk").applyInArrow(lambda key, g: _open_groups(key, g, percent), "a long, b long"))
     whole = components(links.unionByName(late))
-    label = classes.select("h", "g", "cid").join(whole, F.col("cid") == F.col("node"), "left").select(F.col("h").alias("l_h"), F.col("g").alias("l_g"), F.coalesce("component", "cid").alias("label"))
-    out = rows.join(label, (F.col("h") == F.col("l_h")) & (F.col("g") == F.col("l_g")), "left")
+    label = classes.select("k_cid", "k_id").join(whole, F.col("k_cid") == F.col("node"), "left").select("k_cid", "k_id", F.coalesce("component", "k_cid").alias("component"))
+    # classes are named by hashes, components by their smallest document
+    smallest = label.groupBy(F.col("component").alias("s_component")).agg(F.min("k_id").alias("label"))
+    label = label.join(smallest, F.col("component") == F.col("s_component")).select("k_cid", "label")
+    out = rows.join(label, F.col("h") == F.col("k_cid"), "left")
     return out.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "id")).alias("component_id"))
 
 
-def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from (b for b in batches if b.num_rows)
-    yield None
+def _class(s: np.ndarray) -> int | None:
+    """The class of a set: a 64-bit hash of it; none for the empty set."""
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None
+
+
+def _some(ids: pa.Array, made: list[bytes], same: list[bool]) -> pa.RecordBatch:
+    out = pa.RecordBatch.from_arrays([ids.slice(0, len(made)), pa.array(made, pa.binary())], names=["s_cid", "tokens"])
+    return out.filter(pa.array(same, pa.bool_()))
 
 
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,8 @@ def test_vectors_recall_and_odd_rows(spark):
 # -- 3 -----------------------------------------------------------------------------------------------------
 
 
-def test_jaccard_against_sets(spark, odd):
+@pytest.mark.parametrize("sizes", [{"frequent": 4}, {"one_in": 1, "frequent": 3, "bucket": 1500, "centres": 1}])  # the second: many frequent tokens in many lots
+def test_jaccard_against_sets(spark, odd, sizes):
     random.seed(4)
     base = [[f"t{random.randrange(4000)}" for _ in range(60)] for _ in range(25)]
     rows = []
@@ -126,7 +127,7 @@ def test_jaccard_against_sets(spark, odd):
             w[random.randrange(60)] = f"u{random.randrange(10**6)}"
         rows.append((100 + i, " ".join(w)))
     df = odd.select("doc_id", "text", "id", "n", "h", "token").unionByName(spark.createDataFrame(rows, "doc_id long, text string"), allowMissingColumns=True)
-    got = jaccard.similar_texts(df, frequent=4, group=8, queries=4).collect()
+    got = jaccard.similar_texts(df, group=8, queries=4, **sizes).collect()
     data = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
