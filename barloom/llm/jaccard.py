@@ -148,7 +148,8 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
     Tasks send packets of about ``bucket`` tokens in all, by range of the hash space; a range's packets are
     sorted together and tokens of one class go, so each token travels once, in 12 bytes. Frequent tokens (late)
     are not brought together: each lot of them stays with the packets of a task, so that no list has to meet
-    in one task, has a first class of its own, and keeps tokens of one class.
+    in one task, has a first class of its own, and keeps tokens of one class. First in a lot is the class with the
+    largest share of frequent tokens, of near copies the one with the fewest changes.
     """
     ranges = max(1, -(-int(described.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]) // (8 * bucket)))
 
@@ -166,14 +167,16 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
             at = np.searchsorted(r[order], np.arange(ranges + 1))
             for i in np.flatnonzero(at[1:] > at[:-1]):
                 mine = order[at[i] : at[i + 1]]
-                rows.append((int(i), False, low[mine].tobytes(), c[mine].tobytes()))
+                rows.append((int(i), False, low[mine].tobytes(), c[mine].tobytes(), None))
             if late.any():
                 whole = (r[late].astype(np.int64) << 32) | low[late].astype(np.int64)
-                rows.append((int(cls[0] % ranges), True, whole.tobytes(), c[late].tobytes()))
+                size = np.array([len(v) for v in held])
+                alone = 1 - np.add.reduceat(late, np.cumsum(size) - size, dtype=np.int64) / size
+                rows.append((int(cls[0] % ranges), True, whole.tobytes(), c[late].tobytes(), np.repeat(alone, size)[late].astype(np.float32).tobytes()))
             held.clear()
             cls.clear()
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v[j] for v in rows], k) for j, k in enumerate(kinds)], names=["range", "late", "tokens", "classes"])
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v[j] for v in rows], k) for j, k in enumerate(kinds)], names=["range", "late", "tokens", "classes", "alone"])
 
         for batch in batches:
             for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -190,17 +193,17 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots: dict[tuple, list] = {}
         for batch in batches:
-            for r, late, t, c in zip(*(v.to_pylist() for v in batch.columns), strict=True):
-                lots.setdefault((r, late), []).append((np.frombuffer(t, np.int64 if late else np.uint32), np.frombuffer(c, np.int64)))
+            for r, late, t, c, a in zip(*(v.to_pylist() for v in batch.columns), strict=True):
+                lots.setdefault((r, late), []).append((np.frombuffer(t, np.int64 if late else np.uint32), np.frombuffer(c, np.int64), np.frombuffer(a or b"", np.float32)))
         for (r, late), parts in lots.items():
-            token, cid = (np.concatenate([p[j] for p in parts]) for j in (0, 1))
+            token, cid, alone = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 2))
             parts.clear()
             order = np.argsort(token, kind="stable")
             if not late:  # most tokens are alone: only the others are sorted by class
                 s = token[order]
                 same = s[1:] == s[:-1]
                 order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-            order = order[np.lexsort((cid[order], token[order]))]
+            order = order[np.lexsort((cid[order], alone[order], token[order]) if late else (cid[order], token[order]))]
             token, cid = token[order].astype(np.int64), cid[order]
             new = np.ones(len(token), bool)  # copies described by several tasks are one
             new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
@@ -216,7 +219,7 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
                 part = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(cid[part]), pa.array(c[part]), pa.array(np.full(len(token[part]), late))], names=["token", "cid", "c", "late"])
 
-    sent = described.where("h is not null").select("h", "prefix").mapInArrow(send, "range int, late boolean, tokens binary, classes binary")
+    sent = described.where("h is not null").select("h", "prefix").mapInArrow(send, "range int, late boolean, tokens binary, classes binary, alone binary")
     return cut(sent.repartition(ranges, "range").mapInArrow(meet, "token long, cid long, c long, late boolean"))
 
 
