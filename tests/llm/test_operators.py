@@ -209,25 +209,44 @@ def test_forward_against_all_paths():
         return math.log(sum(total.values()))
 
     counts = [np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))]
-    assert np.allclose(hmm._in_batches(m, seqs, counts), [brute(s) for s in seqs])
+    n = np.array([len(s) for s in seqs])
+    assert np.allclose(hmm._in_batches(m, np.concatenate(seqs), np.cumsum(n) - n, n, counts), [brute(s) for s in seqs])
     assert np.isclose(counts[2].sum(), 13) and np.isclose(counts[1].sum(), 9) and np.isclose(counts[0].sum(), 4)
 
 
+def plain_words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")) if w]
+
+
 def test_hmm_scores(spark, odd):
     d = docs(spark).select("doc_id", "text").unionByName(odd.select(F.col("doc_id") + 100_000, "text").toDF("doc_id", "text"))
-    train = d.where(langid.remainder("doc_id", 10) != 0)
-    got = hmm.score_texts(d, train, head=500, vocabulary=200, warm_docs=100, warm_rounds=8, rounds=1).toPandas()
+    d = d.withColumns({c: F.lit(0) for c in ("id", "t", "row", "ids", "tail", "trains", "h", "c", "word")})
+    trains = langid.remainder("doc_id", 10) != 0
+    made = hmm.score_texts(d, trains, head=500, vocabulary=200, classes=64, warm_docs=100, warm_rounds=8, rounds=2, segment=50)
+    got = made.toPandas()
     c, n = Counter(), 0
-    for r in train.collect():
-        c.update(hmm.words(r["text"]))
+    for r in d.where(trains).collect():
+        c.update(plain_words(r["text"]))
         n += 1
     total, v = sum(c.values()) + n, len(c) + 1
-    want = {r["doc_id"]: (len(w := hmm.words(r["text"])) + 1, sum(x in c for x in w) + 1, sum(math.log10((c[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w) + math.log10((n + 0.1) / (total + 0.1 * (v + 1)))) for r in d.collect()}
-    for r in got.dropna().itertuples():
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (*want[r.doc_id][:2], total) and math.isclose(r.base_score, want[r.doc_id][2], rel_tol=1e-9)
+    want = {r["doc_id"]: (len(w := plain_words(r["text"])) + 1, sum(x in c for x in w) + 1, sum(math.log10((c[x] + 0.1) / (total + 0.1 * (v + 1))) for x in w) + math.log10((n + 0.1) / (total + 0.1 * (v + 1)))) for r in d.collect()}
+    assert Counter(got.doc_id.fillna(-1)) == Counter(-1 if r["doc_id"] is None else r["doc_id"] for r in d.collect())  # repeated rows and the null id come back
+    for r in got.itertuples():
+        have = want[None if r.doc_id != r.doc_id else r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (*have[:2], total) and math.isclose(r.base_score, have[2], rel_tol=1e-9)
     held = got[got.doc_id.map(lambda i: i == i and zlib.crc32(str(int(i)).encode()) % 10 == 0) & (got.doc_id < 100_000)]
     assert held.score.sum() > held.base_score.sum()
-    assert hmm.score_texts(d.where("false"), d.where("false")).count() == 0
+    assert hmm.score_texts(d.where("false"), trains).count() == 0
+    assert hmm.score_texts(d.limit(3), F.lit(False)).where("train_tokens = 0 and n_known = 0 and score < 0").count() == 3
+
+
+def test_hmm_probabilities_sum_to_one(spark):
+    """One-word texts, known and unknown alike, and longer ones share one unit of probability."""
+    d = spark.createDataFrame([(1, "a a b"), (2, "b c"), (3, "a d e")], "doc_id long, text string")
+    ask = spark.createDataFrame([(10, ""), *((10 + i, w) for i, w in enumerate("abcde", 1))], "doc_id long, text string")
+    got = hmm.score_texts(d.unionByName(ask), F.col("doc_id") < 10, states=2, vocabulary=2, classes=4, warm_docs=10, warm_rounds=1, rounds=2).where("doc_id >= 10").collect()
+    total = sum(10 ** r["score"] for r in got)
+    assert 0.1 < total < 1 and all(r["n_known"] == r["n_tokens"] for r in got)
 
 
 # -- 7 -----------------------------------------------------------------------------------------------------
