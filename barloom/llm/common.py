@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import tempfile
+import types
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +29,31 @@ def lower_ascii(c: Column) -> Column:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Makes sure that checkpoint() has a folder: the one in spark.checkpoint.dir, else (tests) one of our own."""
+    """Makes sure that checkpoint() has a folder: the one in spark.checkpoint.dir.
+
+    Only a local master (tests) gets a folder of its own; a cluster without the setting is refused, since
+    its executors could not read the driver's files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barloom-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[[^,\]]*(,\s*\d+)?\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return spark
 
 
+def kept_in_worker(name: str, make: Callable[[], object]):
+    """What ``make`` gives, kept for later tasks of this Python worker.
+
+    Functions of this package travel by value, so their own module variables last one task only.
+    """
+    kept = sys.modules.setdefault("barloom_worker", types.ModuleType("barloom_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that a lost executor costs one stage at most."""
     ready(df.sparkSession)

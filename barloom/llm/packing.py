@@ -6,24 +6,26 @@ import base64
 import json
 import logging
 import re
-import sys
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, kept_in_worker, table
 
 LOG = logging.getLogger(__name__)
 #: Words that one Python worker remembers the tokens of; others are encoded each time.
 REMEMBERED = 400_000
 #: Texts with other white space than single spaces and single newlines are encoded in one piece.
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
+#: The control string of the vocabulary (fixed value).
+CONTROL = "<|endoftext|>"
 
 
 class _Words(dict):
@@ -42,7 +44,7 @@ class _Words(dict):
 def tokenizer(vocab: str):
     """A function from text to its ids as little-endian 32-bit bytes.
 
-    A boundary between a non-space and a space always separates tokens of this vocabulary's pattern, so the
+    The vocabulary's control strings in a text become their own ids, as the tokenizers library gives them. A boundary between a non-space and a space always separates tokens of this vocabulary's pattern, so the
     ids of a text are those of its words (each with the space before it) in a row, which are remembered from text to text.
     """
     import public_tokenizers
@@ -56,8 +58,11 @@ def tokenizer(vocab: str):
         return np.array(enc.encode_ordinary(text), "<u4").tobytes()
 
     first, later, newline = _Words(encode, ""), _Words(encode, " "), encode("\n")
+    control = np.array([len(ranks)], "<u4").tobytes()  # the id behind the ranks
 
     def ids(text: str) -> bytes:
+        if CONTROL in text:
+            return control.join(map(ids, text.split(CONTROL)))
         if ODD_SPACE.search(text):
             return encode(text)
         out: list[bytes] = []
@@ -80,9 +85,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = sys.__dict__.setdefault("_barloom_words", {}).get(vocab)  # a worker keeps the words it knows from task to task
-        if ids is None:
-            ids = sys.__dict__["_barloom_words"][vocab] = tokenizer(vocab)
+        ids = kept_in_worker(f"tokenizer {vocab}", lambda: tokenizer(vocab))
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
@@ -135,134 +138,152 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [b for group in bins.values() for b in group]
 
 
-def fillings(counts: dict[int, int], free: list[int], room: int, width: int, steps: int = 4000, perfect: int | None = None) -> list[Pattern]:
-    """Undominated sets of lengths that fill ``room``, least waste first (then fewer, larger ones); ``width`` at most.
+def fillings(counts: dict[int, int], room: int, allowed: int) -> Iterator[Pattern]:
+    """Undominated sets of lengths that fill ``room`` but for at most ``allowed``, least waste first, then larger lengths first.
 
-    A filling is dominated if a free length no larger than one of its lengths (or two of them together) plus
-    the waste could take that place. ``free`` holds the lengths in ascending order. Ends with ``perfect``
-    fillings without waste (``width`` if not given), or when ``steps`` are spent.
+    A filling is dominated if a free length no smaller than one of its lengths, or than two together, could take that place
+    in the same room, or fits into the waste. The sums that the shorter lengths can make (bits of one number for
+    each length) are known beforehand, so every step leads to a filling; they come one by one, as far as they are asked for.
     """
-    found: list[tuple[int, int, Pattern]] = []
-    budget, full = [steps], [0]
-
-    def between(lo: int, hi: int, used: Counter) -> bool:
-        """Whether a free length x has lo <= x <= hi."""
-        i = bisect_right(free, hi) - 1
-        while i >= 0 and free[i] >= lo:
-            if counts[free[i]] > used[free[i]]:
-                return True
-            i -= 1
-        return False
-
-    def dominated(chosen: list[int], waste: int) -> bool:
+    free = sorted(x for x, n in counts.items() if n and x <= room)
+    mask, reach = (1 << (room + 1)) - 1, [1]
+    for x in free:
+        sums, left, k = reach[-1], min(counts[x], room // x), 1
+        while left:
+            k = min(k, left)
+            sums |= (sums << (k * x)) & mask
+            left, k = left - k, 2 * k
+        reach.append(sums)
+
+    def go(i: int, left: int, chosen: Pattern) -> Iterator[Pattern]:
+        if not left:
+            yield chosen
+            return
+        for j in range(bisect_right(free, left, hi=i) - 1, -1, -1):
+            x = free[j]
+            for k in range(min(counts[x], left // x), 0, -1):
+                if reach[j] >> (left - k * x) & 1:
+                    yield from go(j, left - k * x, chosen + (x,) * k)
+
+    def dominated(chosen: Pattern, waste: int) -> bool:
         used = Counter(chosen)
-        pairs = [a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]] if len(chosen) <= 6 else []
-        return waste > 0 and (any(between(y + 1, y + waste, used) for y in chosen) or any(between(p, p + waste, used) for p in pairs))
-
-    def go(top: int, left: int, chosen: list[int]) -> bool:
-        """Fills with lengths up to free[top]; true once no better filling can come."""
-        budget[0] -= 1
-        grew = False
-        for i in range(min(top, bisect_right(free, left) - 1), -1, -1):
-            x = free[i]
-            if chosen.count(x) < counts[x]:
-                grew = True
-                if go(i, left - x, [*chosen, x]) or budget[0] < 0:
-                    return True
-        if not grew and not between(1, left, Counter(chosen)) and not dominated(chosen, left):
-            found.append((left, len(chosen), tuple(chosen)))
-            full[0] += left == 0
-            return full[0] >= (perfect or width)
-        return False
-
-    go(len(free) - 1, room, [])
-    if not found:  # out of steps: the greedy filling stands in
-        chosen, left = [], room
-        for x in reversed(free):
-            k = min(left // x, counts[x])
-            chosen += [x] * k
-            left -= k * x
-        found.append((left, len(chosen), tuple(chosen)))
-    return [f for _, _, f in sorted(found, key=lambda f: (f[0], f[1], [-x for x in f[2]]))[:width]]
-
-
-def _branches(left: dict[int, int], used: int, waste: int, path: object, capacity: int, width: int, steps: int, perfect: int) -> list[tuple]:
+        between = lambda lo, hi: any(counts[x] > used[x] for x in free[bisect_left(free, lo) : bisect_right(free, hi)])
+        if waste and (between(1, waste) or any(between(y + 1, y + waste) for y in used)):
+            return True
+        return len(chosen) <= 8 and any(between(p, p + waste) for p in {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]})
+
+    for waste in range(min(allowed, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            for chosen in go(len(free), room - waste, ()):
+                if not dominated(chosen, waste):
+                    yield chosen
+
+
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each a, lengths over half and what lengths of a or more do not fit beside them."""
+    x = np.array(sorted(counts), np.int64)
+    if not len(x):
+        return 0
+    n = np.array([counts[v] for v in x.tolist()], np.int64)
+    number, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(x * n)))
+    half = np.searchsorted(x, capacity // 2, "right")
+    a = np.concatenate(([0], x[:half]))
+    low, high = np.searchsorted(x, a), np.maximum(half, np.searchsorted(x, capacity - a, "right"))
+    alone, beside = number[-1] - number[high], number[high] - number[half]
+    rest = total[half] - total[low] - (beside * capacity - (total[high] - total[half]))
+    return int((alone + beside + np.maximum(0, -(-rest // capacity))).max())
+
+
+def _branches(left: dict[int, int], used: int, waste: int, path: object, capacity: int, allowed: int) -> Iterator[tuple]:
     """The nodes below a node: the largest length left with each of its fillings, as often as the numbers allow."""
     largest = max(left)
     rest = dict(left)
     rest[largest] -= 1
-    out = []
-    for filling in fillings(rest, sorted(x for x, n in rest.items() if n), capacity - largest, width, steps, perfect):
+    for filling in fillings(rest, capacity - largest, allowed):
         pattern = (largest, *filling)
         need = Counter(pattern)
+        lost = capacity - sum(pattern)
         times = min(left[x] // k for x, k in need.items())
+        times = times if not lost else max(1, min(times, allowed // lost))
         after = {x: n - times * need[x] for x, n in left.items() if n > times * need[x]}
-        out.append((after, used + times, waste + times * (capacity - sum(pattern)), ((times, pattern), path)))
-    return out
+        yield after, used + times, waste + times * lost, ((times, pattern), path)
+
 
+def _search(node: tuple, size: int, bound: int, total: int, capacity: int, nodes: int) -> tuple[int, Packing | None]:
+    """Depth first below a node for packings of fewer than ``size`` bins: the least size found and its bins below the node.
 
-def _search(node: tuple, size: int, bound: int, total: int, capacity: int, nodes: int, width: int, steps: int, perfect: int) -> tuple[int, Packing | None]:
-    """Depth first below a node for packings of fewer than ``size`` bins: the least size found and its bins below the node."""
-    stack, best = [(*node, None)], None
+    Ends when every undominated branch is seen, the bound is met, or ``nodes`` branches are taken. What was once
+    left over with as many bins is not looked at again.
+    """
+    best, seen = None, set()
+    spare = lambda waste: (size - 1) * capacity - total - waste  # noqa: E731  what a better packing may still waste
+    if not node[0]:
+        return (node[1], []) if node[1] < size else (size, None)
+    stack = [_branches(*node, None, capacity, max(0, spare(node[2])))] if spare(node[2]) >= 0 else []
     while stack and nodes and size > bound:
-        nodes -= 1
-        left, used, waste, path = stack.pop()
-        if waste > (size - 1) * capacity - total:
+        branch = next(stack[-1], None)
+        if branch is None:
+            stack.pop()
             continue
-        if left:
-            stack += reversed(_branches(left, used, waste, path, capacity, width, steps, perfect))
-        elif used < size:
+        nodes -= 1
+        left, used, waste, path = branch
+        if not left and used < size:
             size, best = used, []
             while path is not None:
                 entry, path = path
                 best.append(entry)
+        elif left and spare(waste) >= 0 and used + lower_bound(left, capacity) < size:
+            key = hash((used, tuple(sorted(left.items()))))
+            if key not in seen:
+                seen.add(key)
+                stack.append(_branches(left, used, waste, path, capacity, spare(waste)))
     return size, best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 4, steps: int = 4000, parts: int = 8, spark: SparkSession | None = None) -> tuple[Packing, int]:
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, parts: int = 8, spark: SparkSession | None = None) -> tuple[Packing, int]:
     """Packs a histogram (length: number) into few bins; returns the packing and a lower bound on its size.
 
     Best-fit decreasing gives the first incumbent. The search then takes the largest length left, tries its
-    undominated fillings and repeats each as often as the numbers allow, drops branches whose waste already
-    exceeds what a better packing may waste, and ends at the bound. The first ``parts`` nodes or so are
-    independent residual histograms: each is searched on its own, first with one filling without waste a node,
-    then with ``width``, for ``nodes`` branches of ``steps`` of enumeration each; with ``spark`` they are rows of
-    a job. The best packing counts, so both ways give the same. Work depends on how many different lengths there
-    are, not on the number of documents.
+    undominated fillings, all of them as backtracking comes to them, and repeats each as often as the numbers
+    allow; it drops branches whose waste or bound excludes a better packing, and ends at the bound. The first ``parts``
+    nodes or so are independent residual histograms: each is searched on its own for ``nodes`` branches; with
+    ``spark`` they are rows of a job. The best packing counts, so both ways give the same. Work depends on how
+    many different lengths there are, not on the number of documents.
     """
+    counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
+    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     size = sum(n for n, _ in best)
     if size == bound:
         return best, bound
-    front: list[tuple[dict[int, int], int, int, object]] = [({x: n for x, n in counts.items() if n}, 0, 0, None)]
+    front: list[tuple[dict[int, int], int, int, object]] = [(counts, 0, 0, None)]
     at = 0
     while len(front) - at < parts and at < len(front):
         if not any(f[0] for f in front[at:]):
             break
-        front += _branches(*front[at], capacity, width, steps, width) if front[at][0] else [front[at]]
+        left, used, waste, path = front[at]
+        allowed = (size - 1) * capacity - total - waste
+        if left and allowed >= 0:
+            front += islice(_branches(left, used, waste, path, capacity, allowed), parts)
+        elif not left:
+            front.append(front[at])
         at += 1
-    front = front[at:]
-
-    def look(left: dict[int, int], used: int, waste: int) -> tuple[int, Packing | None]:
-        found = [_search((left, used, waste), size, bound, total, capacity, nodes, width, steps, 1)]
-        if found[0][0] > bound:
-            found.append(_search((left, used, waste), found[0][0], bound, total, capacity, nodes, width, steps, width))
-        return next((f for f in reversed(found) if f[1] is not None), (size, None))
+    # what the first node's branches beyond ``parts`` lead to is looked at from the root, last
+    front = [*front[at:], (counts, 0, 0, None)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 left, used, waste = json.loads(code)
-                n, bins = look(dict(left), used, waste)
+                n, bins = _search((dict(left), used, waste), size, bound, total, capacity, nodes)
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([n], pa.int64()), pa.array([json.dumps(bins)])], names=["i", "n", "bins"])
 
     if spark is None:
-        found = ((*look(*f[:3]), f[3]) for f in front)
+        found = ((*_search(f[:3], size, bound, total, capacity, nodes), f[3]) for f in front)
     else:
         rows = [(i, json.dumps([list(left.items()), used, waste])) for i, (left, used, waste, _) in enumerate(front)]
-        made = spark.createDataFrame(rows, "i long, node string").mapInArrow(task, "i long, n long, bins string").collect()
+        made = spark.createDataFrame(rows, "i long, node string").repartition(len(rows), "i").mapInArrow(task, "i long, n long, bins string").collect()
         found = [(r["n"], json.loads(r["bins"]), front[r["i"]][3]) for r in sorted(made, key=lambda r: r["i"])]
     for n, bins, path in found:
         if bins is not None and n < size:
@@ -275,12 +296,12 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, wid
     return best, bound
 
 
-def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = None, capacity: int = 1024, bucket: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = None, capacity: int = 1024, bucket: int = 20_000, nodes: int = 3000, parts: int = 8) -> DataFrame:
     """Adds sequence_id and offset to every row: rows share sequences of ``capacity`` without gaps or overlap.
 
     Only the histogram of lengths (at most ``capacity`` rows) comes to the driver, which packs it with
-    bin_completion (its search is a job) and logs the bins used against the lower bound; the resulting patterns say which ranks of a length go where. Ranks are counted in hash
-    buckets of about ``bucket`` rows, so a length that a third of all rows share spreads over many tasks.
+    bin_completion (its search is a job; ``nodes`` and ``parts`` say how far it goes) and logs the bins used against
+    the lower bound; the resulting patterns say which ranks of a length go where. Ranks are counted in hash buckets of about ``bucket`` rows, so a length that a third of all rows share spreads over many tasks.
     ``order`` names the columns that tell rows apart; equal rows are interchangeable. Lengths must lie in
     1..capacity (others fail the job). An empty table stays empty. Reruns over equal rows agree.
     """
@@ -289,7 +310,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     keys = [f"o{i}" for i in range(len(order))]
     rows = rows.withColumn("len", F.when(F.col("len").between(1, capacity), F.col("len")).otherwise(F.raise_error(F.lit("length out of range")).cast("long")))
     hist = {r["len"]: r["n"] for r in rows.groupBy("len").agg(F.count("*").alias("n")).collect()}
-    packing, bound = bin_completion(hist, capacity, spark=pieces.sparkSession)
+    packing, bound = bin_completion(hist, capacity, nodes, parts, pieces.sparkSession)
     used = sum(n for n, _ in packing)
     LOG.log(logging.WARNING if used > bound else logging.INFO, "packing: %d bins used, at least %d needed", used, bound)
     first, base, slots = Counter(), 0, []
