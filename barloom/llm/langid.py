@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_side, table
 
 #: Stands for a word's edge in an n-gram; no letter has this code point.
 EDGE = 1
@@ -47,7 +47,7 @@ def train_profiles(docs: DataFrame, text: str, lang: str, size: int, per_lang: i
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     have = labelled.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "have_lang")
     draw = F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(F.broadcast(have), F.col("lang") == F.col("have_lang")).where(draw * F.col("n") < per_lang).select("lang", "text")
+    sample = labelled.join(small_side(have), F.col("lang") == F.col("have_lang")).where(draw * F.col("n") < per_lang).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, held, total = _letters(), {}, 0

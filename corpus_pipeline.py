@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,14 +22,17 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts and texts without a letter. Others pass unchanged."""
-    profiles = train_profiles(docs, "text", "lang", size=300, per_lang=10_000, seed=11)
-    # nothing of a text that has a letter can be predicted und while there are profiles
+    """Rejects documents without a language: null texts and texts without a letter. Others pass unchanged, repeated rows too.
+
+    Without a single labelled text there is one nameless profile, so that texts with letters stay.
+    """
+    profiles = train_profiles(docs, "text", "lang", size=300, per_lang=10_000, seed=11) or {"": np.zeros(1, np.int64)}
+    # nothing of a text that has a letter can be predicted und while there is a profile
     return predict_language(docs.select(*COLUMNS), profiles, pred="__pred", score="__score").where("__pred <> 'und'").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines found in ten documents or more; n_chars follows the text. All documents stay."""
+    """Drops lines found in ten documents or more; n_chars follows the text. All documents stay, a null text as an empty one."""
     out = dedup_lines(docs, key=["doc_id", "lang", "source"], min_docs=10, min_chars=1)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -47,7 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; those it takes no copy of go."""
+    """Repeats each document as often as the mix takes it (twice at most); those it takes no copy of go, as do texts without words.
+
+    Rows without an id or a source count as any other; a null source is a source of its own.
+    """
     plan = mix(docs, weights=(3, 1, 2), total=1.5, cap=2.0).where("copies > 0")
     none = F.lit(-(1 << 63)).cast("long")
     key = lambda size, copy: [F.coalesce("doc_id", none).alias("k_id"), F.coalesce("source", F.lit("")).alias("k_source"), F.col("source").isNull().alias("k_none"), size.alias("k_size"), copy.alias("k_copy")]
@@ -59,7 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences of 1024."""
+    """Packs the tokens of all documents into sequences of 1024; a null or empty text is its end token alone."""
     return pack(cut(token_pieces(docs)), order=["doc_id", "piece", "start", "ids_crc32"])
 
 
