@@ -80,7 +80,7 @@ def _ranges(tokens: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
     return (v >> np.uint64(40)).astype(np.int64), (v >> np.uint64(8)).astype(np.uint32)
 
 
-def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int, most: int, seed: int, bucket: int = 2_000_000) -> np.ndarray:
+def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int, most: int, seed: int, bucket: int = 1_000_000) -> np.ndarray:
     """The upper 32 bits of tokens in ``least`` sampled texts or more (one text in ``one_in``), sorted; ``most`` at the most.
 
     The sample grows with the table, so ``least`` means the same number of texts at every size. Tasks send packets
@@ -252,7 +252,7 @@ def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, one_in: int = 4, frequent: int = 4, most_frequent: int = 4_000_000, bucket: int = 2_000_000, centres: int = 2, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
+def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 75, one_in: int = 4, frequent: int = 4, most_frequent: int = 4_000_000, bucket: int = 1_000_000, centres: int = 2, group: int = 256, group_tokens: int = 400_000, queries: int = 512, seed: int = 9) -> DataFrame:
     """Classes of texts linked by Jaccard similarity of word shingles: doc_id, n_shingles, component_id.
 
     Two texts link when 100 * |both| >= percent * |either| over their sets of distinct ``words``-word

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, small_side
+from barloom.llm.common import cut, lean_batches, small_side
 from barloom.llm.jaccard import similar_texts
 from barloom.llm.langid import predict_language, train_profiles
 from barloom.llm.line_dedup import dedup_lines
@@ -26,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Without a single labelled text there is one nameless profile, so that texts with letters stay.
     """
+    lean_batches(spark)
     profiles = train_profiles(docs, "text", "lang", size=300, per_lang=10_000, seed=11) or {"": np.zeros(1, np.int64)}
     # nothing of a text that has a letter can be predicted und while there is a profile
     return predict_language(docs.select(*COLUMNS), profiles, pred="__pred", score="__score").where("__pred <> 'und'").select(*COLUMNS)
@@ -67,6 +68,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the tokens of all documents into sequences of 1024; a null or empty text is its end token alone."""
+    lean_batches(spark)
     return pack(cut(token_pieces(docs)), order=["doc_id", "piece", "start", "ids_crc32"])
 
 
