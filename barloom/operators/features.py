@@ -181,9 +181,39 @@ def swing_events(f: DataFrame) -> DataFrame:
 
 
 def all_events(f: DataFrame, config: Config = Config()) -> DataFrame:
-    """Every event: symbol, session_date, ce (when it can be known), event, value, reference."""
-    parts = [session_events(f), opening_range_events(f), sweep_events(f, config), displacement_events(f, config), structure_events(f), gap_events(f, config), swing_events(f)]
-    return reduce(DataFrame.unionByName, parts)
+    """Every event: symbol, session_date, ce (when it can be known), event, value, reference.
+
+    The same rows as the union of the single families above, in one pass: windows mark what each bar brings
+    about, and one explode gives the events; only gap inversions, which look at later bars, are added.
+    """
+    run = Window.unboundedPreceding
+    x = f.withColumns({"was": F.lag("session_date").over(w_s()), "h2": F.lag("h", 2).over(w_s()), "l2": F.lag("l", 2).over(w_s())})
+    after_or = (F.col("phase") == "rth") & (F.col("ce") >= F.col("or_at"))
+    marks = {"or_high_broken": after_or & (F.col("c") > F.col("or_high")), "or_low_broken": after_or & (F.col("c") < F.col("or_low"))}
+    x = x.withColumns({f"n_{k}": F.count_if(v).over(w_d().rowsBetween(run, 0)) for k, v in marks.items()})
+    before = w_s().rowsBetween(run, -1)
+    for name, swing in (("up", "swing_high"), ("down", "swing_low")):
+        x = x.withColumns({f"g_{name}": F.count(swing).over(before), f"level_{name}": F.last(swing, True).over(before)})
+    broke = {"up": F.col("c") > F.col("level_up"), "down": F.col("c") < F.col("level_down")}
+    x = x.withColumns({f"n_{k}": F.count_if(v).over(Window.partitionBy("symbol", f"g_{k}").orderBy("ce").rowsBetween(run, 0)) for k, v in broke.items()})
+
+    def one(cond, name: str, value: str = "null", reference: str = "null", day: str = "session_date"):
+        cond = F.expr(cond) if isinstance(cond, str) else cond
+        return F.when(cond, F.struct(F.col(day).alias("session_date"), F.lit(name).alias("event"), F.expr(f"cast({value} as double)").alias("value"), F.expr(f"cast({reference} as string)").alias("reference")))
+
+    turn, moved = "was is null or was <> session_date", f"atr > 0 and tr >= {config.displacement}D * atr"
+    up, down = f"l - h2 >= {config.gap_ticks}", f"l2 - h >= {config.gap_ticks}"
+    made = [
+        one(turn, "session_open"), one("was is not null and was <> session_date", "session_close", day="was"), one("ce = or_at", "opening_range_established", "or_high - or_low"),
+        *[one(v & (F.col(f"n_{k}") == 1), k, "c") for k, v in marks.items()],
+        *[one(f"h >= {r} + {config.sweep_ticks} and c < {r}", "sweep_high", r, f"'{r}'") for r in ("pdh", "onh")], *[one(f"l <= {r} - {config.sweep_ticks} and c > {r}", "sweep_low", r, f"'{r}'") for r in ("pdl", "onl")],
+        one(f"{moved} and c > o", "displacement_up", "tr / atr"), one(f"{moved} and c <= o", "displacement_down", "tr / atr"),
+        *[one(v & (F.col(f"n_{k}") == 1), f"structure_break_{k}", f"level_{k}") for k, v in broke.items()],
+        one(up, "fvg_formed_up", "l - h2"), one(down, "fvg_formed_down", "l2 - h"), one(up, "fvg_filled", "l - h2", "'up'"), one(down, "fvg_filled", "l2 - h", "'down'"),
+        one("swing_high is not null", "swing_high", "swing_high"), one("swing_low is not null", "swing_low", "swing_low"),
+    ]
+    direct = x.select("symbol", "ce", F.explode(F.array_compact(F.array(*made))).alias("e")).select("symbol", "e.session_date", "ce", "e.event", "e.value", "e.reference")
+    return direct.unionByName(gap_events(f, config).where("event = 'fvg_inverted'"))
 
 
 STATE = ["vwap", "distance_to_vwap", "atr", "realized_volatility", "volume_ratio", "session_high", "session_low", "bar_range", "minutes_since_rth_open", "pdh", "pdl", "onh", "onl", "orh", "orl", *(f"distance_to_{x}" for x in ("pdh", "pdl", "onh", "onl", "orh", "orl")), "swing_high", "swing_low"]

@@ -20,9 +20,24 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+#: What the last query keeps in memory or on disk while its result is read.
+KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Keeps rows that one query reads several times; the next query lets them go."""
+    KEPT.append(df.persist())
+    return df
+
+
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            while KEPT:
+                KEPT.pop().unpersist()
+            return f(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = sql
         return f
@@ -35,8 +50,8 @@ def _bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feats(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide rows, kept (memory, then disk) while a session asks several times for the same tape."""
-    return ft.features(spark, sf).persist()
+    """The wide rows, kept (memory, then disk) while one query's result is read."""
+    return keep(ft.features(spark, sf))
 
 
 # -- sources -----------------------------------------------------------------------------------------------
@@ -436,17 +451,6 @@ def _(spark, sf):
     return e.join(m, "hypothesis").select("hypothesis", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "mfe")])
 
 
-_CTRL = "ctrl AS (SELECT CASE WHEN extract('hour' FROM make_timestamp(ce * 1000000)) < 18 THEN 'day' ELSE 'night' END AS stratum, sum(terminal) AS cs, count(*) AS cn FROM p2 WHERE n_path > 0 GROUP BY ALL)"
-_LIFT = f"WITH {_OBS},\n{_CTRL},\ncells AS (SELECT hypothesis, stratum, sum(signed) AS es, count(*) AS en FROM obs GROUP BY ALL) SELECT hypothesis, CAST(sum(en) AS BIGINT) AS n, round(sum(es) / sum(en), 4) AS event_mean, round(sum(en * cs / cn) / sum(en), 4) AS control_mean, round(sum(es) / sum(en) - sum(en * cs / cn) / sum(en), 4) AS lift FROM cells JOIN ctrl USING (stratum) GROUP BY hypothesis"
-
-
-@query("a_lift", _LIFT)
-def _(spark, sf):
-    control = pt.with_paths(_feats(spark, sf), 7200).where("n_path > 0").select(F.when(F.hour(F.timestamp_seconds("ce")) < 18, "day").otherwise("night").alias("stratum"), F.col("terminal").alias("signed"))
-    x = inf.lift(_observations(spark, sf).select("hypothesis", "stratum", "signed"), control, ["hypothesis"], "signed")
-    return x.select("hypothesis", "n", *[F.round(c, 4).alias(c) for c in ("event_mean", "control_mean", "lift")])
-
-
 @query("a_strata", f"WITH {_OBS} SELECT hypothesis, session_date, stratum, CAST(sum(signed) AS BIGINT) AS total, count(*) AS n FROM obs GROUP BY ALL")
 def _(spark, sf):
     return _observations(spark, sf).groupBy("hypothesis", "session_date", "stratum").agg(F.sum("signed").cast("long").alias("total"), F.count("*").alias("n"))
@@ -493,42 +497,17 @@ def _(spark, sf):
     return _session_days(spark, sf).select("session_date", F.least(F.lit(2), F.expr("i * 3 div n")).alias("third"))
 
 
-@query("w_topk_short", f"{_LIFT} ORDER BY abs(round(sum(es) / sum(en) - sum(en * cs / cn) / sum(en), 4)) DESC, hypothesis LIMIT 5")
-def _(spark, sf):
-    return QUERIES["a_lift"](spark, sf).orderBy(F.desc(F.abs("lift")), "hypothesis").limit(5)
-
-
 @query("w_stride", f"WITH {O.BARS} SELECT symbol, ce FROM (SELECT symbol, ce, row_number() OVER (PARTITION BY symbol ORDER BY ce) AS k FROM bars) WHERE k % 3 = 1")
 def _(spark, sf):
     return src.bars_from_events(spark, sf).withColumn("k", F.row_number().over(ft.w_s())).where("k % 3 = 1").select("symbol", "ce")
 
 
-_REF = f"""WITH {O.FEATS}, closing AS (SELECT symbol, session_date, arg_max(atr, ce) AS atr FROM feats WHERE atr IS NOT NULL GROUP BY ALL),
-ref AS (SELECT symbol, session_date, CASE WHEN count(atr) OVER w = 5 THEN median(atr) OVER w END AS reference FROM closing WINDOW w AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
-SELECT symbol, session_date, round(reference, 6) AS reference FROM ref"""
-
-
-@query("w_vol_reference", _REF)
-def _(spark, sf):
-    c = _feats(spark, sf).where("atr is not null").groupBy("symbol", "session_date").agg(F.max_by("atr", "ce").alias("atr"))
-    w = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(-5, -1)
-    return c.select("symbol", "session_date", F.round(F.when(F.count("atr").over(w) == 5, F.expr("percentile(atr, 0.5)").over(w)), 6).alias("reference"))
-
-
 @query("s_reservoir", f"WITH {O.FEATS} SELECT symbol, phase, ce FROM (SELECT symbol, phase, ce, row_number() OVER (PARTITION BY symbol, phase ORDER BY md5('7|' || ce), ce) AS k FROM feats) WHERE k <= 20")
 def _(spark, sf):
     f = _bars(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("symbol", "phase").orderBy(F.md5(F.concat(F.lit("7|"), F.col("ce").cast("string")).cast("binary")), "ce")))
     return f.where("k <= 20").select("symbol", "phase", "ce")
 
 
-@query("a_cube", f"WITH {O.FEATS} SELECT coalesce(symbol, '*') AS symbol, coalesce(phase, '*') AS phase, coalesce(side, '*') AS side, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM (SELECT symbol, phase, CASE WHEN vwap IS NULL OR c > vwap THEN 'above' ELSE 'below' END AS side, c FROM feats) GROUP BY GROUPING SETS ((), (symbol), (phase), (side), (symbol, phase), (symbol, side), (phase, side))")
-def _(spark, sf):
-    f = _feats(spark, sf).select("symbol", "phase", F.coalesce("above_vwap", F.lit("above")).alias("side"), "c")
-    sets = [[], ["symbol"], ["phase"], ["side"], ["symbol", "phase"], ["symbol", "side"], ["phase", "side"]]
-    g = f.groupingSets([[F.col(c) for c in s] for s in sets], F.col("symbol"), F.col("phase"), F.col("side")).agg(F.count("*").alias("n"), F.sum("c").cast("long").alias("total"))
-    return g.select(*[F.coalesce(c, F.lit("*")).alias(c) for c in ("symbol", "phase", "side")], "n", "total")
-
-
 @query("a_percentiles", f"WITH {O.BARS} SELECT symbol, r[CAST(floor(n * 0.5) AS BIGINT) + 1] AS p50, r[CAST(floor(n * 0.9) AS BIGINT) + 1] AS p90 FROM (SELECT symbol, list_sort(list(h - l)) AS r, count(*) AS n FROM bars GROUP BY symbol)")
 def _(spark, sf):
     # nearest rank, found by position in the sorted rows rather than in a collected list
@@ -553,31 +532,10 @@ def _(spark, sf):
     return t.groupBy("bracket").agg(F.count("*").alias("n"), F.count_if(F.expr("fav is not null and (adv is null or fav < adv)")).alias("up_first"), F.count_if(F.expr("fav = adv")).alias("ambiguous"), F.count_if(F.expr("fav is null and adv is null")).alias("neither"))
 
 
-@query("i_boot_cluster", f"""WITH {_OBS}, cells AS (SELECT hypothesis, session_date, sum(signed) AS s, count(*) AS n FROM obs GROUP BY ALL),
-c AS (SELECT *, row_number() OVER (PARTITION BY hypothesis ORDER BY session_date) - 1 AS i, count(*) OVER (PARTITION BY hypothesis) AS k FROM cells),
-d AS (SELECT hypothesis, r, CAST('0x' || substr(md5('20260907|' || r || '|' || i), 1, 8) AS BIGINT) % k AS pick FROM c, range(1, 201) t(r)),
-m AS (SELECT d.hypothesis, r, sum(s) / sum(n) AS mean FROM d JOIN c ON c.hypothesis = d.hypothesis AND c.i = d.pick GROUP BY ALL)
-SELECT hypothesis, round(list_sort(list(mean))[6], 4) AS ci_low, round(list_sort(list(mean))[196], 4) AS ci_high FROM m GROUP BY hypothesis""")
-def _(spark, sf):
-    b = inf.bootstrap_mean(_observations(spark, sf), ["hypothesis"], "signed")
-    return b.select("hypothesis", F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
-
-
-_FAM = ", ".join(f"({i}, '{f}', '{v}')" for i, (f, v) in enumerate((f, v) for f, vs in inf.FAMILIES.items() for v in vs))
-
-
 def _values(names: list[str]) -> str:
     return ", ".join(f"('{n}')" for n in names)
 
 
-@query("set_census", f"""WITH s(i, f, v) AS (VALUES {_FAM}), one AS (SELECT i, f, f || '=' || v AS cond FROM s),
-sets AS (SELECT '' AS cond, 0 AS k UNION ALL SELECT cond, 1 FROM one UNION ALL SELECT least(a.cond, b.cond) || '&' || greatest(a.cond, b.cond), 2 FROM one a JOIN one b ON a.i < b.i AND a.f <> b.f),
-anchors(anchor) AS (VALUES {_values(inf.ANCHORS)}), pred(predecessor) AS (VALUES (CAST(NULL AS VARCHAR)), {_values(inf.PREDECESSORS)})
-SELECT anchor, predecessor, cond, horizon, direction, 1 + k + CASE WHEN predecessor IS NULL THEN 0 ELSE 1 END AS complexity FROM anchors, pred, sets, (VALUES (30), (60)) h(horizon), (VALUES ('up'), ('down')) d(direction) WHERE predecessor IS NULL OR k <= 1""")
-def _(spark, sf):
-    return inf.census(spark)
-
-
 @query("set_session_universe", f"WITH {O.EVS} SELECT DISTINCT session_date FROM evs UNION SELECT session_date FROM sess")
 def _(spark, sf):
     f = _feats(spark, sf)
@@ -614,40 +572,6 @@ def _(spark, sf):
     return w.join(sig, "hypothesis", "left").select("hypothesis", "d_n", "v_n", "h_n", F.expr(_VERDICT).alias("verdict"))
 
 
-@query("a_conditioning", f"WITH {_OBS}, x AS (SELECT hypothesis, coalesce(above, false) AS matched, count(*) AS n, avg(signed) AS mean FROM obs GROUP BY ALL) SELECT hypothesis, any_value(n) FILTER (matched) AS n_matched, any_value(n) FILTER (NOT matched) AS n_rest, round(any_value(mean) FILTER (matched) - any_value(mean) FILTER (NOT matched), 4) AS contrast FROM x GROUP BY hypothesis HAVING any_value(n) FILTER (matched) >= 10 AND any_value(n) FILTER (NOT matched) >= 10")
-def _(spark, sf):
-    m = F.coalesce(F.col("above_vwap") == "above", F.lit(False))
-    x = _observations(spark, sf).groupBy("hypothesis").agg(F.count_if(m).alias("n_matched"), F.count_if(~m).alias("n_rest"), F.avg(F.when(m, F.col("signed"))).alias("a"), F.avg(F.when(~m, F.col("signed"))).alias("b"))
-    return x.where("n_matched >= 10 and n_rest >= 10").select("hypothesis", "n_matched", "n_rest", F.round(F.col("a") - F.col("b"), 4).alias("contrast"))
-
-
-_BAND = "CASE WHEN reference IS NULL OR atr IS NULL THEN 'unknown' WHEN atr < 0.8 * reference THEN 'quiet' WHEN atr > 1.2 * reference THEN 'elevated' ELSE 'normal' END"
-
-
-@query("j_stratify", _REF[: _REF.rindex("SELECT symbol, session_date, round")] + f"SELECT f.symbol, f.ce, CAST(floor((f.ce - f.open_s) / 3600.0) AS BIGINT) AS bucket, {_BAND} AS band FROM feats f LEFT JOIN ref USING (symbol, session_date)".replace("atr", "f.atr"))
-def _(spark, sf):
-    f = _feats(spark, sf)
-    c = f.where("atr is not null").groupBy("symbol", "session_date").agg(F.max_by("atr", "ce").alias("atr"))
-    w = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(-5, -1)
-    ref = c.select("symbol", "session_date", F.when(F.count("atr").over(w) == 5, F.expr("percentile(atr, 0.5)").over(w)).alias("reference"))
-    return f.join(ref, ["symbol", "session_date"], "left").select("symbol", "ce", F.expr("floor((ce - open_s) / 3600)").alias("bucket"), F.expr(_BAND).alias("band"))
-
-
-@query("i_perm", f"""WITH {_OBS}, o AS (SELECT hypothesis, signed, stratum, symbol || '|' || ce || '|' || signed AS id, count(*) OVER (PARTITION BY hypothesis, stratum) AS m FROM (SELECT DISTINCT hypothesis, symbol, ce, signed, stratum FROM obs) q),
-x AS (SELECT hypothesis, r, avg(CASE WHEN CAST('0x' || substr(md5('11|' || r || '|' || id), 1, 8) AS BIGINT) % 2 = 0 THEN signed ELSE -signed END) AS mean FROM o, range(1, 101) t(r) GROUP BY ALL), real AS (SELECT hypothesis, avg(signed) AS mean FROM o GROUP BY hypothesis)
-SELECT real.hypothesis, round((count(*) FILTER (abs(x.mean) >= abs(real.mean)) + 1) / (count(*) + 1), 6) AS p FROM real JOIN x USING (hypothesis) GROUP BY real.hypothesis""")
-def _(spark, sf):
-    # signs are drawn by md5 of the round and the row, and rows shrink to one mean for each round as they are drawn
-    o = _observations(spark, sf).select("hypothesis", "symbol", "ce", "signed").distinct()
-    row = F.concat_ws("|", "symbol", F.col("ce").cast("string"), F.col("signed").cast("string"))
-    d = o.withColumn("id", row).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(100))))
-    even = F.pmod(inf.md5_int(F.lit(11), F.col("round"), F.col("id")), F.lit(2)) == 0
-    x = d.groupBy("hypothesis", "round").agg(F.avg(F.when(even, F.col("signed")).otherwise(-F.col("signed"))).alias("mean"))
-    real = o.groupBy("hypothesis").agg(F.avg("signed").alias("real"))
-    j = x.join(F.broadcast(real), "hypothesis").groupBy("hypothesis").agg(F.count_if(F.abs("mean") >= F.abs("real")).alias("extreme"), F.count("*").alias("n"))
-    return j.select("hypothesis", F.round((F.col("extreme") + 1) / (F.col("n") + 1), 6).alias("p"))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Opening-range breaks above VWAP and their mean path over the next hour, by symbol."""
     f = pt.with_paths(_feats(spark, sf), 3600)
@@ -658,3 +582,6 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query("flagship", f"WITH {O.FEATS},\n{O.GAPS},\n{O.paths('p', 3600)}, e AS ({O.EVENTS['or_high_broken']}) SELECT p.symbol, CASE WHEN vwap IS NULL THEN NULL WHEN c > vwap THEN 'above' ELSE 'below' END AS above_vwap, count(*) AS n, round(avg(terminal), 4) AS mean_return FROM p JOIN e ON p.symbol = e.symbol AND p.ce = e.ce WHERE n_path > 0 GROUP BY ALL")
 def _(spark, sf):
     return flagship(spark, sf)
+
+
+from . import study  # noqa: E402, F401  registers its queries
