@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from . import features as ft
 from . import inference as inf
 from . import paths as pt
@@ -117,7 +118,7 @@ def cluster_bootstrap(a: DataFrame, keys: Sequence[str] = ("hypothesis",), round
     Rows shrink to one per session and stratum first; a round's draws shrink to how often it takes each session.
     Keys with fewer than ``least`` sessions get nulls. Returns keys, sessions, ci_low, ci_high, p.
     """
-    c = a.groupBy(*keys, "session_date", "stratum").agg(*[F.sum(F.when(F.col("arm") == arm, x)).alias(n) for arm, n, x in (("event", "es", F.col("y")), ("event", "en", F.lit(1)), ("control", "cs", F.col("y")), ("control", "cn", F.lit(1)))])
+    c = cut(a.groupBy(*keys, "session_date", "stratum").agg(*[F.sum(F.when(F.col("arm") == arm, x)).alias(n) for arm, n, x in (("event", "es", F.col("y")), ("event", "en", F.lit(1)), ("control", "cs", F.col("y")), ("control", "cn", F.lit(1)))]))
     w = Window.partitionBy(*keys)
     s = c.select(*keys, "session_date").distinct().withColumn("pick", F.row_number().over(w.orderBy("session_date")) - 1).withColumn("k", F.count("*").over(w))
     sizes = s.select("k").distinct().where(F.col("k") >= least)
@@ -194,13 +195,13 @@ def candidate_rows(f: DataFrame, horizon_s: int, recent_s: int = 3600) -> tuple[
     A row comes once without a predecessor and once for each predecessor type among the events of the last ``recent_s``.
     Controls are bars without any anchor event.
     """
-    e = ft.all_events(f).where(F.col("event").isin(inf.ANCHORS)).select("symbol", "ce", "event").distinct()
+    e = cut(ft.all_events(f).where(F.col("event").isin(inf.ANCHORS)).select("symbol", "ce", "event").distinct())
     t = pt.with_paths(tagged(f), horizon_s).where("n_path > 0").select("symbol", "ce", "stratum", *TAGS, F.col("terminal").alias("y"))
     # recent types at every bar: own events and those of earlier bars, collected over a time frame
     at = t.select("symbol", "ce").unionByName(e.select("symbol", "ce")).distinct().join(e.where(F.col("event").isin(inf.PREDECESSORS)).groupBy("symbol", "ce").agg(F.collect_set("event").alias("here")), ["symbol", "ce"], "left")
     w = Window.partitionBy("symbol").orderBy("ce").rangeBetween(-recent_s, 0)
     at = at.withColumn("recent", F.array_distinct(F.flatten(F.collect_list("here").over(w)))).select("symbol", "ce", F.explode(F.concat(F.array(F.lit("-")), "recent")).alias("predecessor"))
-    t = t.join(at, ["symbol", "ce"])
+    t = cut(t.join(at, ["symbol", "ce"]))
     return t.join(e.withColumnRenamed("event", "anchor"), ["symbol", "ce"]), t.join(e.select("symbol", "ce").distinct(), ["symbol", "ce"], "left_anti")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
+from ..functions.lineage import cut
 from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import paths as pt
@@ -20,24 +21,9 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-#: What the last query keeps in memory or on disk while its result is read.
-KEPT: list[DataFrame] = []
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Keeps rows that one query reads several times; the next query lets them go."""
-    KEPT.append(df.persist())
-    return df
-
-
 def query(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf: str) -> DataFrame:
-            while KEPT:
-                KEPT.pop().unpersist()
-            return f(spark, sf)
-
-        QUERIES[name] = run
+        QUERIES[name] = f
         if sql is not None:
             SQL[name] = sql
         return f
@@ -50,8 +36,8 @@ def _bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _feats(spark: SparkSession, sf: str) -> DataFrame:
-    """The wide rows, kept (memory, then disk) while one query's result is read."""
-    return keep(ft.features(spark, sf))
+    """The wide rows, written once for a query that reads them several times."""
+    return cut(ft.features(spark, sf))
 
 
 # -- sources -----------------------------------------------------------------------------------------------

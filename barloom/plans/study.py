@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import paths as pt
 from ..operators import study as st
 from . import oracles as O  # noqa: N812
-from .registry import _HYP, _feats, _values, keep, query
+from .registry import _HYP, _feats, _values, query
 
 #: Rounds of the two event-level diagnostics in the registered queries; the operators take 400 by default.
 DIAGNOSTIC = 100
@@ -68,7 +69,7 @@ def _shown(x):
 
 
 def _arms(spark, sf):
-    return keep(st.arms(spark, _feats(spark, sf)))
+    return cut(st.arms(spark, _feats(spark, sf)))
 
 
 @query("w_vol_reference", f"WITH {O.FEATS}, {REF.format(n=20)} SELECT symbol, session_date, round(reference, 6) AS reference FROM ref")
