@@ -9,6 +9,7 @@ import types
 from collections.abc import Callable
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def tidy_worker() -> None:
+    """Drops what earlier tasks kept in this Python worker and gives unused memory back."""
+    sys.modules.pop("barloom_worker", None)
+    pa.default_memory_pool().release_unused()
+
+
 def lean_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sends at most ``rows`` rows to Python at once from now on: texts may be long, and what is returned runs later."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, small_side, table
+from .common import components, cut, small_batches, small_side, table, tidy_worker
 
 #: Odd multipliers, one for each place in a shingle (fixed values).
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
@@ -93,6 +93,7 @@ def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int,
     ranges = max(1, -(-size // (6 * one_in * bucket)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         held, size, seen = [], 0, set()
 
         def out() -> pa.RecordBatch:
@@ -191,6 +192,7 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
             yield out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         lots: dict[tuple, list] = {}
         for batch in batches:
             for r, late, t, c, a in zip(*(v.to_pylist() for v in batch.columns), strict=True):
@@ -286,6 +288,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     hot = spark.sparkContext.broadcast(frequent_tokens(docs, text, words, one_in, frequent, most_frequent, seed))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         last, seen = hot.value, set()
         for batch in batches:
             n, h, prefix = [], [], []
