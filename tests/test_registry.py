@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer orders lineitem part events".split()
-SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "set_census", "j_condition_state"]
+SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "a_lift", "i_perm", "i_screen", "j_condition_state"]
 
 
 def rows(df: pd.DataFrame) -> list:
@@ -88,6 +88,31 @@ def test_csv_reader(spark, tmp_path):
         src.read_csv(spark, str(p), "bars").collect()
 
 
+def test_one_pass_events_are_the_families(spark):
+    from functools import reduce
+
+    f = ft.features(spark, SF)
+    c = ft.Config()
+    parts = [ft.session_events(f), ft.opening_range_events(f), ft.sweep_events(f, c), ft.displacement_events(f, c), ft.structure_events(f), ft.gap_events(f, c), ft.swing_events(f)]
+    assert rows(ft.all_events(f).toPandas()) == rows(reduce(lambda a, b: a.unionByName(b), parts).toPandas())
+
+
+def test_planted_effect(spark):
+    """Events that are ten ticks better than controls of their stratum: the lift says so, the interval excludes zero, the permutation agrees."""
+    from barloom.operators import study as st
+
+    base = spark.range(2400).selectExpr("'h' as hypothesis", "case when id % 4 = 0 then 'event' else 'control' end as arm", "'s' as symbol", "string(id % 12) as session_date", "id as ce", "string(id % 3) as stratum", "bigint(pmod(xxhash64(id), 21)) - 10 + (id % 3) * 100 + case when id % 4 = 0 then 10 else 0 end as y", "bigint(0) as mfe", "bigint(0) as mae", "true as fav", "true as above")
+    got = st.matched_lift(base).first()
+    assert abs(got["lift"] - 10) < 1.5 and got["n"] == 600 and got["strata_dropped"] == 0
+    ci = st.cluster_bootstrap(base, rounds=200).first()
+    assert ci["sessions"] == 12 and 7 < ci["ci_low"] <= got["lift"] <= ci["ci_high"] < 13 and ci["p"] < 0.02
+    assert st.permutation(base, rounds=60).first()["p"] < 0.02
+    few = st.cluster_bootstrap(base.where("session_date in ('0', '1', '2')"), rounds=20).first()
+    assert few["sessions"] == 3 and few["ci_low"] is None
+    thin = st.matched_lift(base.where("arm = 'event' or ce < 40")).first()
+    assert thin["strata_dropped"] == 3 and thin["lift"] is None
+
+
 def test_empty_tape(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").where("false").write.parquet(str(tmp_path / "events.parquet"))
     assert ft.all_events(ft.features(spark, str(tmp_path))).count() == 0
