@@ -284,7 +284,7 @@ def tiff_pages(df: DataFrame, content: str, keys: list[str]) -> DataFrame:
                     for at, (tags, a) in enumerate(read_pages(data)):
                         index.append(i)
                         rows.append((at, a.shape[1], a.shape[0], a.shape[2], 8 * a.dtype.itemsize, tags.get(COMPRESSION, (NONE,))[0], tags.get(PREDICTOR, (1,))[0], a.astype(a.dtype.newbyteorder("<")).tobytes(), feature(a), None))
-                except (ValueError, KeyError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, OverflowError, MemoryError, struct.error, zlib.error) as e:  # absurd sizes in a header too
                     index.append(i)
                     rows.append((None,) * 9 + (f"{type(e).__name__}: {e}",))
             kept = batch.select(range(len(keys))).take(pa.array(index, pa.int64()))
