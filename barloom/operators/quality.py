@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quality(f: DataFrame, slot_s: int = 1800, min_coverage: float = 0.6, max_gap: int = 4, min_bars: int = 4, excursion: float = 200.0) -> DataFrame:
+def implausible(tolerance: float = 0.05) -> Column:
+    """Whether a bar's high or low stands out from both neighbours in its session, strictly by more than ``tolerance``; first and last bars do not."""
+    w = Window.partitionBy("symbol", "session_date").orderBy("ce")
+    before, after = F.lag("c").over(w), F.lead("o").over(w)
+    high, low = F.greatest(before, after), F.least(before, after)
+    up, down = F.try_divide(F.col("h") - high, high), F.try_divide(low - F.col("l"), high)
+    return before.isNotNull() & after.isNotNull() & (high > 0) & ((up > tolerance) | ((low > 0) & (down > tolerance)))
+
+
+def quality(f: DataFrame, slot_s: int = 1800, min_coverage: float = 0.95, max_gap: int = 0, min_bars: int = 30, tolerance: float = 0.05) -> DataFrame:
     """One row per symbol and session: counts, coverage, gaps, exclusions (sorted by rule order) and observations.
 
     ``slot_s`` is the bar interval; gaps and coverage count slots of the regular session. Everything is one
@@ -17,9 +26,7 @@ def quality(f: DataFrame, slot_s: int = 1800, min_coverage: float = 0.6, max_gap
     f = f.withColumn("slot", F.when(rth, F.expr(f"(os - open_s) div {slot_s}"))).withColumn("n_slots", F.expr(f"(close_s - open_s) div {slot_s}"))
     prev_slot = F.last("slot", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     f = f.withColumn("gap", F.when(F.col("slot").isNotNull(), F.col("slot") - F.coalesce(prev_slot, F.lit(-1)) - 1))
-    before, after = F.lag("c").over(w), F.lead("o").over(w)
-    # an extreme print stands out from both neighbours
-    f = f.withColumn("bad", (F.col("h") > F.greatest(before, after) * (1 + excursion)) & before.isNotNull() & after.isNotNull() & (F.least(before, after) > 0))
+    f = f.withColumn("bad", implausible(tolerance))
     g = f.groupBy("symbol", "session_date").agg(
         F.count("*").alias("n_bars"), F.sum("v").alias("volume"), F.count_if(rth).alias("n_rth"), F.count_if(~rth).alias("n_overnight"), F.max("n_slots").alias("n_slots"), F.countDistinct("slot").alias("seen"),
         F.max("gap").alias("gap"), F.max("slot").alias("last_slot"), F.count_if("bad").alias("n_bad"), F.max("bar_range").alias("max_range"), F.sort_array(F.collect_list("bar_range")).alias("ranges"), F.first("early").alias("early"),

@@ -356,20 +356,29 @@ q5 AS (SELECT *, concat_ws(',', CASE WHEN coverage < 0.6 OR n_rth < 4 THEN 'rth_
 )
 
 
+#: What this tape of half-hour bars can meet; the operator's own defaults are those for minute bars.
+TAPE = {"min_coverage": 0.6, "max_gap": 4, "min_bars": 4, "tolerance": 200.0}
+
+
+@query("a_implausible", f"WITH {O.FEATS}, n AS (SELECT *, lag(c) OVER w AS bc, lead(o) OVER w AS ao FROM feats WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ce)) SELECT symbol, ce, coalesce(bc IS NOT NULL AND ao IS NOT NULL AND greatest(bc, ao) > 0 AND ((h - greatest(bc, ao)) / greatest(bc, ao) > 0.05 OR (least(bc, ao) > 0 AND (least(bc, ao) - l) / greatest(bc, ao) > 0.05)), false) AS flagged FROM n")
+def _(spark, sf):
+    return _feats(spark, sf).select("symbol", "ce", F.coalesce(ql.implausible(0.05), F.lit(False)).alias("flagged"))
+
+
 @query("a_quality", f"WITH {_QUALITY} SELECT symbol, session_date, n_bars, volume, n_rth, n_overnight, coverage, longest_gap, n_bad, range_ratio, exclusions, observations, exclusions = '' AS passed FROM q5")
 def _(spark, sf):
-    return ql.quality(_feats(spark, sf))
+    return ql.quality(_feats(spark, sf), **TAPE)
 
 
 @query("a_quality_summary", f"WITH {_QUALITY} SELECT rule, count(*) AS n FROM (SELECT unnest(string_split(exclusions, ',')) AS rule FROM q5 WHERE exclusions <> '' UNION ALL SELECT unnest(string_split(observations, ',')) FROM q5 WHERE observations <> '') GROUP BY rule")
 def _(spark, sf):
-    q = ql.quality(_feats(spark, sf))
+    q = ql.quality(_feats(spark, sf), **TAPE)
     return q.select(F.explode(F.array_union(F.split("exclusions", ","), F.split("observations", ","))).alias("rule")).where("rule <> ''").groupBy("rule").agg(F.count("*").alias("n"))
 
 
 @query("a_passed_days", f"WITH {_QUALITY} SELECT symbol, session_date FROM q5 WHERE exclusions = ''")
 def _(spark, sf):
-    return ql.quality(_feats(spark, sf)).where("passed").select("symbol", "session_date")
+    return ql.quality(_feats(spark, sf), **TAPE).where("passed").select("symbol", "session_date")
 
 
 _CONT = (
@@ -505,7 +514,7 @@ def _(spark, sf):
 
 @query("a_cluster_rate", f"WITH {_QUALITY} SELECT CAST(isodow(CAST(session_date AS DATE)) AS BIGINT) AS weekday, count(*) AS n, count(*) FILTER (exclusions <> '') AS excluded FROM q5 GROUP BY 1")
 def _(spark, sf):
-    q = ql.quality(_feats(spark, sf))
+    q = ql.quality(_feats(spark, sf), **TAPE)
     return q.groupBy((F.weekday(F.col("session_date").cast("date")) + 1).cast("long").alias("weekday")).agg(F.count("*").alias("n"), F.count_if(~F.col("passed")).alias("excluded"))
 
 
