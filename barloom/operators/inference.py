@@ -35,19 +35,37 @@ def estimate(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.stddev_pop(v).alias("sd"))
 
 
+# Coefficients of the Chebyshev fit of the complementary error function, lowest power first.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+
+
+def horner(coefficients: list[float], x: str) -> str:
+    """A polynomial as SQL text."""
+    out = repr(coefficients[-1])
+    for c in reversed(coefficients[:-1]):
+        out = f"({c!r} + {x} * {out})"
+    return out
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function for x >= 0, as plain arithmetic; its relative error stays below 1.2e-7 in the tail too."""
+    t = F.lit(1.0) / (1 + 0.5 * x)
+    power = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = c + t * power
+    return t * F.exp(-x * x + power)
+
+
 def normal_cdf(z: Column) -> Column:
-    """Normal distribution function by the error function's rational approximation (error below 1.5e-7), as plain arithmetic."""
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = F.lit(1.0) / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    erf = 1 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+    """Normal distribution function by the complementary error function; small below as above."""
+    tail = erfc(F.abs(z) / F.sqrt(F.lit(2.0))) / 2
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
 
 
 def two_sided_p(mean: Column, sd: Column, n: Column) -> Column:
     """p of a mean against 0 by the normal approximation; without spread 0 if the mean is not 0, else 1."""
     z = F.try_divide(F.abs(mean), sd / F.sqrt(n.cast("double")))
-    return F.when(sd == 0, F.when(mean == 0, 1.0).otherwise(0.0)).otherwise(2 * (1 - normal_cdf(z)))
+    return F.when(sd == 0, F.when(mean == 0, 1.0).otherwise(0.0)).otherwise(erfc(z / F.sqrt(F.lit(2.0))))
 
 
 def benjamini_hochberg(df: DataFrame, label: str, p: str, fdr: float = 0.05, family: list[str] | None = None) -> DataFrame:

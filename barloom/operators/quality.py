@@ -44,13 +44,18 @@ def contracts(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol", "session_date").agg(F.array_join(F.array_sort(F.collect_set("contract_id")), ",").alias("contract_ids"), F.countDistinct("contract_id").alias("n_contracts"), F.count("*").alias("n_bars"), F.count_if(F.col("contract_id").isNull()).alias("n_missing"))
 
 
-def continuity(c: DataFrame) -> DataFrame:
-    """The verdict for using the prior session's levels: checks run in this order, the first that fails names it."""
-    w = Window.partitionBy("symbol").orderBy("session_date")
+def continuity(c: DataFrame, passed: DataFrame) -> DataFrame:
+    """The verdict for using the prior session's levels: checks run in this order, the first that fails names it.
+
+    The prior session is the last one before that passed the quality rules (rows of ``passed``). The window holds
+    one row for each session of a symbol.
+    """
+    before = Window.partitionBy("symbol").orderBy("session_date").rowsBetween(Window.unboundedPreceding, -1)
+    x = c.join(passed.select("symbol", "session_date").distinct().withColumn("ok", F.lit(True)), ["symbol", "session_date"], "left")
+    x = x.withColumn("p", F.last(F.when(F.col("ok"), F.struct("session_date", "contract_ids", "n_contracts", "n_missing")), True).over(before))
     known = lambda m, n: f"({m} = 0 and {n} > 0)"
-    x = c.withColumns({"p_date": F.lag("session_date").over(w), "p_ids": F.lag("contract_ids").over(w), "p_n": F.lag("n_contracts").over(w), "p_missing": F.lag("n_missing").over(w)})
     verdict = F.expr(
-        f"""case when not {known('n_missing', 'n_contracts')} then 'unknown_provenance' when n_contracts > 1 then 'mixed_session' when p_date is null then 'no_prior_session'
-        when not {known('p_missing', 'p_n')} then 'unknown_provenance' when p_n > 1 then 'mixed_session' when p_ids <> contract_ids then 'contract_boundary' else 'same_contract' end"""
+        f"""case when not {known('n_missing', 'n_contracts')} then 'unknown_provenance' when n_contracts > 1 then 'mixed_session' when p is null then 'no_prior_session'
+        when not {known('p.n_missing', 'p.n_contracts')} then 'unknown_provenance' when p.n_contracts > 1 then 'mixed_session' when p.contract_ids <> contract_ids then 'contract_boundary' else 'same_contract' end"""
     )
-    return x.select("symbol", "session_date", F.col("p_date").alias("prior_session"), "contract_ids", verdict.alias("verdict"))
+    return x.select("symbol", "session_date", F.col("p.session_date").alias("prior_session"), "contract_ids", verdict.alias("verdict"))

@@ -48,13 +48,6 @@ def _(spark, sf):
     return src.bars_from_events(spark, sf).select("symbol", "os", "ce", "o", "h", "l", "c", "v")
 
 
-@query("src_parse_ts", "SELECT event_id, epoch_us(ts) // 1000000 AS at_s FROM events")
-def _(spark, sf):
-    e = spark.read.parquet(f"{sf}/events.parquet")
-    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
-    return e.select("event_id", src.parse_instant(text).alias("at_s"))
-
-
 @query("src_dec_int", "SELECT event_id, CAST(CAST(value AS DECIMAL(18,9)) AS DOUBLE) AS price, CASE WHEN event_type = 'view' THEN -1 ELSE user_id END AS size FROM events")
 def _(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
@@ -84,7 +77,7 @@ def _(spark, sf):
 def _(spark, sf):
     b = src.bars_from_events(spark, sf).withColumn("doy", F.dayofyear(F.timestamp_seconds("os"))).withColumn("cell", F.expr("doy div 10"))
     m = spark.range(37).select(F.concat(F.lit("X:"), F.col("id").cast("string")).alias("code"), (F.col("id") * 10).alias("lo"), (F.col("id") * 10 + 10).alias("hi"), F.col("id").alias("m_cell"))
-    return b.join(F.broadcast(m), (F.col("cell") == F.col("m_cell")) & (F.col("doy") >= F.col("lo")) & (F.col("doy") < F.col("hi"))).select("symbol", "os", "code")
+    return b.join(F.broadcast(m), (F.col("cell") == F.col("m_cell")) & (F.col("doy") >= F.col("lo")) & (F.col("doy") < F.col("hi")), "left").select("symbol", "os", F.coalesce("code", F.raise_error(F.concat(F.lit("unresolved day: "), F.col("doy").cast("string"))).cast("string")).alias("code"))
 
 
 @query("src_history", "SELECT event_id, event_type, value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12'")
@@ -93,78 +86,26 @@ def _(spark, sf):
     return e.where("ts >= timestamp_ntz'2024-01-10 00:00:00' and ts < timestamp_ntz'2024-01-12 00:00:00'").select("event_id", "event_type", "value")
 
 
-@query("snk_config", "SELECT DISTINCT n_name AS digest FROM nation WHERE n_name NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 1)")
-def _(spark, sf):
-    n = spark.read.parquet(f"{sf}/nation.parquet")
-    have = n.where("n_regionkey = 1").select("n_name")
-    return n.join(have, "n_name", "left_anti").select(F.col("n_name").alias("digest")).distinct()
-
-
 @query("snk_fixture", f"WITH {O.BARS}, first_seen AS (SELECT contract_id, min(os) AS seen FROM bars GROUP BY contract_id) SELECT contract_id, 'contract_' || CAST(dense_rank() OVER (ORDER BY seen, contract_id) AS VARCHAR) AS label FROM first_seen")
 def _(spark, sf):
     first = src.bars_from_events(spark, sf).groupBy("contract_id").agg(F.min("os").alias("at"))
     return first.select("contract_id", F.concat(F.lit("contract_"), F.dense_rank().over(Window.orderBy("at", "contract_id")).cast("string")).alias("label"))
 
 
-@query("j_ledger", "SELECT coalesce(a.c_custkey, b.o_custkey) AS key, a.c_custkey IS NULL AS only_right, b.o_custkey IS NULL AS only_left FROM (SELECT c_custkey FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey FROM orders) b ON a.c_custkey = b.o_custkey WHERE a.c_custkey IS NULL OR b.o_custkey IS NULL")
-def _(spark, sf):
-    a, b = spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey"), spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct()
-    x = a.join(b, a.c_custkey == b.o_custkey, "full_outer").where("c_custkey is null or o_custkey is null")
-    return x.select(F.coalesce("c_custkey", "o_custkey").alias("key"), F.col("c_custkey").isNull().alias("only_right"), F.col("o_custkey").isNull().alias("only_left"))
-
-
 # -- row checks --------------------------------------------------------------------------------------------
 
 
-@query("val_bar", f"WITH {O.BARS} SELECT symbol, os, l <= o AND l <= c AND h >= o AND h >= c AND v >= 0 AS ok FROM bars")
-def _(spark, sf):
-    return src.bars_from_events(spark, sf).select("symbol", "os", F.expr("l <= o and l <= c and h >= o and h >= c and v >= 0").alias("ok"))
-
-
-@query("val_trade", "SELECT l_orderkey, l_linenumber, l_quantity > 0 AND l_extendedprice IS NOT NULL AS ok FROM lineitem")
-def _(spark, sf):
-    return spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", F.expr("l_quantity > 0 and l_extendedprice is not null").alias("ok"))
-
-
 @query("val_tob", "SELECT p_partkey, coalesce(bid > ask, false) AS crossed, (bid + ask) / 2 AS mid FROM (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_retailprice END AS bid, CASE WHEN p_size % 5 <> 0 THEN p_retailprice + p_size - 10 END AS ask FROM part)")
 def _(spark, sf):
     x = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey", "case when p_size % 7 <> 0 then p_retailprice end as bid", "case when p_size % 5 <> 0 then p_retailprice + p_size - 10 end as ask")
     return x.selectExpr("p_partkey", "coalesce(bid > ask, false) as crossed", "(bid + ask) / 2 as mid")
 
 
-@query("val_clock", f"WITH {O.TAPE} SELECT event_id, t - (t // 600000000) * 600000000 <= 300000000 AS ok FROM tape")
-def _(spark, sf):
-    return src.events(spark, sf).select("event_id", F.expr("t - (t div 600000000) * 600000000 <= 300000000").alias("ok"))
-
-
 @query("val_tick", f"WITH {O.TAPE} SELECT event_id, px % 25 = 0 AS on_tick FROM tape")
 def _(spark, sf):
     return src.events(spark, sf).select("event_id", F.expr("px % 25 = 0").alias("on_tick"))
 
 
-@query("val_order", f"WITH {O.BARS} SELECT symbol, count(*) FILTER (ce <= was) AS violations FROM (SELECT symbol, ce, lag(ce) OVER (PARTITION BY symbol ORDER BY os) AS was FROM bars) GROUP BY symbol")
-def _(spark, sf):
-    b = src.bars_from_events(spark, sf).withColumn("was", F.lag("ce").over(Window.partitionBy("symbol").orderBy("os")))
-    return b.groupBy("symbol").agg(F.count_if(F.col("ce") <= F.col("was")).alias("violations"))
-
-
-@query("val_pooled", f"WITH {O.SESS} SELECT symbol, session_date, count(*) > 1440 AS pooled FROM sess GROUP BY ALL")
-def _(spark, sf):
-    return _bars(spark, sf).groupBy("symbol", "session_date").agg((F.count("*") > 1440).alias("pooled"))
-
-
-@query("val_instrument", "SELECT p_partkey, p_name IS NOT NULL AND p_name <> '' AND p_retailprice > 0 AS ok FROM part")
-def _(spark, sf):
-    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", F.expr("p_name is not null and p_name <> '' and p_retailprice > 0").alias("ok"))
-
-
-@query("val_avail", f"WITH {O.EVS} SELECT e.symbol, e.ce, e.event, g.mid_os + 1800 <= e.ce AS ok FROM evs e JOIN gaps g ON e.symbol = g.symbol AND e.ce = g.ce AND e.event = 'fvg_formed_' || g.side")
-def _(spark, sf):
-    f = _feats(spark, sf)
-    g = ft.gaps(f)
-    return g.select("symbol", "ce", F.concat(F.lit("fvg_formed_"), "side").alias("event"), (F.col("mid_os") + src.INTERVAL <= F.col("ce")).alias("ok"))
-
-
 # -- calendar ----------------------------------------------------------------------------------------------
 
 
@@ -395,18 +336,6 @@ def _(spark, sf):
     return ql.contracts(_bars(spark, sf))
 
 
-@query("a_continuity", f"WITH {_CONT} SELECT * FROM k2")
-def _(spark, sf):
-    return ql.continuity(ql.contracts(_bars(spark, sf)))
-
-
-@query("j_eligible", f"WITH {O.EVS}, " + _CONT.removeprefix(O.SESS).lstrip(",\n") + " SELECT e.event, k.verdict, count(*) AS n FROM evs e JOIN k2 k USING (symbol, session_date) WHERE e.event IN ('sweep_high', 'sweep_low') GROUP BY ALL")
-def _(spark, sf):
-    f = _feats(spark, sf)
-    k = ql.continuity(ql.contracts(f)).select("symbol", "session_date", "verdict")
-    return ft.sweep_events(f).join(k, ["symbol", "session_date"]).groupBy("event", "verdict").agg(F.count("*").alias("n"))
-
-
 # -- studies -----------------------------------------------------------------------------------------------
 
 _HYP = "hyp(hypothesis, event, direction, bars, above) AS (VALUES " + ", ".join("('{}', '{}', '{}', {}, {})".format(h, e, d, b, f"'{a}'" if a else "CAST(NULL AS VARCHAR)") for h, e, d, b, a in inf.HYPOTHESES) + ")"
@@ -457,17 +386,28 @@ def _(spark, sf):
     return n.groupBy("hypothesis").agg(F.round(F.sum("n").cast("double") * F.sum("n") / F.sum(F.col("n") * F.col("n")), 6).alias("clusters"))
 
 
-_P = "CASE WHEN sd = 0 THEN CASE WHEN mean = 0 THEN 1.0 ELSE 0.0 END ELSE 2 * (1 - cdf) END"
+#: Exponent of the complementary error function, a Chebyshev fit with a relative error below 1.2e-7 everywhere.
+_ERFC = inf.horner(inf.ERFC, "t")
+def boot_sql(source: str, keys: list[str], rounds: int = 2000) -> str:
+    """Intervals of the mean from whole sessions drawn by md5, as inference.bootstrap_mean gives them."""
+    k = ", ".join(keys)
+    return f"""bc AS (SELECT {k}, session_date, CAST(sum(signed) AS DOUBLE) AS s, count(signed) AS n, row_number() OVER (PARTITION BY {k} ORDER BY session_date) - 1 AS i, count(*) OVER (PARTITION BY {k}) AS k FROM {source} GROUP BY {k}, session_date),
+bd AS (SELECT {k}, round, CAST('0x' || substr(md5('20260907|' || round || '|' || i), 1, 8) AS BIGINT) % k AS i FROM bc, range(1, {rounds + 1}) t(round)),
+bm AS (SELECT {k}, round, sum(s) / sum(n) AS mean FROM bd JOIN bc USING ({k}, i) GROUP BY {k}, round), bl AS (SELECT {k}, list_sort(list(mean)) AS m FROM bm GROUP BY {k}),
+boot AS (SELECT {k}, m[{int(0.025 * rounds) + 1}] AS ci_low, m[{min(rounds - 1, int(0.975 * rounds)) + 1}] AS ci_high FROM bl)"""
+
+
+_P = "CASE WHEN sd = 0 THEN CASE WHEN mean = 0 THEN 1.0 ELSE 0.0 END ELSE tail END"
 _BH = f"""WITH {_OBS}, est AS (SELECT hypothesis, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd FROM obs GROUP BY hypothesis),
-z AS (SELECT *, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS z FROM est), y AS (SELECT *, 1.0 / (1 + 0.3275911 * (z / sqrt(2.0))) AS t FROM z),
-c AS (SELECT *, 0.5 * (2 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)) AS cdf FROM y),
-p AS (SELECT hypothesis, round({_P}, 9) AS p FROM c), r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p)
+z AS (SELECT *, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS z FROM est), y AS (SELECT *, 1.0 / (1 + 0.5 * (z / sqrt(2.0))) AS t FROM z),
+c AS (SELECT *, t * exp(-z * z / 2 + ({_ERFC})) AS tail FROM y),
+p AS (SELECT hypothesis, {_P} AS p FROM c), r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p)
 SELECT hypothesis, round(p, 6) AS p, rank, round(least(1.0, min(p * m / rank) OVER (ORDER BY rank DESC)), 6) AS p_adjusted, round(least(1.0, p * m), 6) AS bonferroni, rank <= coalesce(max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (), 0) AS significant FROM r"""
 
 
 @query("w_bh", _BH)
 def _(spark, sf):
-    e = inf.estimate(_observations(spark, sf), ["hypothesis"], "signed").withColumn("p", F.round(inf.two_sided_p(F.col("mean"), F.col("sd"), F.col("n")), 9))
+    e = inf.estimate(_observations(spark, sf), ["hypothesis"], "signed").withColumn("p", inf.two_sided_p(F.col("mean"), F.col("sd"), F.col("n")))
     x = inf.benjamini_hochberg(e, "hypothesis", "p")
     return x.select("hypothesis", F.round("p", 6).alias("p"), "rank", F.round("p_adjusted", 6).alias("p_adjusted"), F.round(F.least(F.lit(1.0), F.col("p") * F.col("m")), 6).alias("bonferroni"), "significant")
 
@@ -542,10 +482,12 @@ _VERDICT = """CASE WHEN d_n IS NULL OR d_n < 30 THEN 'inconclusive' WHEN NOT (d_
   WHEN h_n IS NULL THEN 'promising' WHEN h_n < 30 THEN 'inconclusive' WHEN NOT (h_lo > 0 OR h_hi < 0) OR (h_mean > 0) <> (d_mean > 0) THEN 'reject' WHEN fav < 0.5 THEN 'promising' ELSE 'robust' END"""
 _PART = "CASE WHEN i < greatest(1, CAST(floor(n * 0.5) AS BIGINT)) THEN 'd' WHEN i < least(greatest(greatest(1, CAST(floor(n * 0.5) AS BIGINT)) + 1, CAST(floor(n * 0.8) AS BIGINT)), n - 1) THEN 'v' ELSE 'h' END"
 _CLASSIFY = f"""WITH {_OBS}, {_DAYS}, parts AS (SELECT session_date, {_PART} AS part FROM d),
-est AS (SELECT hypothesis, part, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd, avg(CAST(favorable_first AS INT)) AS fav FROM obs JOIN parts USING (session_date) GROUP BY ALL),
-ci AS (SELECT *, mean - 1.96 * sd / sqrt(n) AS lo, mean + 1.96 * sd / sqrt(n) AS hi, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS z FROM est),
-y AS (SELECT *, 1.0 / (1 + 0.3275911 * (z / sqrt(2.0))) AS t FROM ci), c AS (SELECT *, 0.5 * (2 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)) AS cdf FROM y),
-p AS (SELECT hypothesis, round({_P}, 9) AS p FROM c WHERE part = 'd'), r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p),
+po AS (SELECT obs.*, part FROM obs JOIN parts USING (session_date)),
+est AS (SELECT hypothesis, part, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd, avg(CAST(favorable_first AS INT)) AS fav FROM po GROUP BY ALL),
+{boot_sql('po', ['hypothesis', 'part'])},
+ci AS (SELECT *, ci_low AS lo, ci_high AS hi, CASE WHEN sd > 0 THEN abs(mean) / (sd / sqrt(n)) END AS z FROM est JOIN boot USING (hypothesis, part)),
+y AS (SELECT *, 1.0 / (1 + 0.5 * (z / sqrt(2.0))) AS t FROM ci), c AS (SELECT *, t * exp(-z * z / 2 + ({_ERFC})) AS tail FROM y),
+p AS (SELECT hypothesis, {_P} AS p FROM c WHERE part = 'd'), r AS (SELECT *, row_number() OVER (ORDER BY p, hypothesis) AS rank, count(*) OVER () AS m FROM p),
 s AS (SELECT hypothesis, rank <= coalesce(max(CASE WHEN p <= rank / m * 0.05 THEN rank END) OVER (), 0) AS significant FROM r),
 w AS (SELECT hypothesis, any_value(n) FILTER (part = 'd') AS d_n, any_value(mean) FILTER (part = 'd') AS d_mean, any_value(lo) FILTER (part = 'd') AS d_lo, any_value(hi) FILTER (part = 'd') AS d_hi, any_value(fav) FILTER (part = 'd') AS fav,
   any_value(n) FILTER (part = 'v') AS v_n, any_value(mean) FILTER (part = 'v') AS v_mean, any_value(lo) FILTER (part = 'v') AS v_lo, any_value(hi) FILTER (part = 'v') AS v_hi,
@@ -556,11 +498,11 @@ SELECT hypothesis, d_n, v_n, h_n, {_VERDICT} AS verdict FROM w LEFT JOIN s USING
 @query("i_classify", _CLASSIFY)
 def _(spark, sf):
     parts = QUERIES["w_split"](spark, sf).select("session_date", F.substring("part", 1, 1).alias("part"))
-    o = _observations(spark, sf).join(F.broadcast(parts), "session_date")
+    o = cut(_observations(spark, sf).join(parts, "session_date"))
     e = inf.estimate(o, ["hypothesis", "part"], "signed").join(o.groupBy("hypothesis", "part").agg(F.avg(F.col("favorable_first").cast("int")).alias("fav")), ["hypothesis", "part"])
-    half = 1.96 * F.col("sd") / F.sqrt(F.col("n").cast("double"))
-    e = e.withColumn("lo", F.col("mean") - half).withColumn("hi", F.col("mean") + half)
-    p = e.where("part = 'd'").withColumn("p", F.round(inf.two_sided_p(F.col("mean"), F.col("sd"), F.col("n")), 9))
+    b = inf.bootstrap_mean(o, ["hypothesis", "part"], "signed", rounds=2000)
+    e = e.join(b.withColumnsRenamed({"ci_low": "lo", "ci_high": "hi"}), ["hypothesis", "part"])
+    p = e.where("part = 'd'").withColumn("p", inf.two_sided_p(F.col("mean"), F.col("sd"), F.col("n")))
     sig = inf.benjamini_hochberg(p.select("hypothesis", "p"), "hypothesis", "p").select("hypothesis", "significant")
     one = lambda c, k: F.max(F.when(F.col("part") == k, F.col(c)))
     w = e.groupBy("hypothesis").agg(*[one(c, k).alias(f"{k}_{c}") for k in "dvh" for c in ("n", "mean", "lo", "hi")], one("fav", "d").alias("fav"))
@@ -579,4 +521,4 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
-from . import study  # noqa: E402, F401  registers its queries
+from . import checks, study  # noqa: E402, F401  register their queries

@@ -13,8 +13,8 @@ from barloom.sources import bars as src
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
-TABLES = "nation customer orders lineitem part events".split()
-SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "a_lift", "i_perm", "i_screen", "j_condition_state"]
+TABLES = "nation customer supplier orders lineitem part events".split()
+SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "a_lift", "i_perm", "i_screen", "j_condition_state", "src_dbn", "val_order", "val_bar", "a_hash_chain", "j_eligible", "i_classify"]
 
 
 def rows(df: pd.DataFrame) -> list:
@@ -116,3 +116,47 @@ def test_planted_effect(spark):
 def test_empty_tape(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").where("false").write.parquet(str(tmp_path / "events.parquet"))
     assert ft.all_events(ft.features(spark, str(tmp_path))).count() == 0
+
+
+def test_order_faults_across_blocks(spark):
+    """Ends of blocks are compared too: small blocks give what one block gives."""
+    from barloom.operators import checks as ck
+
+    rows_ = [(i, "a" if i % 3 else "b", None if i % 11 == 0 else (i * 7) % 23) for i in range(200)]
+    df = spark.createDataFrame(rows_, "id long, key string, at long")
+    want = {}
+    for key in "ab":
+        at = [t for i, k, t in rows_ if k == key and t is not None]
+        want[key] = (sum(y < x for x, y in zip(at, at[1:])), sum(y == x for x, y in zip(at, at[1:])))
+    for block in (5, 64, 1000):
+        assert {r["key"]: (r["backwards"], r["repeated"]) for r in ck.order_faults(df, "key", "id", "at", block).collect()} == want
+    assert ck.order_faults(df.where("false"), "key", "id", "at").count() == 0
+
+
+def test_lookup_fails_closed(spark):
+    from barloom.operators import checks as ck
+
+    records = spark.createDataFrame([(1, 5), (1, 12), (2, 5)], "instrument int, day int")
+    ranges = [(1, 0, 10, "x"), (1, 10, 20, "y"), (2, 0, 9, "z")]
+    named = lambda m: {(r["instrument"], r["day"]): r["code"] for r in ck.resolve(records, spark.createDataFrame(m, "m_instrument int, lo int, hi int, code string"), "instrument", "day").collect()}
+    assert named(ranges) == {(1, 5): "x", (1, 12): "y", (2, 5): "z"}
+    with pytest.raises(Exception, match="unresolved instrument: 2"):
+        named(ranges[:2])
+    with pytest.raises(Exception, match="overlapping ranges: 1"):
+        named([*ranges, (1, 9, 12, "w")])
+
+
+def test_prior_session_is_one_that_passed(spark):
+    from barloom.operators import quality as ql
+
+    c = spark.createDataFrame([("s", f"2024-01-0{i}", "A" if i < 4 else "B", 1, 5, 0) for i in range(1, 6)], "symbol string, session_date string, contract_ids string, n_contracts long, n_bars long, n_missing long")
+    got = {r["session_date"][-1]: (r["prior_session"], r["verdict"]) for r in ql.continuity(c, c.where("session_date in ('2024-01-02', '2024-01-05')")).collect()}
+    assert got == {"1": (None, "no_prior_session"), "2": (None, "no_prior_session"), "3": ("2024-01-02", "same_contract"), "4": ("2024-01-02", "contract_boundary"), "5": ("2024-01-02", "contract_boundary")}
+
+
+def test_tail_of_the_normal_distribution(spark):
+    import math
+
+    z = [0.0, 0.5, 1.96, 4.0, 8.0, 20.0]
+    got = [r["p"] for r in spark.createDataFrame([(x,) for x in z], "z double").select(inf.two_sided_p(F.col("z"), F.lit(1.0), F.lit(1)).alias("p")).collect()]
+    assert all(abs(p / math.erfc(x / math.sqrt(2)) - 1) < 2e-7 for x, p in zip(z, got, strict=True))
