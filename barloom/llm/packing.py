@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, kept_in_worker, table
+from .common import cut, kept_in_worker, table, tidy_worker
 
 LOG = logging.getLogger(__name__)
 #: Words that one Python worker remembers the tokens of; others are encoded each time.
@@ -273,6 +273,7 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, par
     front = [*front[at:], (counts, 0, 0, None)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()  # the word table of the step before
         for batch in batches:
             for i, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 left, used, waste = json.loads(code)
@@ -336,6 +337,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     ranked = ranked.join(sizes, (F.col("len") == F.col("s_len")) & (F.col("bucket") == F.col("s_bucket"))).select("row", "len", (F.col("before") + F.col("in_bucket")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy_worker()
         for batch in batches:
             length, rank = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             seq, at = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
