@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -20,10 +21,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def tidy_worker() -> None:
-    """Drops what earlier tasks kept in this Python worker and gives unused memory back."""
-    sys.modules.pop("barloom_worker", None)
+def tidy_worker(keep: bool = False) -> None:
+    """Drops what earlier tasks kept in this Python worker (unless ``keep``) and gives unused memory back to the system."""
+    if not keep:
+        sys.modules.pop("barloom_worker", None)
     pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # only glibc has it
+        trim(0)
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False):
+    """``work`` for mapInArrow, whose memory goes back when its task ends: idle workers hold nothing beside later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            tidy_worker(keep)
+
+    return run
 
 
 def lean_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches, small_side, table, tidy_worker
+from .common import components, cut, small_batches, small_side, table, tidied, tidy_worker
 
 #: Odd multipliers, one for each place in a shingle (fixed values).
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
@@ -124,7 +124,7 @@ def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int,
             u, c = np.unique(np.concatenate(parts), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u[c >= least].astype(np.int64)), pa.array(c[c >= least].astype(np.int64))], names=["token", "c"])
 
-    found = cut(few.mapInArrow(send, "range int, packet binary").repartition(ranges, "range").mapInArrow(count, "token long, c long"))
+    found = cut(few.mapInArrow(tidied(send), "range int, packet binary").repartition(ranges, "range").mapInArrow(tidied(count), "token long, c long"))
     level = F.floor(F.log2("c") * 16).cast("long")
     steps = sorted(((r["level"], r["k"]) for r in found.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect()), reverse=True)
     from_level, total = None, 0
@@ -221,8 +221,8 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
                 part = slice(lo, lo + 100_000)
                 yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(cid[part]), pa.array(c[part]), pa.array(np.full(len(token[part]), late))], names=["token", "cid", "c", "late"])
 
-    sent = described.where("h is not null").select("h", "prefix").mapInArrow(send, "range int, late boolean, tokens binary, classes binary, alone binary")
-    return cut(sent.repartition(ranges, "range").mapInArrow(meet, "token long, cid long, c long, late boolean"))
+    sent = described.where("h is not null").select("h", "prefix").mapInArrow(tidied(send), "range int, late boolean, tokens binary, classes binary, alone binary")
+    return cut(sent.repartition(ranges, "range").mapInArrow(tidied(meet), "token long, cid long, c long, late boolean"))
 
 
 def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
@@ -306,7 +306,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
 
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
     # rows without an id link nothing and need no prefix
-    described = cut(slim.mapInArrow(describe, "id long, n long, h long, prefix binary"))
+    described = cut(slim.mapInArrow(tidied(describe), "id long, n long, h long, prefix binary"))
     rows = described.select("id", "n", "h")
     classes = cut(rows.where("h is not null and id is not null").groupBy(F.col("h").alias("k_cid")).agg(F.min("id").alias("k_id"), F.first("n").alias("n")))
     lists = token_lists(described, hot, bucket)
@@ -349,7 +349,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
                 if made:
                     yield _some(batch.column(0), made, same)
 
-        return found.select(F.col("w_cid"), "t").mapInArrow(tokens, "s_cid long, tokens binary")
+        return found.select(F.col("w_cid"), "t").mapInArrow(tidied(tokens), "s_cid long, tokens binary")
 
     near = stars.select("cid").union(stars.select("c")).distinct()
     ids = classes.select(F.col("k_cid").alias("w_cid"), F.col("k_id").alias("w_id"))
@@ -367,7 +367,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     two = sets.select(F.col("s_cid").alias("y_cid"), F.col("tokens").alias("y"))
     pairs = stars.join(one, F.col("cid") == F.col("x_cid")).join(two, F.col("c") == F.col("y_cid")).select("cid", "c", "x", "y")
     with small_batches(spark, 100):
-        links = cut(pairs.mapInArrow(compare, "cid long, c long"))
+        links = cut(pairs.mapInArrow(tidied(compare), "cid long, c long"))
     links = links.select(F.col("cid").alias("a"), F.col("c").alias("b"))
     part = cut(components(links))
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, table
+from .common import small_side, table, tidied
 
 #: Stands for a word's edge in an n-gram; no letter has this code point.
 EDGE = 1
@@ -72,7 +72,7 @@ def train_profiles(docs: DataFrame, text: str, lang: str, size: int, per_lang: i
         if total:
             yield out(held)
 
-    sums = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = sample.mapInArrow(tidied(count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     rows = sums.withColumn("rank", rank).where(F.col("rank") <= size).select("lang", "code", "rank").collect()
     out: dict[str, list] = {}
@@ -121,7 +121,7 @@ def predict_language(docs: DataFrame, profiles: dict[str, np.ndarray], text: str
     slim = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.col(text).alias("__text"))
     n = len(docs.columns)
     schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)), f"c{n} string", f"c{n + 1} double"])
-    out = slim.mapInArrow(predict, schema)
+    out = slim.mapInArrow(tidied(predict), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate([*docs.columns, pred, score])])
 
 

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, kept_in_worker, table, tidy_worker
+from .common import cut, kept_in_worker, table, tidied, tidy_worker
 
 LOG = logging.getLogger(__name__)
 #: Words that one Python worker remembers the tokens of; others are encoded each time.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Texts with other white space than single spaces and single newlines are encoded in one piece.
 ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 #: The control string of the vocabulary (fixed value).
@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *made], names=["id", "piece", "start", "length", "ids_crc32"])
 
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    return slim.mapInArrow(cut_up, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", doc_id)
+    return slim.mapInArrow(tidied(cut_up, keep=True), "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", doc_id)
 
 
 # -- packing a histogram --------------------------------------------------------------------------------
@@ -350,7 +350,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seq), pa.array(at)], names=["row", "sequence_id", "offset"])
 
     kind = ranked.schema["row"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
+    return ranked.mapInArrow(tidied(place), f"row {kind}, sequence_id long, offset long").select("row.*", "sequence_id", "offset")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
