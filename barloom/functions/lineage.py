@@ -1,22 +1,28 @@
-"""Cuts the lineage of rows that one query reads several times."""
+"""Cuts the lineage of rows that one query reads several times; names the shared folder."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir: later plans start from it, and a lost executor loses nothing.
+    """A reliable checkpoint in spark.checkpoint.dir: later plans start from it, and a lost executor loses nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir that this application uses.
 
     Only a local master (tests) gets a folder of its own where the setting is missing; a cluster is refused.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not re.match(r"local(\[[^,\]]*(,\s*\d+)?\])?$", sc.master):
             raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()

@@ -61,3 +61,24 @@ def chain(d: DataFrame) -> DataFrame:
     """The head of each symbol's hash chain over its session digests: each link hashes the head before and the next digest."""
     days = F.transform(F.array_sort(F.collect_list(F.struct("session_date", "digest"))), lambda x: x["digest"])
     return d.groupBy("symbol").agg(F.count("*").alias("links"), F.aggregate(days, F.lit(""), lambda head, x: F.sha2(F.concat(head, x), 256)).alias("head"))
+
+
+#: Stages of an artifact (fixed values).
+STAGES = ("market_observation", "feature", "market_state", "research", "setup_candidate", "entry_candidate", "ai_analysis", "adversarial_review", "delivery")
+
+
+def artifact_faults(artifacts: DataFrame, edges: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """The first rule that an artifact (id, stage, run_id, observed_at, captured_at) breaks; empty if it breaks none.
+
+    Its stage is known, it names its run, an observation says when it was true and when it was captured, and
+    anything derived has a parent in ``edges`` (child, parent). Repeated edges count once.
+    """
+    parents = edges.where("parent is not null").select(F.col("child").alias("p_child")).distinct().withColumn("derived", F.lit(True))
+    fault = (
+        F.when(F.col("stage").isNull() | ~F.col("stage").isin(*stages), "unknown_stage")
+        .when(F.coalesce("run_id", F.lit("")) == "", "no_run")
+        .when((F.col("stage") == "market_observation") & (F.col("observed_at").isNull() | F.col("captured_at").isNull()), "no_times")
+        .when((F.col("stage") != "market_observation") & F.col("derived").isNull(), "no_parent")
+        .otherwise("")
+    )
+    return artifacts.join(parents, F.col("id") == F.col("p_child"), "left").select("id", "stage", fault.alias("fault"))

@@ -59,3 +59,26 @@ def continuity(c: DataFrame, passed: DataFrame) -> DataFrame:
         when not {known('p.n_missing', 'p.n_contracts')} then 'unknown_provenance' when p.n_contracts > 1 then 'mixed_session' when p.contract_ids <> contract_ids then 'contract_boundary' else 'same_contract' end"""
     )
     return x.select("symbol", "session_date", F.col("p.session_date").alias("prior_session"), "contract_ids", verdict.alias("verdict"))
+
+
+def fixed_count_gate(bars: DataFrame, expected: int = 1380, min_bars: int = 300, max_missing: float = 0.1, min_volume: int = 1000, max_zero: float = 0.3, max_move: float = 10.0) -> DataFrame:
+    """The older gate, which holds each session against a fixed number of bars: (symbol, session_date, reasons in rule order).
+
+    ``bars`` has arrival, at, h, l and v; duplicate and disordered times show in the order of arrival. Windows
+    and lists are bounded by the bars of a session.
+    """
+    was = F.lag("at").over(Window.partitionBy("symbol", "session_date").orderBy("arrival"))
+    g = bars.withColumn("back", F.col("at") < was).groupBy("symbol", "session_date").agg(
+        F.count("*").alias("n"), F.sum("v").alias("volume"), F.count_if(F.col("v") == 0).alias("zero"), F.sort_array(F.collect_list(F.col("h") - F.col("l"))).alias("ranges"), F.countDistinct("at").alias("times"), F.count_if("back").alias("back")
+    )
+    g = g.withColumn("mid", F.element_at("ranges", F.expr("int(size(ranges) div 2 + 1)")))
+    rules = {
+        "min_bars": F.col("n") < min_bars,
+        "max_missing_fraction": F.greatest(F.lit(0), expected - F.col("n")) / expected > max_missing,
+        "min_total_volume": F.col("volume") < min_volume,
+        "max_zero_volume_fraction": F.col("zero") / F.col("n") > max_zero,
+        "max_single_bar_move_atr": (F.col("mid") > 0) & (F.try_divide(F.array_max("ranges"), "mid") > max_move),
+        "duplicate_timestamps": F.col("times") < F.col("n"),
+        "out_of_order": F.col("back") > 0,
+    }
+    return g.select("symbol", "session_date", F.array_join(F.array_compact(F.array(*[F.when(c, name) for name, c in rules.items()])), ",").alias("reasons"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions.lineage import shared_folder
 from ..operators import checks as ck
 from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import quality as ql
 from ..sources import bars as src
+from ..sources import store
 from . import oracles as O  # noqa: N812
-from .registry import _OBS, _QUALITY, TAPE, _bars, _feats, _observations, boot_sql, query
+from .registry import _OBS, _QUALITY, SQL, TAPE, _bars, _feats, _observations, boot_sql, query
 
 # -- sources and sinks -------------------------------------------------------------------------------------
 
@@ -51,6 +55,16 @@ def _(spark, sf):
     return x.select(F.coalesce("a", "b").alias("key"), F.col("a").isNull().alias("only_right"), F.col("b").isNull().alias("only_left"))
 
 
+@query("snk_features", f"SELECT CASE WHEN day(CAST(session_date AS DATE)) % 2 = 0 THEN 'even' ELSE 'odd' END AS run, symbol, session_date, n FROM ({SQL['records_long']})")
+def _(spark, sf):
+    """Feature records of two runs, the second written twice, as the store holds them."""
+    r = ft.records(_feats(spark, sf)).withColumn("odd", F.dayofmonth(F.col("session_date").cast("date")) % 2)
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    for run, odd in (("even", 0), ("odd", 1), ("odd", 1)):
+        store.append_records(r.where(F.col("odd") == odd).drop("odd"), folder, run)
+    return store.stored_records(spark, folder).groupBy("run", "symbol", "session_date").agg(F.count("*").alias("n"))
+
+
 # -- row checks --------------------------------------------------------------------------------------------
 
 
@@ -110,6 +124,31 @@ def _(spark, sf):
     return ck.overlaps(o.join(last, F.col("o_orderkey") == F.col("l_orderkey")), "o_custkey", "lo", "hi", "o_orderkey")
 
 
+_STAGED = "CASE o_orderpriority WHEN '1-URGENT' THEN 'market_observation' WHEN '2-HIGH' THEN 'feature' WHEN '3-MEDIUM' THEN 'research' WHEN '4-NOT SPECIFIED' THEN 'delivery' ELSE 'guess' END"
+
+
+@query("val_artifact", f"WITH a AS (SELECT o_orderkey AS id, {_STAGED} AS stage, CASE WHEN o_custkey % 11 = 0 THEN '' ELSE 'run' || o_custkey END AS run_id, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS observed_at, CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate END AS captured_at FROM orders) SELECT id, stage, CASE WHEN stage = 'guess' THEN 'unknown_stage' WHEN run_id = '' THEN 'no_run' WHEN stage = 'market_observation' AND (observed_at IS NULL OR captured_at IS NULL) THEN 'no_times' WHEN stage <> 'market_observation' AND id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') THEN 'no_parent' ELSE '' END AS fault FROM a")
+def _(spark, sf):
+    """Orders as artifacts, returned lines as what they were derived from."""
+    a = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey as id", f"{_STAGED} as stage", "if(o_custkey % 11 = 0, '', concat('run', o_custkey)) as run_id", "if(o_orderstatus <> 'P', o_orderdate, null) as observed_at", "if(o_orderkey % 13 <> 0, o_orderdate, null) as captured_at")
+    edges = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("child"), F.col("l_partkey").alias("parent"))
+    return ck.artifact_faults(a, edges)
+
+
+#: The older gate for this tape: 48 half-hour bars a day.
+_OLD = {"expected": 48, "min_bars": 12, "max_missing": 0.25, "min_volume": 100, "max_zero": 0.3, "max_move": 2.5}
+
+
+@query("a_old_gate", f"""WITH {O.SESS}, x AS (SELECT symbol, session_date, h - l AS r, CASE WHEN (os // 1800) % 97 = 0 THEN os - 1800 ELSE os END AS moment, CASE WHEN (os // 1800) % 89 = 0 THEN os - 10000 ELSE os END AS arrival, CASE WHEN (os // 86400) % 5 = 0 AND (os // 1800) % 2 = 0 THEN 0 ELSE v END AS v FROM sess),
+y AS (SELECT *, moment < lag(moment) OVER (PARTITION BY symbol, session_date ORDER BY arrival) AS back FROM x),
+g AS (SELECT symbol, session_date, count(*) AS n, sum(v) AS volume, count(*) FILTER (v = 0) AS zero, max(r) AS top, list_sort(list(r))[count(*) // 2 + 1] AS mid, count(DISTINCT moment) AS times, count(*) FILTER (back) AS back FROM y GROUP BY ALL)
+SELECT symbol, session_date, concat_ws(',', CASE WHEN n < 12 THEN 'min_bars' END, CASE WHEN greatest(0, 48 - n) / 48 > 0.25 THEN 'max_missing_fraction' END, CASE WHEN volume < 100 THEN 'min_total_volume' END, CASE WHEN zero / n > 0.3 THEN 'max_zero_volume_fraction' END, CASE WHEN mid > 0 AND top / mid > 2.5 THEN 'max_single_bar_move_atr' END, CASE WHEN times < n THEN 'duplicate_timestamps' END, CASE WHEN back > 0 THEN 'out_of_order' END) AS reasons FROM g""")
+def _(spark, sf):
+    """Repeated times, late arrivals and bars without volume are planted by the number of a bar's slot."""
+    b = _bars(spark, sf).selectExpr("symbol", "session_date", "h", "l", "if((os div 1800) % 97 = 0, os - 1800, os) as at", "if((os div 1800) % 89 = 0, os - 10000, os) as arrival", "if((os div 86400) % 5 = 0 and (os div 1800) % 2 = 0, 0, v) as v")
+    return ql.fixed_count_gate(b, **_OLD)
+
+
 # -- digests -----------------------------------------------------------------------------------------------
 
 _DIGEST = (

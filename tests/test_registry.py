@@ -10,11 +10,12 @@ from barloom.operators import features as ft
 from barloom.operators import inference as inf
 from barloom.plans import registry
 from barloom.sources import bars as src
+from barloom.sources import store
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "nation customer supplier orders lineitem part events".split()
-SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "a_lift", "i_perm", "i_screen", "j_condition_state", "src_dbn", "val_order", "val_bar", "a_hash_chain", "j_eligible", "i_classify"]
+SAMPLE = ["flagship", "cal_session_date", "cal_roll", "e_structure_break_up", "e_fvg_inverted", "p_oriented", "p_hit_atr", "a_quality", "a_continuity", "w_bh", "a_lift", "i_perm", "i_screen", "j_condition_state", "src_dbn", "val_order", "val_bar", "a_hash_chain", "j_eligible", "i_classify", "val_artifact", "a_old_gate", "snk_features"]
 
 
 def rows(df: pd.DataFrame) -> list:
@@ -38,6 +39,17 @@ def test_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_store_holds_whole_runs(spark, tmp_path):
+    r = spark.createDataFrame([("A", "2024-01-02", 1, "vwap", 2.5, None), ("A", "2024-01-02", 2, "phase", None, "rth")], "symbol string, session_date string, ce long, feature string, value double, state string")
+    folder = str(tmp_path / "store")
+    for run in ("one", "two", "two"):
+        store.append_records(r, folder, run)
+    with pytest.raises(Exception, match="record without"):
+        store.append_records(r.withColumn("feature", F.when(F.col("ce") == 1, F.col("feature"))), folder, "three")
+    assert {(x["run"], x["n"]) for x in store.stored_records(spark, folder).groupBy("run").agg(F.count("*").alias("n")).collect()} == {("one", 2), ("two", 2)}
+    assert store.stored_records(spark, folder, ["two"]).count() == 2
+
+
 def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.SQL)
 
