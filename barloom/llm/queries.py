@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, hmm, html, jaccard, langid, line_dedup, mixing, near_vectors, negatives, packing, pieces, tiff
+from . import chat, hmm, html, jaccard, langid, line_dedup, mixing, near_vectors, negatives, packing, phrases, pieces, tiff
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_tiff": tiff.op8_tiff,
         "op9_packing": packing.op9_packing,
         "op10_chat": chat.op10_chat,
+        "op11_phrases": phrases.op11_phrases,
         "op12_negatives": negatives.op12_negatives,
         "op13_pieces": pieces.op13_pieces,
         "pipeline": corpus_pipeline.run,
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_dedup.ORACLE, "op12_negatives": negatives.ORACLE}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op11_phrases": phrases.ORACLE, "op12_negatives": negatives.ORACLE}
