@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,6 +109,11 @@ def phrase_keys(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
     return key
 
 
+def shortened(keys: np.ndarray, parts: int) -> np.ndarray:
+    """A key's hash partition and 32 bits of its hash: enough inside one partition, whose mass is bounded; who shares them is told apart by text."""
+    return (keys >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
 # -- summaries --------------------------------------------------------------------------------------------
 
 
@@ -151,7 +157,8 @@ class Summary:
 
 def survivors(summaries: pa.Table, least: int) -> pa.Table:
     """Merges what the tasks have of one hash partition; the capacity exceeds its mass divided by ``least``."""
-    blobs = [(np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")) for k, c in zip(summaries.column("keys").to_pylist(), summaries.column("counts").to_pylist(), strict=True)]
+    high = np.uint64(summaries.column("part")[0].as_py()) << np.uint64(32)
+    blobs = [(np.frombuffer(k, "<u4") | high, np.frombuffer(zlib.decompress(c), "<i8")) for k, c in zip(summaries.column("keys").to_pylist(), summaries.column("counts").to_pylist(), strict=True)]
     summary = Summary(sum(int(c.sum()) for _, c in blobs) // least + 1)
     for keys, counts in blobs:
         summary.merge(keys, counts)
@@ -179,6 +186,7 @@ def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 
 def bits_of(keys: np.ndarray) -> list[np.ndarray]:
+    keys = mixed(keys + np.uint64(1))
     return [(keys >> np.uint64(s)) & np.uint64(SEGMENT - 1) for s in (0, 20, 40)]
 
 
@@ -244,21 +252,14 @@ class Gatherer:
         if len(keys) <= most or not len(keys):
             return
         self.keys, self.counts, self.grams = [], [], 0
-        part = part_of(keys, parts)
-        order = np.argsort(part, kind="stable")
-        ends = np.cumsum(np.bincount(part, minlength=parts))
-        for p in range(parts):
-            mine = order[ends[p - 1] if p else 0 : ends[p]]
-            if len(mine):
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (keys[mine].astype("<u8"), counts[mine].astype("<i8"))]
+        ends = np.searchsorted(keys, np.arange(1, parts + 1, dtype=np.uint64) << np.uint64(32))  # keys are sorted, and their partition comes first
+        for p, mine in enumerate(map(slice, np.append(0, ends[:-1]).tolist(), ends.tolist())):
+            if mine.start < mine.stop:
+                blobs = [pa.array([x], pa.binary()) for x in (keys[mine].astype("<u4").tobytes(), zlib.compress(counts[mine].astype("<i8").tobytes(), 1))]
                 none = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *blobs, *none], names=["part", "keys", "counts", *COUNTS.names])
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-
-
 def scan(docs: DataFrame, n: int, known: bytes | None, count: bool, summarise: bool, parts: int) -> DataFrame:
     """One pass over all texts: exact counts of the n-grams that ``known`` has (all without it), and summaries of the (n+1)-grams that consist of two such."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -270,7 +271,7 @@ def scan(docs: DataFrame, n: int, known: bytes | None, count: bool, summarise: b
             key, there = text.grams(n)
             at = np.flatnonzero(there)
             if known is not None:
-                at = at[known.has(key[at])]
+                at = at[known.has(shortened(key[at], parts))]
             if n == 1:
                 yield from gathered.add(text.totals())
             if count:
@@ -279,34 +280,36 @@ def scan(docs: DataFrame, n: int, known: bytes | None, count: bool, summarise: b
                 good = np.zeros(len(key) + 1, bool)
                 good[at] = True
                 longer, there = text.grams(n + 1)
-                yield from gathered.add_keys(longer[there & good[: len(longer)] & good[1 : 1 + len(longer)]], parts)
+                yield from gathered.add_keys(shortened(longer[there & good[: len(longer)] & good[1 : 1 + len(longer)]], parts), parts)
         yield from gathered.phrases()
         yield from gathered.summaries(parts)
 
     return docs.mapInArrow(tidied(run, keep=True), FOUND)
 
 
+def counts_of(found: DataFrame) -> DataFrame:
+    return found.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+
+
 def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 4, least: int = 30, mass: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """Phrases of 1 to ``longest`` words that occur ``least`` times or more in their language: (lang, phrase, size, f); and the words of each language: (lang, n).
 
     Words are counted first. Then, length by length, a pass sums hashes of those n-grams whose two shorter parts may
-    be frequent, by hash partitions of about ``mass`` occurrences; summaries merge, and what may reach ``least`` becomes a
+    be frequent, by hash partitions of about ``mass`` occurrences, 4 bytes a hash; summaries merge, and what may reach ``least`` becomes a
     filter; the next pass counts what passes the filter by its text, and sums the next length on the way. The filter
     may let rarer n-grams through, never hold a frequent one back; counts are by text, so they do not depend on hashes.
     """
     slim = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
 
-    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(phrase_keys(batch.column(0), batch.column(1)).view(np.int64))], names=["key"])
-
-    def totals(found: DataFrame) -> DataFrame:
-        return found.where("phrase is not null").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-
-    words = cut(totals(scan(slim, 1, None, True, False, 1)).where((F.col("f") >= least) | (F.col("phrase") == "")))
+    words = cut(counts_of(scan(slim, 1, None, True, False, 1)).where((F.col("f") >= least) | (F.col("phrase") == "")))
     sizes = words.where("phrase = ''").select("lang", F.col("f").alias("n"))
     counted = [words.where("phrase <> ''").withColumn("size", F.lit(1))]
     parts = max(1, -(-int(sizes.agg(F.sum("n")).first()[0] or 0) // mass))
+
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(shortened(phrase_keys(batch.column(0), batch.column(1)), parts).view(np.int64))], names=["key"])
+
     known = make_filter(cut(counted[0].select("lang", "phrase").mapInArrow(keys_of, "key long")))
 
     def may(group: pa.Table) -> pa.Table:
@@ -316,7 +319,7 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", lo
         last = n == longest
         found = cut(scan(slim, n, known, n > 1, not last, parts))
         if n > 1:
-            counted.append(totals(found).where(F.col("f") >= least).withColumn("size", F.lit(n)))
+            counted.append(counts_of(found).where(F.col("f") >= least).withColumn("size", F.lit(n)))
         if not last:
             known = make_filter(cut(found.where("part is not null").select("part", "keys", "counts").groupBy("part").applyInArrow(may, "key long")))
     out = counted[0]
