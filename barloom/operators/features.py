@@ -78,9 +78,11 @@ def features(spark: SparkSession, sf_dir: str, config: Config = Config()) -> Dat
     value = F.sum(F.when(rth, (F.col("h") + F.col("l") + F.col("c")) * F.col("v"))).over(run)
     b = b.withColumn("vwap", F.when(weight > 0, value / (3 * weight)))
     b = b.withColumn("atr", F.when(F.count("tr").over(last(config.atr)) == config.atr, F.sum("tr").over(last(config.atr)) / config.atr))
-    n, s1, s2 = (F.count("ret").over(last(config.volatility)), F.sum("ret").over(last(config.volatility)), F.sum(F.col("ret") * F.col("ret")).over(last(config.volatility)))
-    b = b.withColumn("realized_volatility", F.when(n == config.volatility, F.sqrt(F.greatest(s2 / n - (s1 / n) * (s1 / n), F.lit(0.0)))))
-    b = b.withColumn("volume_ratio", F.col("v") / F.avg("v").over(last(config.volume)))
+    # over the last returns there are: a bar without one repeats what was known
+    own = Window.partitionBy("symbol", F.col("ret").isNull()).orderBy("ce").rowsBetween(1 - config.volatility, 0)
+    b = b.withColumn("spread", F.when(F.col("ret").isNotNull() & (F.count("ret").over(own) == config.volatility), F.stddev_pop("ret").over(own)))
+    b = b.withColumn("realized_volatility", F.last("spread", True).over(w_s().rowsBetween(Window.unboundedPreceding, 0))).drop("spread")
+    b = b.withColumn("volume_ratio", F.try_divide("v", F.avg("v").over(last(config.volume))))
     b = b.withColumn("session_high", F.max("h").over(run)).withColumn("session_low", F.min("l").over(run))
     b = b.withColumn("bar_range", F.col("h") - F.col("l"))
     b = b.withColumn("distance_to_vwap", F.col("c") - F.col("vwap")).withColumn("above_vwap", F.when(F.col("vwap").isNull(), None).when(F.col("c") > F.col("vwap"), "above").otherwise("below"))

@@ -1,4 +1,4 @@
-"""Event and control arms of a study, matched lifts, resampling of both arms, market-state tags and the candidate screen."""
+"""Event and control arms of a study, matched lifts, resampling of both arms, and market-state tags."""
 
 from __future__ import annotations
 
@@ -34,14 +34,14 @@ def stratified(f: DataFrame, sessions: int = 20, quiet: float = 0.75, elevated:
     return j.withColumn("stratum", F.concat_ws("|", F.col("bucket").cast("string"), "band"))
 
 
-def arms(spark: SparkSession, f: DataFrame, pool: int = 200, seed: int = 5) -> DataFrame:
+def arms(spark: SparkSession, f: DataFrame, pool: int = 200, seed: int = 5, sessions: int = 20) -> DataFrame:
     """Both arms of every hypothesis, measured on its own horizon and turned in its direction.
 
     hypothesis, arm (event or control), symbol, session_date, ce, stratum, y, mfe, mae, fav, above. Controls are bars
     without the hypothesis's own event, ``pool`` of each stratum at the most, the first by md5.
     """
     hyp = F.broadcast(inf.hypotheses(spark))  # the preregistered list, a dozen rows
-    s = stratified(f)
+    s = stratified(f, sessions)
     p = None
     for b in (1, 2, 4):
         x = pt.with_paths(s, b * 3600).where("n_path > 0").select(F.lit(b).alias("bars"), "symbol", "session_date", "ce", "stratum", "above_vwap", "terminal", "max_up", "max_down", "max_up_at", "max_down_at")
@@ -118,7 +118,13 @@ def cluster_bootstrap(a: DataFrame, keys: Sequence[str] = ("hypothesis",), round
     Rows shrink to one per session and stratum first; a round's draws shrink to how often it takes each session.
     Keys with fewer than ``least`` sessions get nulls. Returns keys, sessions, ci_low, ci_high, p.
     """
-    c = cut(a.groupBy(*keys, "session_date", "stratum").agg(*[F.sum(F.when(F.col("arm") == arm, x)).alias(n) for arm, n, x in (("event", "es", F.col("y")), ("event", "en", F.lit(1)), ("control", "cs", F.col("y")), ("control", "cn", F.lit(1)))]))
+    c = a.groupBy(*keys, "session_date", "stratum").agg(*[F.sum(F.when(F.col("arm") == arm, x)).alias(n) for arm, n, x in (("event", "es", F.col("y")), ("event", "en", F.lit(1)), ("control", "cs", F.col("y")), ("control", "cn", F.lit(1)))])
+    return bootstrap_cells(c, keys, rounds, confidence, least, seed)
+
+
+def bootstrap_cells(cells: DataFrame, keys: Sequence[str], rounds: int = 2000, confidence: float = 0.95, least: int = 10, seed: int = 20260907) -> DataFrame:
+    """cluster_bootstrap from sums and counts of each session and stratum (es, en, cs, cn)."""
+    c = cut(cells)
     w = Window.partitionBy(*keys)
     s = c.select(*keys, "session_date").distinct().withColumn("pick", F.row_number().over(w.orderBy("session_date")) - 1).withColumn("k", F.count("*").over(w))
     sizes = s.select("k").distinct().where(F.col("k") >= least)
@@ -156,14 +162,14 @@ def permutation(a: DataFrame, keys: Sequence[str] = ("hypothesis",), rounds: int
     return g.select(*keys, "trials", ((F.col("extreme") + 1) / (F.col("trials") + 1)).alias("p"))
 
 
-# -- market-state tags and the candidate screen --------------------------------------------------------------
+# -- market-state tags  --------------------------------------------------------------
 
 TAGS = ("session_phase", "atr_regime", "volume_context", "vwap_side", "or_location", "structure_bias")
 
 
-def tagged(f: DataFrame, structure_s: int = 3600) -> DataFrame:
+def tagged(f: DataFrame, structure_s: int = 3600, sessions: int = 20) -> DataFrame:
     """Every bar with its six tags, as known at its close, and its stratum."""
-    s = stratified(f)
+    s = stratified(f, sessions)
     breaks = ft.structure_events(f).select(F.col("symbol").alias("k_symbol"), F.col("ce").alias("k_ce"), F.when(F.col("event") == "structure_break_up", "up").otherwise("down").alias("side")).groupBy("k_symbol", "k_ce").agg(F.max("side").alias("side"))
     s = s.join(breaks, (F.col("symbol") == F.col("k_symbol")) & (F.col("ce") == F.col("k_ce")), "left")
     run = ft.w_d().rowsBetween(Window.unboundedPreceding, 0)
@@ -180,56 +186,14 @@ def tagged(f: DataFrame, structure_s: int = 3600) -> DataFrame:
     )
 
 
-def tag_cells(rows: DataFrame, keys: Sequence[str], most: int = 2) -> DataFrame:
-    """(keys, stratum, cond, k, n, total) for every set of at most ``most`` tags, by grouping sets in one aggregate."""
+def tag_cells(rows: DataFrame, keys: Sequence[str], most: int = 2, n: Column | None = None, total: Column | None = None) -> DataFrame:
+    """(keys, stratum, cond, k, n, total) for every set of at most ``most`` tags, by grouping sets in one aggregate.
+
+    Rows count once with the value y, or as ``n`` and ``total`` say.
+    """
     sets = [c for k in range(most + 1) for c in combinations(TAGS, k)]
     g = rows.groupingSets([[F.col(c) for c in (*keys, "stratum", *s)] for s in sets], *[F.col(c) for c in (*keys, "stratum", *TAGS)])
-    g = g.agg(F.count("*").alias("n"), F.sum("y").cast("long").alias("total"), *[F.grouping(t).alias(f"g_{t}") for t in TAGS])
+    n, total = (F.count("*") if n is None else n), (F.sum("y") if total is None else total)
+    g = g.agg(n.alias("n"), total.cast("long").alias("total"), *[F.grouping(t).alias(f"g_{t}") for t in TAGS])
     shown = F.array_sort(F.array_compact(F.array(*[F.when(F.col(f"g_{t}") == 0, F.concat(F.lit(f"{t}="), F.col(t))) for t in TAGS])))
     return g.select(*keys, "stratum", F.array_join(shown, "&").alias("cond"), F.size(shown).alias("k"), "n", "total")
-
-
-def candidate_rows(f: DataFrame, horizon_s: int, recent_s: int = 3600) -> tuple[DataFrame, DataFrame]:
-    """Tagged anchors (anchor, predecessor, ...) and control bars (predecessor, ...) with their path's terminal as y.
-
-    A row comes once without a predecessor and once for each predecessor type among the events of the last ``recent_s``.
-    Controls are bars without any anchor event.
-    """
-    e = cut(ft.all_events(f).where(F.col("event").isin(inf.ANCHORS)).select("symbol", "ce", "event").distinct())
-    t = pt.with_paths(tagged(f), horizon_s).where("n_path > 0").select("symbol", "ce", "stratum", *TAGS, F.col("terminal").alias("y"))
-    # recent types at every bar: own events and those of earlier bars, collected over a time frame
-    at = t.select("symbol", "ce").unionByName(e.select("symbol", "ce")).distinct().join(e.where(F.col("event").isin(inf.PREDECESSORS)).groupBy("symbol", "ce").agg(F.collect_set("event").alias("here")), ["symbol", "ce"], "left")
-    w = Window.partitionBy("symbol").orderBy("ce").rangeBetween(-recent_s, 0)
-    at = at.withColumn("recent", F.array_distinct(F.flatten(F.collect_list("here").over(w)))).select("symbol", "ce", F.explode(F.concat(F.array(F.lit("-")), "recent")).alias("predecessor"))
-    t = cut(t.join(at, ["symbol", "ce"]))
-    return t.join(e.withColumnRenamed("event", "anchor"), ["symbol", "ce"]), t.join(e.select("symbol", "ce").distinct(), ["symbol", "ce"], "left_anti")
-
-
-def screen(spark: SparkSession, f: DataFrame, min_events: int = 200, floor: float = 100.0) -> DataFrame:
-    """Every candidate of the census with its events, controls, lift in its direction and the reason it fails, if it does.
-
-    Arms shrink to cells of (conditions, stratum) once per horizon; candidates only join cells.
-    """
-    per = None
-    for minutes in (30, 60):
-        events, controls = candidate_rows(f, minutes * 60)
-        e = tag_cells(events, ["anchor", "predecessor"])
-        c = tag_cells(controls, ["predecessor"]).select("predecessor", "stratum", "cond", F.col("n").alias("cn"), F.col("total").alias("cs"))
-        j = e.join(c, ["predecessor", "stratum", "cond"], "left")
-        both = lambda x: F.sum(F.when(F.col("cn") > 0, x))
-        g = j.groupBy("anchor", "predecessor", "cond").agg(
-            F.sum("n").alias("n_events"), F.coalesce(F.sum("cn"), F.lit(0)).alias("n_controls"), (both(F.col("total")) / both(F.col("n")) - both(F.col("n") * F.col("cs") / F.col("cn")) / both(F.col("n"))).alias("raw")
-        ).withColumn("horizon", F.lit(minutes))
-        per = g if per is None else per.unionByName(g)
-    census = inf.census(spark).withColumn("p", F.coalesce("predecessor", F.lit("-")))
-    m = per.withColumnsRenamed({"predecessor": "p"})
-    x = census.join(m, ["anchor", "p", "cond", "horizon"], "left").withColumn("n_events", F.coalesce("n_events", F.lit(0).cast("long")))
-    enough = F.col("n_events") >= min_events
-    x = x.withColumn("lift", F.when(enough, F.when(F.col("direction") == "down", -F.col("raw")).otherwise(F.col("raw"))))
-    reason = F.when(~enough, "below the event floor").when(F.col("lift").isNull(), "no matched controls").when(F.col("lift") <= 0, "moves against the stated direction").when(F.col("lift") < floor, "below the economic floor")
-    return x.select("anchor", "predecessor", "cond", "horizon", "direction", "complexity", "n_events", F.when(enough, F.coalesce("n_controls", F.lit(0))).otherwise(0).cast("long").alias("n_controls"), "lift", F.coalesce(reason, F.lit("")).alias("reason"))
-
-
-def score(lift: Column, complexity: Column) -> Column:
-    """Lift less a fifth for each element beyond the first."""
-    return F.abs(lift) * F.pow(F.lit(0.8), complexity - 1)

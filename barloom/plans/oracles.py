@@ -60,14 +60,16 @@ lev AS (
 f0 AS (
   SELECT s.*, pdh, pdl, onh, onl, or_high, or_low, or_at, prev_session, lag(c) OVER w AS prev_c, row_number() OVER w AS n_bar
   FROM sess s JOIN lev USING (symbol, session_date) WINDOW w AS (PARTITION BY symbol ORDER BY ce)),
-f1 AS (
+f1a AS (
   SELECT *, CASE WHEN prev_c IS NULL THEN h - l ELSE greatest(h - l, abs(h - prev_c), abs(l - prev_c)) END AS tr, CASE WHEN prev_c <> 0 THEN (c - prev_c) / prev_c END AS ret FROM f0),
+f1 AS (
+  SELECT *, CASE WHEN ret IS NOT NULL AND count(ret) OVER x = 30 THEN stddev_pop(ret) OVER x END AS spread FROM f1a WINDOW x AS (PARTITION BY symbol, ret IS NULL ORDER BY ce ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
 feats AS (
   SELECT *, h - l AS bar_range, CAST(trunc((ce - open_s) / 60.0) AS INT) AS minutes_since_rth_open,
     CASE WHEN sum(CASE WHEN phase = 'rth' THEN v END) OVER d > 0 THEN (sum(CASE WHEN phase = 'rth' THEN (h + l + c) * v END) OVER d) / (3 * sum(CASE WHEN phase = 'rth' THEN v END) OVER d) END AS vwap,
     CASE WHEN count(tr) OVER a = 14 THEN sum(tr) OVER a / 14 END AS atr,
-    CASE WHEN count(ret) OVER r = 30 THEN stddev_pop(ret) OVER r END AS realized_volatility,
-    v / avg(v) OVER r AS volume_ratio, max(h) OVER d AS session_high, min(l) OVER d AS session_low,
+    last_value(spread IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ce ROWS UNBOUNDED PRECEDING) AS realized_volatility,
+    v / nullif(avg(v) OVER r, 0) AS volume_ratio, max(h) OVER d AS session_high, min(l) OVER d AS session_low,
     CASE WHEN ce >= or_at THEN or_high END AS orh, CASE WHEN ce >= or_at THEN or_low END AS orl,
     CASE WHEN n_bar > 4 AND lag(h, 2) OVER w > max(h) OVER b AND lag(h, 2) OVER w > max(h) OVER x THEN lag(h, 2) OVER w END AS swing_high,
     CASE WHEN n_bar > 4 AND lag(l, 2) OVER w < min(l) OVER b AND lag(l, 2) OVER w < min(l) OVER x THEN lag(l, 2) OVER w END AS swing_low

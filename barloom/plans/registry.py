@@ -521,4 +521,4 @@ def _(spark, sf):
     return flagship(spark, sf)
 
 
-from . import checks, study  # noqa: E402, F401  register their queries
+from . import checks, streams, study  # noqa: E402, F401  register their queries

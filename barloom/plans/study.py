@@ -8,17 +8,22 @@ from ..functions.lineage import cut
 from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import paths as pt
+from ..operators import search as se
 from ..operators import study as st
 from . import oracles as O  # noqa: N812
 from .registry import _HYP, _feats, _values, query
 
+#: Sessions of the volatility reference in the registered queries: the tape has about 21 of them; the operators take 20 by default.
+SESSIONS = 5
+#: The search's bar for this tape of half-hour bars over a month; the operators' defaults are those for minute bars over years.
+CRITERIA = se.Criteria(min_events=40, min_event_sessions=12, min_effective_clusters=9, min_events_per_third=10, min_clusters_per_third=3, min_absolute_lift=20.0, min_lift_to_mfe_ratio=0.01, min_perturbed_magnitude_ratio=0.2, confidence=0.8, rounds=400)
 #: Rounds of the two event-level diagnostics in the registered queries; the operators take 400 by default.
 DIAGNOSTIC = 100
 
 REF = """closing AS (SELECT symbol, session_date, arg_max(atr, ce) AS atr FROM feats WHERE atr IS NOT NULL GROUP BY ALL),
 ref AS (SELECT symbol, session_date, CASE WHEN count(atr) OVER w = {n} THEN median(atr) OVER w END AS reference FROM closing WINDOW w AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))"""
 STRAT = (
-    REF.format(n=20)
+    REF.format(n=SESSIONS)
     + """,
 strat0 AS (SELECT f.*, CAST(floor((f.ce - f.open_s) / 3600.0) AS BIGINT) AS bucket, CASE WHEN reference IS NULL OR f.atr IS NULL THEN 'unknown' WHEN f.atr < 0.75 * reference THEN 'quiet' WHEN f.atr > 1.25 * reference THEN 'elevated' ELSE 'normal' END AS band FROM feats f LEFT JOIN ref USING (symbol, session_date)),
 strat AS (SELECT *, bucket || '|' || band AS stratum FROM strat0)"""
@@ -69,17 +74,17 @@ def _shown(x):
 
 
 def _arms(spark, sf):
-    return cut(st.arms(spark, _feats(spark, sf)))
+    return cut(st.arms(spark, _feats(spark, sf), sessions=SESSIONS))
 
 
-@query("w_vol_reference", f"WITH {O.FEATS}, {REF.format(n=20)} SELECT symbol, session_date, round(reference, 6) AS reference FROM ref")
+@query("w_vol_reference", f"WITH {O.FEATS}, {REF.format(n=SESSIONS)} SELECT symbol, session_date, round(reference, 6) AS reference FROM ref")
 def _(spark, sf):
-    return st.volatility_reference(_feats(spark, sf)).select("symbol", "session_date", F.round("reference", 6).alias("reference"))
+    return st.volatility_reference(_feats(spark, sf), SESSIONS).select("symbol", "session_date", F.round("reference", 6).alias("reference"))
 
 
 @query("j_stratify", f"WITH {O.FEATS}, {STRAT} SELECT symbol, ce, bucket, band FROM strat")
 def _(spark, sf):
-    return st.stratified(_feats(spark, sf)).select("symbol", "ce", "bucket", "band")
+    return st.stratified(_feats(spark, sf), SESSIONS).select("symbol", "ce", "bucket", "band")
 
 
 @query("a_lift", f"WITH {ARMS},\n{_lift_sql('arms', 20)} {_LIFT_OUT}")
@@ -125,11 +130,6 @@ def _(spark, sf):
     return j.groupBy("event").agg(F.count("*").alias("n"), F.count_if(F.col("a_ce").isNull()).alias("unmatched"))
 
 
-@query("w_topk_short", f"WITH {ARMS},\n{_lift_sql('arms', 20)} SELECT * FROM ({_LIFT_OUT}) WHERE lift IS NOT NULL ORDER BY abs(lift) DESC, hypothesis LIMIT 50")
-def _(spark, sf):
-    return _shown(st.matched_lift(_arms(spark, sf))).where("lift is not null").orderBy(F.desc(F.abs("lift")), "hypothesis").limit(50)
-
-
 # -- resampling --------------------------------------------------------------------------------------------
 
 _USABLE = "keep AS (SELECT hypothesis, stratum FROM arms GROUP BY ALL HAVING count(*) FILTER (arm = 'event') > 0 AND count(*) FILTER (arm = 'control') >= 20), u AS (SELECT arms.* FROM arms JOIN keep USING (hypothesis, stratum))"
@@ -200,58 +200,125 @@ def _cells(name: str, source: str, keys: list[str]) -> str:
 
 @query("build_tags", f"WITH {O.EVS}, {_TAGGED} SELECT symbol, ce, {', '.join(st.TAGS)} FROM tagged")
 def _(spark, sf):
-    return st.tagged(_feats(spark, sf)).select("symbol", "ce", *st.TAGS)
+    return st.tagged(_feats(spark, sf), sessions=SESSIONS).select("symbol", "ce", *st.TAGS)
 
 
 @query("a_cube", f"WITH {O.EVS}, {_TAGGED},\n{paths('p', 3600, 'tagged')}, a AS (SELECT e.event AS anchor, p.* FROM (SELECT DISTINCT symbol, ce, event FROM evs WHERE event IN ({', '.join(repr(x) for x in inf.ANCHORS)})) e JOIN p USING (symbol, ce) WHERE n_path > 0), {_cells('g', 'a', ['anchor'])} SELECT * FROM g")
 def _(spark, sf):
     f = _feats(spark, sf)
     e = ft.all_events(f).where(F.col("event").isin(inf.ANCHORS)).select("symbol", "ce", F.col("event").alias("anchor")).distinct()
-    t = pt.with_paths(st.tagged(f), 3600).where("n_path > 0").withColumn("y", F.col("terminal"))
+    t = pt.with_paths(st.tagged(f, sessions=SESSIONS), 3600).where("n_path > 0").withColumn("y", F.col("terminal"))
     return st.tag_cells(t.join(e, ["symbol", "ce"]), ["anchor"]).select("anchor", "stratum", "cond", "n", "total")
 
 
-def _screen_sql() -> str:
+_TAG_LIST = ", ".join(st.TAGS)
+
+
+def _rows_sql() -> str:
+    """Moments of both arms (controls have the anchor ''), one row for each anchor, predecessor and horizon."""
+    each = " UNION ALL ".join(
+        f"SELECT a.anchor, w.predecessor AS p, {m} AS horizon, d.third, {_TAG_LIST}, t.session_date, stratum, terminal AS up, max_up, max_down FROM p{m} t JOIN moment a USING (symbol, ce) JOIN recent w USING (symbol, ce) JOIN dd d ON d.session_date = t.session_date WHERE n_path > 0" for m in (30, 60)
+    )
+    return f"""{O.EVS}, {_TAGGED}, anc AS (SELECT symbol, ce, event AS anchor FROM evs WHERE event IN ({_values(inf.ANCHORS)[1:-1].replace('), (', ', ')})),
+recent AS (SELECT symbol, ce, '-' AS predecessor FROM strat UNION ALL SELECT DISTINCT s.symbol, s.ce, a.anchor FROM strat s JOIN anc a ON a.symbol = s.symbol AND a.ce BETWEEN s.ce - 3600 AND s.ce WHERE a.anchor IN ({_values(inf.PREDECESSORS)[1:-1].replace('), (', ', ')})),
+dd0 AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session_date FROM feats)),
+dd AS (SELECT session_date, CASE WHEN i < n // 3 THEN 0 WHEN i < 2 * n // 3 THEN 1 ELSE 2 END AS third FROM dd0),
+pool AS (SELECT symbol, ce FROM strat QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY md5('5|' || symbol || '|' || ce), symbol, ce) <= 200),
+moment AS (SELECT symbol, ce, anchor FROM anc UNION ALL SELECT symbol, ce, '' FROM pool),
+{paths("p30", 1800, "tagged")}, {paths("p60", 3600, "tagged")},
+r AS MATERIALIZED ({each})"""
+
+
+def _screen_sql(c: se.Criteria) -> str:
     fam = ", ".join(f"({i}, '{f}', '{v}')" for i, (f, v) in enumerate((f, v) for f, vs in inf.FAMILIES.items() for v in vs))
-    parts, per = [], []
-    for m in (30, 60):
-        parts.append(paths(f"p{m}", m * 60, "tagged"))
-        parts.append(f"t{m} AS (SELECT p.*, w.predecessor FROM p{m} p JOIN recent w USING (symbol, ce) WHERE n_path > 0)")
-        parts.append(f"e{m} AS (SELECT t.*, a.anchor FROM t{m} t JOIN anc a USING (symbol, ce)), c{m} AS (SELECT * FROM t{m} t WHERE NOT EXISTS (SELECT 1 FROM anc a WHERE a.symbol = t.symbol AND a.ce = t.ce))")
-        parts.append(_cells(f"ge{m}", f"e{m}", ["anchor", "predecessor"]))
-        parts.append(_cells(f"gc{m}", f"c{m}", ["predecessor"]))
-        per.append(f"SELECT e.anchor, e.predecessor AS p, e.cond, {m} AS horizon, sum(e.n) AS n_events, coalesce(sum(c.n), 0) AS n_controls, sum(e.total) FILTER (c.n > 0) / sum(e.n) FILTER (c.n > 0) - sum(e.n * c.total / c.n) FILTER (c.n > 0) / sum(e.n) FILTER (c.n > 0) AS raw FROM ge{m} e LEFT JOIN gc{m} c USING (predecessor, stratum, cond) GROUP BY ALL")
-    body = ",\n".join(parts)
-    return f"""{O.EVS}, {_TAGGED}, anc AS (SELECT DISTINCT symbol, ce, event AS anchor FROM evs WHERE event IN ({', '.join(repr(x) for x in inf.ANCHORS)})),
-recent AS (SELECT symbol, ce, '-' AS predecessor FROM strat UNION ALL SELECT DISTINCT s.symbol, s.ce, a.anchor FROM strat s JOIN anc a ON a.symbol = s.symbol AND a.ce BETWEEN s.ce - 3600 AND s.ce WHERE a.anchor IN ({', '.join(repr(x) for x in inf.PREDECESSORS)})),
-{body},
-per AS ({' UNION ALL '.join(per)}),
+    return f"""{_rows_sql()},
+re AS (SELECT *, up AS terminal FROM r WHERE anchor <> ''), rc AS (SELECT *, up AS terminal FROM r WHERE anchor = ''),
+{_cells("ge", "re", ["anchor", "p", "horizon"])}, {_cells("gc", "rc", ["p", "horizon"])},
+gn AS (SELECT p, horizon, cond, sum(n) AS n_controls FROM gc GROUP BY ALL),
+per0 AS (SELECT e.anchor, e.p, e.cond, e.horizon, sum(e.n) AS n_events, sum(e.total) / sum(e.n) - sum(e.n * c.total / c.n) FILTER (c.n > 0) / sum(e.n) FILTER (c.n > 0) AS raw FROM ge e LEFT JOIN gc c USING (p, horizon, stratum, cond) GROUP BY ALL),
+per AS (SELECT per0.*, n_controls FROM per0 LEFT JOIN gn USING (p, horizon, cond)),
 s(i, f, v) AS (VALUES {fam}), one AS (SELECT i, f, f || '=' || v AS cond FROM s),
 sets AS (SELECT '' AS cond, 0 AS k UNION ALL SELECT cond, 1 FROM one UNION ALL SELECT least(a.cond, b.cond) || '&' || greatest(a.cond, b.cond), 2 FROM one a JOIN one b ON a.i < b.i AND a.f <> b.f),
 anchors(anchor) AS (VALUES {_values(inf.ANCHORS)}), pred(predecessor) AS (VALUES (CAST(NULL AS VARCHAR)), {_values(inf.PREDECESSORS)}),
 census AS (SELECT anchor, predecessor, cond, horizon, direction, 1 + k + CASE WHEN predecessor IS NULL THEN 0 ELSE 1 END AS complexity FROM anchors, pred, sets, (VALUES (30), (60)) h(horizon), (VALUES ('up'), ('down')) d(direction) WHERE predecessor IS NULL OR k <= 1),
-x AS (SELECT c.*, coalesce(n_events, 0) AS n_events, coalesce(n_events, 0) >= 200 AS enough, n_controls, CASE direction WHEN 'down' THEN -raw ELSE raw END AS oriented FROM census c LEFT JOIN per ON per.anchor = c.anchor AND per.p = coalesce(c.predecessor, '-') AND per.cond = c.cond AND per.horizon = c.horizon),
-scr AS (SELECT anchor, predecessor, cond, horizon, direction, complexity, CAST(n_events AS BIGINT) AS n_events, CAST(CASE WHEN enough THEN coalesce(n_controls, 0) ELSE 0 END AS BIGINT) AS n_controls, CASE WHEN enough THEN oriented END AS lift,
-  CASE WHEN NOT enough THEN 'below the event floor' WHEN oriented IS NULL THEN 'no matched controls' WHEN oriented <= 0 THEN 'moves against the stated direction' WHEN oriented < 100 THEN 'below the economic floor' ELSE '' END AS reason FROM x)"""
+x AS (SELECT c.*, coalesce(n_events, 0) AS n_events, coalesce(n_events, 0) >= {c.min_events} AS enough, n_controls, CASE direction WHEN 'down' THEN -raw ELSE raw END AS oriented FROM census c LEFT JOIN per ON per.anchor = c.anchor AND per.p = coalesce(c.predecessor, '-') AND per.cond = c.cond AND per.horizon = c.horizon),
+scr AS MATERIALIZED (SELECT anchor, predecessor, cond, horizon, direction, complexity, CAST(n_events AS BIGINT) AS n_events, CAST(CASE WHEN enough THEN coalesce(n_controls, 0) ELSE 0 END AS BIGINT) AS n_controls, CASE WHEN enough THEN oriented END AS lift,
+  CASE WHEN NOT enough THEN 'below the event floor' WHEN oriented IS NULL THEN 'no matched controls' WHEN oriented <= 0 THEN 'moves against the stated direction' WHEN oriented < {c.min_absolute_lift} THEN 'below the economic floor' ELSE '' END AS reason FROM x),
+sl AS MATERIALIZED (SELECT *, anchor || coalesce('|after<' || predecessor || '>', '') || CASE WHEN cond = '' THEN '' ELSE '|' || replace(cond, '&', '|') END || '|' || horizon || 'm|' || direction AS key FROM scr WHERE reason = '' ORDER BY abs(lift) DESC, key LIMIT {c.shortlist_size})"""
+
+
+def _assess_sql(c: se.Criteria) -> str:
+    regimes = inf.FAMILIES["atr_regime"]
+    need = " AND ".join(f"(coalesce(v.less, '') = '{t}' OR regexp_extract('&' || v.cond || '&', '&{t}=([^&]*)&', 1) IN ('', r.{t}))" for t in st.TAGS)
+    kind = "NULL::INT AS in_third, NULL::VARCHAR AS in_regime, NULL::VARCHAR AS less"
+    pick = lambda view, col: f"max({col}) FILTER (view = '{view}')"
+    thirds = ", ".join(f"{pick(f'third:{i}', 'lift')} AS t{i}, coalesce({pick(f'third:{i}', 'en')}, 0) AS tn{i}, coalesce({pick(f'third:{i}', 'clusters')}, 0) AS tc{i}" for i in range(3))
+    boot = _CLUSTER[_CLUSTER.index("s AS (SELECT hypothesis") :].replace("range(1, 2001)", f"range(1, {c.rounds + 1})").replace("(1 - 0.95) / 2", f"{(1 - c.confidence) / 2!r}::DOUBLE").replace("s AS (SELECT hypothesis", "bs AS (SELECT hypothesis", 1).replace("FROM s WHERE", "FROM bs WHERE").replace("JOIN s USING", "JOIN bs USING").replace("FROM c)", "FROM bc)").replace("FROM c JOIN", "FROM bc JOIN")
+    return f"""{_screen_sql(c)},
+v AS (SELECT sl.*, 'all' AS view, {kind} FROM sl UNION ALL SELECT sl.*, 'third:' || i, i, NULL, NULL FROM sl, range(0, 3) t(i) UNION ALL SELECT sl.*, 'regime:' || g, NULL, g, NULL FROM sl, (VALUES {_values(regimes)}) t(g) UNION ALL SELECT sl.*, 'drop:' || part, NULL, NULL, part FROM sl, LATERAL (SELECT split_part(unnest(string_split(sl.cond, '&')), '=', 1) AS part) WHERE sl.cond <> ''),
+ax AS MATERIALIZED (SELECT v.key, v.view, r.session_date, r.stratum, count(*) FILTER (r.anchor <> '') AS en, count(*) FILTER (r.anchor = '') AS cn, coalesce(sum(CASE v.direction WHEN 'up' THEN r.up ELSE -r.up END) FILTER (r.anchor <> ''), 0) AS es, coalesce(sum(CASE v.direction WHEN 'up' THEN r.up ELSE -r.up END) FILTER (r.anchor = ''), 0) AS cs,
+  coalesce(sum(CASE v.direction WHEN 'up' THEN r.max_up ELSE -r.max_down END) FILTER (r.anchor <> ''), 0) AS mfe, coalesce(sum(CASE v.direction WHEN 'up' THEN -r.max_down ELSE r.max_up END) FILTER (r.anchor <> ''), 0) AS mae
+  FROM v JOIN r ON r.p = coalesce(v.predecessor, '-') AND r.horizon = v.horizon AND (r.anchor = v.anchor OR r.anchor = '') AND (v.in_third IS NULL OR v.in_third = r.third) AND (v.in_regime IS NULL OR v.in_regime = r.atr_regime) AND {need} GROUP BY ALL),
+ast AS (SELECT key, view, stratum, sum(en) AS en, sum(cn) AS cn, sum(es) AS es, sum(cs) AS cs, sum(mfe) AS mfe, sum(mae) AS mae FROM ax GROUP BY ALL),
+af AS (SELECT key, view, sum(en) AS en, sum(cn) AS cn, sum(es) AS es, sum(cs) AS cs, sum(mfe) AS mfe, sum(mae) AS mae, CASE WHEN sum(en) > 0 AND sum(cn) > 0 THEN sum(es) / sum(en) - sum(en * cs / cn) FILTER (cn > 0) / sum(en) FILTER (cn > 0) END AS lift FROM ast GROUP BY ALL),
+ad AS (SELECT key, view, count(*) AS sessions, CAST(sum(d) AS DOUBLE) * sum(d) / sum(d * d) AS clusters FROM (SELECT key, view, session_date, sum(en) AS d FROM ax WHERE en > 0 GROUP BY ALL) GROUP BY ALL),
+ag AS (SELECT af.*, sessions, clusters FROM af LEFT JOIN ad USING (key, view)),
+ap AS (SELECT key, {pick('all', 'en')} AS n_events, {pick('all', 'cn')} AS n_controls, {pick('all', 'es')} AS es, {pick('all', 'cs')} AS cs, {pick('all', 'mfe')} AS mfe, {pick('all', 'mae')} AS mae, {pick('all', 'lift')} AS lift, {pick('all', 'sessions')} AS event_sessions, {pick('all', 'clusters')} AS effective_clusters, {thirds}, {', '.join(f"{pick(f'regime:{g}', 'lift')} AS regime_{g}" for g in regimes)} FROM ag GROUP BY key),
+aw AS (SELECT key, list('parameter_sensitivity:' || family ORDER BY family) AS weak FROM (SELECT v.key, v.less AS family FROM v JOIN ap USING (key) LEFT JOIN ag ON ag.key = v.key AND ag.view = v.view WHERE v.less IS NOT NULL AND (ag.lift IS NULL OR ag.lift <= 0 OR abs(ag.lift) < {c.min_perturbed_magnitude_ratio} * abs(ap.lift))) GROUP BY key),
+a1 AS (SELECT ap.*, complexity, list_filter(list_concat([CASE WHEN ap.n_events < {c.min_events} THEN 'min_events' END, CASE WHEN event_sessions < {c.min_event_sessions} THEN 'min_event_sessions' END, CASE WHEN effective_clusters < {c.min_effective_clusters} THEN 'min_effective_clusters' END,
+  CASE WHEN ap.lift < {c.min_absolute_lift} THEN 'min_absolute_lift_points' END, CASE WHEN mfe <> 0 AND abs(ap.lift) / abs(mfe / ap.n_events) < {c.min_lift_to_mfe_ratio} THEN 'min_lift_to_mfe_ratio' END, CASE WHEN NOT coalesce(t0 > 0 AND t1 > 0 AND t2 > 0, false) THEN 'sign_stable_thirds' END,
+  CASE WHEN least(tn0, tn1, tn2) < {c.min_events_per_third} THEN 'min_events_per_third' END, CASE WHEN least(tc0, tc1, tc2) < {c.min_clusters_per_third} THEN 'min_clusters_per_third' END, CASE WHEN coalesce(least({', '.join(f'regime_{g}' for g in regimes)}), 0) <= 0 THEN 'sign_stable_regimes' END], coalesce(weak, [])), lambda f: f IS NOT NULL) AS early
+  FROM ap JOIN sl USING (key) LEFT JOIN aw USING (key)),
+bc AS (SELECT key AS hypothesis, session_date, stratum, CAST(es AS DOUBLE) AS es, CAST(en AS DOUBLE) AS en, CAST(cs AS DOUBLE) AS cs, CAST(cn AS DOUBLE) AS cn FROM ax WHERE view = 'all' AND key IN (SELECT key FROM a1 WHERE len(early) = 0)),
+{boot},
+assessed AS (SELECT a1.*, lo AS ci_low, hi AS ci_high, iv.p AS p, CASE WHEN len(early) > 0 THEN array_to_string(early, ', ') WHEN lo IS NULL THEN 'no clustered interval' WHEN lo <= 0 THEN 'the {c.confidence:.0%} clustered interval includes zero' ELSE '' END AS failures FROM a1 LEFT JOIN iv ON iv.hypothesis = a1.key)"""
+
+
+_SCREEN, _ASSESS = _screen_sql(CRITERIA), _assess_sql(CRITERIA)
+
+
+def _arm_cells(spark, sf):
+    return cut(se.arm_cells(se.moments(_feats(spark, sf), sessions=SESSIONS)))
+
+
+def _assessed(spark, sf):
+    cells = _arm_cells(spark, sf)
+    return se.assess(cells, cut(se.shortlist(se.screen(spark, cells, CRITERIA), CRITERIA.shortlist_size)), CRITERIA)
+
+
+@query("i_screen", f"WITH {_SCREEN} SELECT * REPLACE (round(lift, 4) + 0.0 AS lift) FROM scr")
+def _(spark, sf):
+    return se.screen(spark, _arm_cells(spark, sf), CRITERIA).withColumn("lift", F.round("lift", 4) + 0.0)  # no negative zero
 
 
-_SCREEN = _screen_sql()
+@query("set_census", f"WITH {_SCREEN} SELECT anchor, predecessor, cond, horizon, direction, complexity, n_events FROM scr")
+def _(spark, sf):
+    """The frozen candidate space with what the tape holds of each candidate."""
+    return se.screen(spark, _arm_cells(spark, sf), CRITERIA).select("anchor", "predecessor", "cond", "horizon", "direction", "complexity", "n_events")
 
 
-@query("i_screen", f"WITH {_SCREEN} SELECT * REPLACE (round(lift, 4) AS lift) FROM scr")
+@query("w_topk_short", f"WITH {_SCREEN} SELECT key, n_events, round(lift, 4) AS lift FROM sl")
 def _(spark, sf):
-    return st.screen(spark, _feats(spark, sf)).withColumn("lift", F.round("lift", 4))
+    """The shortlist: of all candidates that pass the screen those with the largest lifts."""
+    return se.shortlist(se.screen(spark, _arm_cells(spark, sf), CRITERIA), CRITERIA.shortlist_size).select("key", "n_events", F.round("lift", 4).alias("lift"))
 
 
-@query("set_census", f"WITH {_SCREEN} SELECT anchor, predecessor, cond, horizon, direction, complexity, n_events FROM scr")
+_FIGURES = ["effective_clusters", "event_mean", "control_mean", "lift", "mfe_mean", "mae_mean", "third_1", "third_2", "third_3", *(f"regime_{g}" for g in inf.FAMILIES["atr_regime"]), "ci_low", "ci_high", "p", "score"]
+
+
+@query(
+    "i_assess",
+    f"""WITH {_ASSESS}, shown AS (SELECT *, es / n_events AS event_mean, cs / n_controls AS control_mean, mfe / n_events AS mfe_mean, mae / n_events AS mae_mean, t0 AS third_1, t1 AS third_2, t2 AS third_3, CASE WHEN failures = '' THEN abs(lift) * pow({CRITERIA.complexity_penalty}, complexity - 1) END AS score FROM assessed)
+SELECT key, CAST(n_events AS BIGINT) AS n_events, CAST(n_controls AS BIGINT) AS n_controls, event_sessions, {', '.join(f'round({c}, 4) AS {c}' for c in _FIGURES)}, failures, failures = '' AS qualified FROM shown""",
+)
 def _(spark, sf):
-    """The frozen candidate space with what the tape holds of each candidate."""
-    return st.screen(spark, _feats(spark, sf)).select("anchor", "predecessor", "cond", "horizon", "direction", "complexity", "n_events")
+    """Every candidate of the shortlist against all criteria, its failures in the order of the rules."""
+    a = _assessed(spark, sf)
+    a = a.withColumns({f"third_{i + 1}": F.element_at("thirds_lift", i + 1) for i in range(3)} | {f"regime_{g}": F.element_at("regimes", i + 1) for i, g in enumerate(inf.FAMILIES["atr_regime"])})
+    return a.select("key", "n_events", "n_controls", "event_sessions", *[F.round(c, 4).alias(c) for c in _FIGURES], F.array_join("failures", ", ").alias("failures"), "qualified")
 
 
-@query("w_winner", f"WITH {_SCREEN} SELECT anchor, predecessor, cond, horizon, direction, round(lift, 4) AS lift, round(abs(lift) * pow(0.8, complexity - 1), 4) AS score FROM scr WHERE reason = '' ORDER BY round(abs(lift) * pow(0.8, complexity - 1), 4) DESC, n_events DESC, anchor, coalesce(predecessor, '-'), cond, horizon, direction LIMIT 1")
+@query("w_winner", f"WITH {_ASSESS} SELECT key, CAST(n_events AS BIGINT) AS n_events, round(effective_clusters, 4) AS effective_clusters, round(lift, 4) AS lift, round(ci_low, 4) AS ci_low, round(abs(lift) * pow({CRITERIA.complexity_penalty}, complexity - 1), 4) AS score FROM assessed WHERE failures = '' ORDER BY abs(lift) * pow({CRITERIA.complexity_penalty}, complexity - 1) DESC, effective_clusters DESC, key LIMIT 1")
 def _(spark, sf):
-    """The single winner by formula: score, then support, then the candidate's name."""
-    x = st.screen(spark, _feats(spark, sf)).where("reason = ''").withColumn("score", F.round(st.score(F.col("lift"), F.col("complexity")), 4))
-    x = x.orderBy(F.desc("score"), F.desc("n_events"), "anchor", F.coalesce("predecessor", F.lit("-")), "cond", "horizon", "direction").limit(1)
-    return x.select("anchor", "predecessor", "cond", "horizon", "direction", F.round("lift", 4).alias("lift"), "score")
+    """The single winner among the assessed candidates, by formula."""
+    return se.winner(_assessed(spark, sf)).select("key", "n_events", *[F.round(c, 4).alias(c) for c in ("effective_clusters", "lift", "ci_low", "score")])

@@ -26,7 +26,7 @@ def stream_bars(events: DataFrame, late: str = "10 minutes", interval: int = INT
     return b.select("symbol", F.col("w.start").cast("long").alias("os"), "o", "h", "l", "c", "v")
 
 
-def run_to_end(bars: DataFrame, out: str, checkpoint: str) -> None:
+def run_to_end(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Runs what is there now into Parquet files, exactly once over restarts with the same checkpoint."""
-    q = bars.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
