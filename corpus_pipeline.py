@@ -41,14 +41,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of similar texts, once if its row is repeated.
 
-    Documents without words and rows without an id are in no group and stay. What goes is joined out, which is
-    the short side.
+    Documents without words and rows without an id are in no group and stay. An id with several different texts names no
+    one document: each of these texts stays, once. Of rows that share id and text the first by lang, source and n_chars
+    stays. What goes is joined out, which is the short side.
     """
-    gone = similar_texts(docs, words=5, percent=75).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.select(*COLUMNS).join(small_side(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
-    twice = small_side(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n")).where("n > 1").select("twice_id"))
+    docs = docs.select(*COLUMNS)
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("twice_id")).agg(F.count("*").alias("n"), (F.min(F.xxhash64("text")) != F.max(F.xxhash64("text"))).alias("several")).where("n > 1")
+    twice = small_side(twice.select("twice_id", "several"))
+    found = similar_texts(docs, words=5, percent=75).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = found.join(twice.where("several"), F.col("gone_id") == F.col("twice_id"), "left_anti")
+    left = docs.join(small_side(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
     once = left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_anti")
-    return once.unionByName(left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").dropDuplicates(["doc_id"]))
+    again = left.join(twice, F.col("doc_id") == F.col("twice_id"), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("first"))
+    return once.unionByName(again.select("doc_id", "text", "first.*"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
