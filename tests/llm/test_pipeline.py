@@ -95,3 +95,14 @@ def test_stages_against_plain_versions(spark, odd):
 def test_run(spark):
     docs = P.run(spark, SF)
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0 and docs.count() > 100
+
+
+def test_near_duplicates_keep_every_different_text(spark):
+    """An id with several texts loses none of them, also where one is a copy of a smaller id's; reruns agree."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a"), (1, "one two three four five six", "en", "a"), (1, "one two three four five six", "de", None), (2, "one two three four five six", "en", "b"), (3, text, "en", "b"), (0, text, "en", "z"), (0, text, "en", "z"), (None, text, "en", "z"), (4, None, "en", "a"), (4, "", "en", "a")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(0, text, "en", "z"), (1, text, "en", "a"), (1, rows[1][1], "de", None), (4, None, "en", "a"), (4, "", "en", "a"), (None, text, "en", "z")]
+    for df in (docs, docs.repartition(5)):
+        got = [tuple(r)[:4] for r in P.near_duplicates(spark, df, "").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
