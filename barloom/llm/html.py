@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import small_side, table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+LAST = re.compile(r"<(?:!|\?)")
 NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORDS = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
@@ -61,6 +62,9 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
     zones: list[int] = []
     held: list[tuple[str, int]] = []  # open elements, each with the zone inside it
     zone, parts, at = OTHER, [], 0
+    open_now: Counter = Counter()  # how many of each name are held
+    endless: set[str] = set()  # elements whose end is nowhere behind this place
+    last = html.rfind(">")  # no tag begins behind it
 
     def close() -> None:
         if parts:
@@ -71,9 +75,11 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
                 zones.append(zone)
 
     while True:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at) if at <= last else None
         if m is None:
-            parts.append(html[at:])
+            # behind the last > only an unfinished comment or declaration is no text
+            end = LAST.search(html, at)
+            parts.append(html[at : end.start()] if end else html[at:])
             close()
             return lines, zones
         if m.start() > at:
@@ -86,7 +92,9 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         if name in RAW:
             if name == "head" or ends:
                 continue  # what a head holds as text is in elements of this kind itself
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
+            end = None if name in endless else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(html, at)
+            if end is None:
+                endless.add(name)
             if end is None and name in ("script", "style"):
                 close()
                 return lines, zones
@@ -100,10 +108,13 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
         if name not in HELD or name in VOID or attrs.endswith("/") and not ends:
             continue
         if ends:
-            at_stack = next((i for i in range(len(held) - 1, -1, -1) if held[i][0] == name), None)
-            if at_stack is None:
+            if not open_now[name]:
                 continue
-            del held[at_stack:]
+            while True:
+                gone, _ = held.pop()
+                open_now[gone] -= 1
+                if gone == name:
+                    break
         else:
             inside = zone
             if name == "main":
@@ -116,6 +127,7 @@ def text_lines(html: str) -> tuple[list[str], list[int]]:
             if inside != zone:
                 close()
             held.append((name, inside))
+            open_now[name] += 1
         new = held[-1][1] if held else OTHER
         if new != zone:
             close()
@@ -183,6 +195,13 @@ def _places(host: str, lines: list[str], zones: list[int]) -> list[tuple[int, in
     return out
 
 
+def _beside(lines: list[str], zones: list[int]) -> list[int]:
+    """For each line a number in 0..127 of the page's longest other line outside menus and the like: copies of a page have the same."""
+    longest = sorted({s for s, z in zip(lines, zones, strict=True) if z != AROUND_ZONE}, key=lambda s: (-len(s), s))[:2]
+    code = [blake2b(s.encode("utf-8", "surrogatepass"), digest_size=1).digest()[0] % 128 for s in longest] + [0, 0]
+    return [code[1] if longest and s == longest[0] else code[0] for s in lines]
+
+
 def is_copy(page: tuple, other: tuple, copy_share: float) -> bool:
     """Whether a page (lines, zones, framed) shares more than ``copy_share`` of its own text with another.
 
@@ -271,13 +290,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, key = [], []
+            h, key, bit = [], [], []
             for one, name, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found, zones = text_lines(code or "")
-                mine = {k for ks, z in zip(_places(name, found, zones), zones, strict=True) if z != AROUND_ZONE for k in ks}
+                mine = {k: b for ks, z, b in zip(_places(name, found, zones), zones, _beside(found, zones), strict=True) if z != AROUND_ZONE for k in ks}
                 key.extend(mine)
+                bit.extend(mine.values())
                 h.extend([one] * len(mine))
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(key, pa.int64())], names=["h", "key"])
+            bits = np.array(bit, np.int64)
+            halves = [np.where(bits >> 6 == k, np.int64(1) << (bits & 63), 0) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h, key, *halves)], names=["h", "key", "low", "high"])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +347,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     lows, heads, tails = ([r[i] for r in found] for i in range(3))
     # what many pages of a host hold at the same place: two numbers a line are counted, and only the frequent ones go on
     sizes = slim.groupBy(F.xxhash64("host").alias("s_h")).agg(F.count("*").alias("pages")).where(F.col("pages") >= frame_least)
-    held = slim.select(F.xxhash64("host").alias("h"), "host", "html").mapInArrow(places, "h long, key long").groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") >= frame_least)
+    held = slim.select(F.xxhash64("host").alias("h"), "host", "html").mapInArrow(places, "h long, key long, low long, high long").groupBy("h", "key").agg((F.bit_count(F.bit_or("low")) + F.bit_count(F.bit_or("high"))).alias("set"))
+    # the number of different pages from the share of 128 bits that they leave unset
+    held = held.withColumn("n", F.when(F.col("set") == 128, F.lit(1e9)).otherwise(F.round(-128 * F.log1p(-F.col("set") / 128)))).where(F.col("n") >= frame_least)
     held = held.join(sizes, (F.col("h") == F.col("s_h")) & (F.col("n") >= frame_share * F.col("pages")))
     held = small_side(held.groupBy(F.col("h").alias("f_h")).agg(F.collect_list("key").alias("frame")), 20_000)
     lines = slim.join(held, F.xxhash64("host") == F.col("f_h"), "left").select("id", "url", "html", "host", "path", "at", "frame")

@@ -87,6 +87,35 @@ def test_html_pairs_across_ranges_and_past_copies(spark):
         assert got == {i: word(i) for i in range(120)} | {200 + i: word(7 if i else 8) for i in range(6)}
 
 
+def test_html_near_copies_keep_their_articles(spark):
+    par = [" ".join(f"p{k}w{i}" for i in range(20 + k)) for k in range(6)]
+    word = lambda i: " ".join(f"{c}{i}{c}" for c in "abcdefghijklmno")
+    page = lambda lines, i, tag="article": "<nav>Home</nav><{0}>{1}<p>edition {2}</p></{0}>".format(tag, "".join(f"<p>{x}</p>" for x in lines), i)
+    whole = lambda lines, i: "\n\n".join([*lines, f"edition {i}"])
+    rows = [(i, f"http://four.com/{i}", page(par, i), whole(par, i)) for i in range(4)]
+    rows += [(10 + i, f"http://div.com/{i}", page(par, i, "div"), whole(par, i)) for i in range(4)]
+    # a third of a host, a hot host with hundreds of edited copies, and one frame line that all its pages have
+    rows += [(20 + i, f"http://third.com/{i}", page(par, i), whole(par, i)) for i in range(4)] + [(30 + i, f"http://third.com/x/{i}", page([word(i)], i), whole([word(i)], i)) for i in range(8)]
+    for i in range(400):
+        own = [x if (i * 7 + k) % 10 else f"{x} edited {i}" for k, x in enumerate(par)]
+        rows.append((100 + i, f"http://hot.com/a/{i:04}", page(own, i), whole(own, i)))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    got = {r["page_id"]: r["text"] for r in html.extract(df, block=100).collect()}
+    assert [r[0] for r in rows if got[r[0]] != r[3]] == []
+
+
+def test_html_hostile_pages_take_linear_time():
+    import time
+
+    n = 250_000
+    pages = ['<a "' * n, "<a b" * n, "<svg>" * (n // 5 * 4), "<div>" * (n // 2) + "</ul>" * (n // 2), "<" * 4 * n, "<!-- " * n, "<a '" * n + ">", "<p>" * n, "</svg" * n, "<style>" * n]
+    for page in pages:
+        began = time.process_time()
+        html.text_lines(page)
+        assert time.process_time() - began < 6, page[:20]  # a second or two on an idle machine
+    assert html.text_lines("a<b>c</b> 1 < 2 <!-- x")[0] == ["ac 1 < 2"] and html.text_lines("x > y <i")[0] == ["x > y <i"]
+
+
 # -- 2 -----------------------------------------------------------------------------------------------------
 
 
