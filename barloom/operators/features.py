@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.calendar import with_session
+from ..functions.lineage import cut
 from ..sources.bars import INTERVAL, bars_from_events
+from . import touch
 
 
 @dataclass(frozen=True)
@@ -157,25 +159,20 @@ def gaps(f: DataFrame, config: Config = Config()) -> DataFrame:
 def gap_events(f: DataFrame, config: Config = Config(), fill_on_forming_bar: bool = True) -> DataFrame:
     """Formation, fill (on the forming bar by default, as the level's own bar touches it) and inversion.
 
-    Inversion is the first later bar that closes beyond the far side: a join on the symbol in blocks of 64
-    bars. Each gap first skips whole blocks by their lowest and highest close, then looks into the block found.
+    Inversion is the first later bar that closes beyond the far side, found in the tree of block extremes of closes.
     """
     g = gaps(f, config)
     out = g.select("symbol", "session_date", "ce", F.concat(F.lit("fvg_formed_"), "side").alias("event"), (F.col("top") - F.col("bottom")).cast("double").alias("value"), F.lit(None).cast("string").alias("reference"))
-    bars = f.select("symbol", "session_date", "ce", "n_bar", "c", "h", "l", F.expr("(n_bar - 1) div 64").alias("blk"))
+    bars = f.select("symbol", "session_date", "ce", "n_bar", "c")
     if fill_on_forming_bar:
         out = out.unionByName(g.select("symbol", "session_date", "ce", F.lit("fvg_filled").alias("event"), (F.col("top") - F.col("bottom")).cast("double").alias("value"), F.col("side").alias("reference")))
-    where = g.join(bars.select("symbol", "ce", "n_bar", "blk"), ["symbol", "ce"])
-    blocks = bars.groupBy(F.col("symbol").alias("b_symbol"), F.col("blk").alias("b_blk")).agg(F.min("c").alias("low"), F.max("c").alias("high"))
-    beyond = "(side = 'up' and {lo} < bottom) or (side = 'down' and {hi} > top)"
-    own = where.select("symbol", "ce", "side", "top", "bottom", "n_bar", F.col("blk").alias("at_blk"))
-    ahead = own.join(blocks, (F.col("symbol") == F.col("b_symbol")) & (F.col("b_blk") > F.col("at_blk"))).where(beyond.format(lo="low", hi="high"))
-    first = ahead.groupBy("symbol", "ce", "side", "top", "bottom", "n_bar").agg(F.min("b_blk").alias("at_blk"))
-    look = own.unionByName(first)
-    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("blk").alias("b_blk"), F.col("ce").alias("b_ce"), F.col("n_bar").alias("b_n"), F.col("c").alias("b_c"), F.col("session_date").alias("b_date"))
-    hit = look.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("at_blk") == F.col("b_blk")) & (F.col("b_n") > F.col("n_bar"))).where(beyond.format(lo="b_c", hi="b_c"))
-    inv = hit.groupBy("symbol", "ce", "side", "top", "bottom").agg(F.min(F.struct("b_ce", "b_date")).alias("m"))
-    return out.unionByName(inv.select("symbol", F.col("m.b_date").alias("session_date"), F.col("m.b_ce").alias("ce"), F.lit("fvg_inverted").alias("event"), (F.col("top") - F.col("bottom")).cast("double").alias("value"), F.col("side").alias("reference")))
+    own = cut(g.join(bars.select("symbol", "ce", "n_bar"), ["symbol", "ce"]).withColumns({"up": F.col("side") == "down", "at": F.when(F.col("side") == "up", F.col("bottom") - 1).otherwise(F.col("top") + 1)}))
+    hit = touch.first_touch(own.withColumnRenamed("n_bar", "n"), touch.extremes(bars.withColumnRenamed("n_bar", "n"), "c", "c"))
+    hit = hit.select(*[F.col(c).alias(f"t_{c}") for c in ("symbol", "n", "up", "at", "touch")])
+    inv = own.join(hit, (F.col("symbol") == F.col("t_symbol")) & (F.col("n_bar") == F.col("t_n")) & (F.col("up") == F.col("t_up")) & (F.col("at") == F.col("t_at")))
+    b = bars.select(F.col("symbol").alias("b_symbol"), F.col("n_bar").alias("b_n"), F.col("ce").alias("b_ce"), F.col("session_date").alias("b_date"))
+    inv = inv.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("t_touch") == F.col("b_n")))
+    return out.unionByName(inv.select("symbol", F.col("b_date").alias("session_date"), F.col("b_ce").alias("ce"), F.lit("fvg_inverted").alias("event"), (F.col("top") - F.col("bottom")).cast("double").alias("value"), F.col("side").alias("reference")))
 
 
 def swing_events(f: DataFrame) -> DataFrame:

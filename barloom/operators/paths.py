@@ -56,13 +56,6 @@ def interval_join(anchors: DataFrame, bars: DataFrame, horizon: int) -> DataFram
     return a.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("cell") == F.col("b_cell")) & (F.col("b_ce") > F.col("ce")) & (F.col("b_ce") <= F.col("ce") + horizon)).drop("b_symbol", "b_cell", "cell")
 
 
-def hit_first(anchors: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Which of c + atr and c - atr an up-oriented path touches first: favorable, adverse, same_bar or neither."""
-    j = interval_join(anchors.select("symbol", "ce", "c", "atr").where("atr is not null").distinct(), bars, horizon)
-    g = j.groupBy("symbol", "ce").agg(F.min(F.expr("case when b_h >= c + atr then b_ce end")).alias("fav"), F.min(F.expr("case when b_l <= c - atr then b_ce end")).alias("adv"))
-    return g.select("symbol", "ce", F.expr("case when fav is null and adv is null then 'neither' when adv is null or fav < adv then 'favorable' when fav is null or adv < fav then 'adverse' else 'same_bar' end").alias("hit"))
-
-
 def as_of(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
     """Backward as-of join on (symbol, ce), inclusive and unbounded: the latest value known at each left row.
 

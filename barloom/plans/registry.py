@@ -13,6 +13,7 @@ from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import paths as pt
 from ..operators import quality as ql
+from ..operators import touch as tc
 from ..sources import bars as src
 from . import oracles as O  # noqa: N812
 
@@ -271,14 +272,29 @@ def _(spark, sf):
     return pt.oriented(p).select("symbol", "ce", "direction", "signed", "mfe", "mae", "favorable_first")
 
 
-_HIT = f"""WITH {O.FEATS} SELECT symbol, ce, CASE WHEN fav IS NULL AND adv IS NULL THEN 'neither' WHEN adv IS NULL OR fav < adv THEN 'favorable' WHEN fav IS NULL OR adv < fav THEN 'adverse' ELSE 'same_bar' END AS hit
-  FROM (SELECT a.symbol, a.ce, min(b.ce) FILTER (b.h >= a.c + a.atr) AS fav, min(b.ce) FILTER (b.l <= a.c - a.atr) AS adv FROM feats a JOIN feats b ON a.symbol = b.symbol AND b.ce > a.ce AND b.ce <= a.ce + 14400 WHERE a.atr IS NOT NULL GROUP BY a.symbol, a.ce)"""
+def _hit_sql(favorable: str, adverse: str, direction: str, where: str) -> str:
+    level = lambda d, up: f"a.c {'+' if up else '-'} a.{d}"
+    fav = f"min(b.ce) FILTER (CASE a.direction WHEN 'up' THEN b.h >= {level('favorable', True)} ELSE b.l <= {level('favorable', False)} END)"
+    adv = f"min(b.ce) FILTER (CASE a.direction WHEN 'up' THEN b.l <= {level('adverse', False)} ELSE b.h >= {level('adverse', True)} END)"
+    return f"""WITH {O.FEATS}, a AS (SELECT symbol, ce, c, {favorable} AS favorable, {adverse} AS adverse, {direction} AS direction FROM feats WHERE {where}),
+t AS (SELECT a.symbol, a.ce, a.favorable, a.adverse, a.direction, {fav} AS fav, {adv} AS adv FROM a LEFT JOIN feats b ON a.symbol = b.symbol AND b.ce > a.ce AND b.ce <= a.ce + 14400 GROUP BY ALL),
+hits AS (SELECT *, CASE WHEN fav IS NULL AND adv IS NULL THEN 'neither' WHEN adv IS NULL OR fav < adv THEN 'favorable' WHEN fav IS NULL OR adv < fav THEN 'adverse' ELSE 'same_bar' END AS hit, least(fav, adv) - 1800 AS hit_os FROM t)"""
 
 
-@query("p_hit_atr", _HIT)
+@query("p_hit_atr", _hit_sql("atr", "atr", "'up'", "atr > 0") + " SELECT symbol, ce, hit FROM hits")
 def _(spark, sf):
+    """Which of one average range up or down comes first; every bar with a range has a row."""
     f = _feats(spark, sf)
-    return pt.hit_first(f, f, 14400)
+    a = f.where("atr > 0").select("symbol", "ce", F.col("atr").alias("favorable"), F.col("atr").alias("adverse"), F.lit("up").alias("direction"))
+    return tc.hit_first(a, f, 14400).select("symbol", "ce", "hit")
+
+
+@query("p_hit_first", _hit_sql("CAST(bar_range + 50 + n_bar % 3 * 400 AS DOUBLE)", "CAST(100 + n_bar % 4 * 300 AS DOUBLE)", "CASE WHEN n_bar % 2 = 0 THEN 'up' ELSE 'down' END", "true") + " SELECT symbol, ce, favorable, adverse, direction, hit, hit_os FROM hits")
+def _(spark, sf):
+    """Thresholds of each anchor's own, not the same on both sides, both directions."""
+    f = _feats(spark, sf)
+    own = {"favorable": "cast(bar_range + 50 + n_bar % 3 * 400 as double)", "adverse": "cast(100 + n_bar % 4 * 300 as double)", "direction": "case when n_bar % 2 = 0 then 'up' else 'down' end"}
+    return tc.hit_first(f.select("symbol", "ce", *[F.expr(v).alias(k) for k, v in own.items()]), f, 14400)
 
 
 # -- quality and contracts ---------------------------------------------------------------------------------
