@@ -56,27 +56,43 @@ def interval_join(anchors: DataFrame, bars: DataFrame, horizon: int) -> DataFram
     return a.join(b, (F.col("symbol") == F.col("b_symbol")) & (F.col("cell") == F.col("b_cell")) & (F.col("b_ce") > F.col("ce")) & (F.col("b_ce") <= F.col("ce") + horizon)).drop("b_symbol", "b_cell", "cell")
 
 
-def as_of(left: DataFrame, right: DataFrame, value: str) -> DataFrame:
+def carried(rows: DataFrame, value: str, order: list[str], cells: int = 4096) -> DataFrame:
+    """Rows (symbol, at, ...) with ``value`` replaced by the last one that is not null, up to and including the row, by ``order`` (at first).
+
+    A scan in two levels: time is cut into at most ``cells`` cells, the last value of each (symbol, cell) is carried over the
+    cells, and inside a cell rows see their own cell only. So a symbol's history spreads over as many tasks as cells, and what meets
+    in one window is one cell's rows, or one row for each of a symbol's cells.
+    """
+    ends = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    if ends["lo"] is None:
+        return rows
+    width = (ends["hi"] - ends["lo"]) // cells + 1
+    r = rows.withColumn("cell", F.expr(f"(at - {ends['lo']}L) div {width}L"))
+    last = r.groupBy("symbol", "cell").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("end"))
+    before = Window.partitionBy("symbol").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(F.col("symbol").alias("k_symbol"), F.col("cell").alias("k_cell"), F.last("end", True).over(before).alias("carry"))
+    inside = Window.partitionBy("symbol", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = r.join(carry, (F.col("symbol") == F.col("k_symbol")) & (F.col("cell") == F.col("k_cell")))
+    return x.withColumn(value, F.coalesce(F.last(value, True).over(inside), "carry")).drop("cell", "carry", "k_symbol", "k_cell")
+
+
+def as_of(left: DataFrame, right: DataFrame, value: str, cells: int = 4096) -> DataFrame:
     """Backward as-of join on (symbol, ce), inclusive and unbounded: the latest value known at each left row.
 
-    Left and right are sorted together and the value carried on. Of right rows at one time the first by seq
-    wins; right has symbol, ce, seq and ``value``.
+    Left and right are sorted together, in cells of time, and the value carried on. Of right rows at one time the first
+    by seq wins; right has symbol, ce, seq and ``value``.
     """
-    r = right.groupBy("symbol", "ce").agg(F.min_by(value, "seq").alias("v")).select("symbol", "ce", F.lit(0).alias("side"), "v", F.lit(None).cast("struct<x:int>").alias("none"))
-    cols = left.columns
-    both = left.select("symbol", "ce", F.lit(1).alias("side"), F.lit(None).cast(r.schema["v"].dataType).alias("v"), F.struct(*cols).alias("row")).unionByName(r.drop("none"), allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("ce", "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("v", True).over(w)).where("side = 1").select("row.*", value)
-
-
-def reference_bar(moments: DataFrame, bars: DataFrame) -> DataFrame:
-    """Forward as-of: for each (symbol, id, t in seconds) the first bar that closes at t or later."""
-    b = bars.select("symbol", F.col("ce").alias("at"), F.lit(0).alias("side"), F.col("ce").alias("b_ce"), F.col("c").alias("b_c"))
-    m = moments.select("symbol", "id", F.col("t").alias("at"), F.lit(1).alias("side"))
-    both = m.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy(F.desc("at"), "side").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("ref", F.last(F.when(F.col("b_ce").isNotNull(), F.struct("b_ce", "b_c")), True).over(w))
-    return got.where("side = 1").select("symbol", "id", F.col("at").alias("t"), F.col("ref.b_ce").alias("ref_ce"), F.col("ref.b_c").alias("ref_c"))
+    r = right.groupBy("symbol", "ce").agg(F.min_by(value, "seq").alias("v")).select("symbol", F.col("ce").alias("at"), F.lit(0).alias("side"), "v")
+    both = left.select("symbol", F.col("ce").alias("at"), F.lit(1).alias("side"), F.struct(*left.columns).alias("row")).unionByName(r, allowMissingColumns=True)
+    return carried(both, "v", ["at", "side"], cells).where("side = 1").select("row.*", F.col("v").alias(value))
+
+
+def reference_bar(moments: DataFrame, bars: DataFrame, cells: int = 4096) -> DataFrame:
+    """Forward as-of: for each (symbol, id, t in seconds) the first bar that closes at t or later; time runs backwards in the scan."""
+    b = bars.select("symbol", (-F.col("ce")).alias("at"), F.lit(0).alias("side"), F.struct(F.col("ce").alias("b_ce"), F.col("c").alias("b_c")).alias("ref"))
+    m = moments.select("symbol", "id", (-F.col("t")).alias("at"), F.lit(1).alias("side"))
+    got = carried(m.unionByName(b, allowMissingColumns=True), "ref", ["at", "side"], cells)
+    return got.where("side = 1").select("symbol", "id", (-F.col("at")).alias("t"), F.col("ref.b_ce").alias("ref_ce"), F.col("ref.b_c").alias("ref_c"))
 
 
 def recent_events(events: DataFrame, seconds: int) -> DataFrame:
