@@ -21,17 +21,17 @@ def parse_instant(text: Column) -> Column:
     return F.when(ok, F.to_timestamp(text).cast("long")).otherwise(F.raise_error(F.concat(F.lit("no offset: "), text)).cast("long"))
 
 
-def parse_micros(text: Column) -> Column:
-    """As parse_instant, to epoch microseconds: fractions of a second stay."""
+def parse_micros(text: Column, where: Column | None = None) -> Column:
+    """As parse_instant, to epoch microseconds: fractions of a second stay. ``where`` begins the message of a failure."""
     ok = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    return F.when(ok, F.unix_micros(F.to_timestamp(text))).otherwise(F.raise_error(F.concat(F.lit("no offset: "), text)).cast("long"))
+    return F.when(ok, F.unix_micros(F.to_timestamp(text))).otherwise(F.raise_error(F.concat(F.lit("") if where is None else where, F.lit("no offset: "), text)).cast("long"))
 
 
-def parse_number(text: Column, kind: str, optional: bool) -> Column:
+def parse_number(text: Column, kind: str, optional: bool, where: Column | None = None) -> Column:
     """A number of a type; blank is null if optional, anything else that is no number fails the job."""
     value = text.try_cast(kind)
     blank = text.isNull() | (F.trim(text) == "")
-    bad = F.raise_error(F.concat(F.lit("bad number: "), F.coalesce(text, F.lit("")))).cast(kind)
+    bad = F.raise_error(F.concat(F.lit("") if where is None else where, F.lit("bad number: "), F.coalesce(text, F.lit("")))).cast(kind)
     return F.when(blank, F.lit(None).cast(kind) if optional else bad).otherwise(F.coalesce(value, bad))
 
 
