@@ -12,6 +12,8 @@ from ..operators import features as ft
 from ..operators import inference as inf
 from ..operators import quality as ql
 from ..sources import bars as src
+from ..sources import files as fl
+from ..sources import resume as rs
 from ..sources import store
 from . import oracles as O  # noqa: N812
 from .registry import _OBS, _QUALITY, SQL, TAPE, _bars, _feats, _observations, boot_sql, query
@@ -31,19 +33,68 @@ _NAMES = "m AS (SELECT s_suppkey, DATE '1900-01-01' AS lo, DATE '1996-01-01' AS
 
 @query("src_dbn", f"WITH {_NAMES} SELECT code, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, count(*) AS n, CAST(min(round(l_extendedprice * 100)) AS BIGINT) AS low, CAST(max(round(l_extendedprice * 100)) AS BIGINT) AS high, CAST(sum(l_quantity) AS BIGINT) AS volume FROM lineitem JOIN m ON l_suppkey = s_suppkey AND CAST(l_shipdate AS DATE) >= lo AND CAST(l_shipdate AS DATE) < hi GROUP BY 1, 2")
 def _(spark, sf):
-    """Interleaved records of many instruments, named by date and brought together by name and day."""
-    x = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("instrument"), F.col("l_shipdate").cast("date").alias("day"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("px"), "l_quantity")
+    """Interleaved records of many instruments, written as record files in time order, read in splits, named by date and brought together by name and day."""
+    r = spark.read.parquet(f"{sf}/lineitem.parquet").select((F.unix_date(F.col("l_shipdate").cast("date")) * F.lit(86_400_000_000_000)).alias("ts"), F.col("l_suppkey").alias("instrument"), F.col("l_quantity").cast("long").alias("size"), (F.round(F.col("l_extendedprice") * 100).cast("long") * 10_000_000).alias("price"))
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    fl.write_records(r.repartitionByRange("ts").sortWithinPartitions("ts"), folder)
+    x = fl.read_records(spark, folder, 10_000).select("instrument", F.date_from_unix_date(F.expr("int(ts div 86400000000000)")).alias("day"), F.expr("price div 10000000").alias("px"), F.col("size").alias("l_quantity"))
     s = spark.read.parquet(f"{sf}/supplier.parquet")
     part = lambda lo, hi, end: s.select(F.col("s_suppkey").alias("m_instrument"), F.lit(lo).cast("date").alias("lo"), F.lit(hi).cast("date").alias("hi"), F.concat("s_name", F.lit(end)).alias("code"))
     named = ck.resolve(x, part("1900-01-01", "1996-01-01", ".a").unionByName(part("1996-01-01", "2200-01-01", ".b")), "instrument", "day")
     return named.groupBy("code", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n"), F.min("px").alias("low"), F.max("px").alias("high"), F.sum("l_quantity").cast("long").alias("volume"))
 
 
-@query("snk_config", "WITH d AS (SELECT o_orderstatus, sha256(o_custkey || '|' || o_orderpriority) AS digest FROM orders) SELECT DISTINCT digest FROM d WHERE digest NOT IN (SELECT digest FROM d WHERE o_orderstatus = 'F')")
+def _replay(spark, df, schema: str):
+    """A table written as replay files in time order, and read back in splits with file and line."""
+    folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
+    columns = [c.split()[0] for c in src.SCHEMAS[schema].split(", ")]
+    instant = F.concat(F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")).alias("observed_at")
+    ordered = df.repartitionByRange("at").sortWithinPartitions("at").select(instant, *columns[1:])
+    ordered.write.option("header", True).option("emptyValue", "").option("nullValue", "").csv(folder)
+    return fl.read_replay(spark, sorted(spark.read.text(folder).inputFiles()), schema, 1 << 16)
+
+
+@query("src_csv_bars", f"WITH {O.BARS} SELECT os * 1000000 AS at, o / 100.0::DOUBLE AS open, h / 100.0::DOUBLE AS high, l / 100.0::DOUBLE AS low, c / 100.0::DOUBLE AS close, v AS volume, CASE WHEN v % 2 = 0 THEN v END AS trade_count FROM bars")
+def _(spark, sf):
+    price = lambda c: (F.col(c) / F.lit(100).cast("decimal(4,0)")).cast("decimal(18,2)")
+    b = src.bars_from_events(spark, sf).select((F.col("os") * 1_000_000).alias("at"), *[price(c).alias(n) for c, n in zip("ohlc", ("open", "high", "low", "close"), strict=True)], F.col("v").alias("volume"), F.when(F.col("v") % 2 == 0, F.col("v")).alias("trade_count"))
+    return _replay(spark, b, "bars").select("at", *[F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")], "volume", "trade_count")
+
+
+@query("src_csv_trades", "SELECT epoch_us(ts) AS at, round(value, 2) AS price, user_id AS size, CASE WHEN user_id % 2 = 0 THEN event_type END AS aggressor, event_id AS sequence FROM events")
+def _(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.round("value", 2).cast("decimal(18,2)").alias("price"), F.col("user_id").alias("size"), F.when(F.col("user_id") % 2 == 0, F.col("event_type")).alias("aggressor"), F.col("event_id").alias("sequence"))
+    return _replay(spark, e, "trades").select("at", F.col("price").cast("double").alias("price"), "size", F.when(F.col("aggressor") != "", F.col("aggressor")).alias("aggressor"), "sequence")
+
+
+@query("src_csv_tob", "SELECT epoch_us(ts) AS at, CASE WHEN user_id % 3 > 0 THEN round(value, 2) END AS bid_price, CASE WHEN user_id % 3 > 0 THEN user_id END AS bid_size, CASE WHEN user_id % 3 < 2 THEN round(value, 2) + 1 END AS ask_price, CASE WHEN user_id % 3 < 2 THEN event_id END AS ask_size FROM events")
+def _(spark, sf):
+    """Quotes of one side or both."""
+    px, side = F.round("value", 2).cast("decimal(18,2)"), F.col("user_id") % 3
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.when(side > 0, px).alias("bid_price"), F.when(side > 0, F.col("user_id")).alias("bid_size"), F.when(side < 2, px + 1).alias("ask_price"), F.when(side < 2, F.col("event_id")).alias("ask_size"))
+    return _replay(spark, e, "top_of_book").select("at", F.col("bid_price").cast("double").alias("bid_price"), "bid_size", F.col("ask_price").cast("double").alias("ask_price"), "ask_size")
+
+
+@query("snk_config", "SELECT digest, CASE min(r) WHEN 1 THEN 'F' ELSE 'rest' END AS writer FROM (SELECT sha256(o_custkey || '|' || o_orderpriority) AS digest, CASE o_orderstatus WHEN 'F' THEN 1 ELSE 2 END AS r FROM orders) GROUP BY digest")
+def _(spark, sf):
+    """Two writers upsert overlapping configurations by digest; what the first one stored stays, each digest has one row."""
+    d = spark.read.parquet(f"{sf}/orders.parquet").select(F.sha2(F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderpriority"), 256).alias("digest"), F.when(F.col("o_orderstatus") == "F", "F").otherwise("rest").alias("writer"))
+    folder = f"{shared_folder(spark)}/configs-{uuid.uuid4().hex}"
+    for writer in ("F", "rest"):
+        store.upsert_configs(d.where(F.col("writer") == writer), folder)
+    return store.stored_configs(spark, folder, "digest string, writer string")
+
+
+@query("snk_ckpt", f"SELECT symbol, session_date, n, true AS resumed FROM ({SQL['records_long']})")
 def _(spark, sf):
-    """The configurations that an upsert by digest would add to those stored."""
-    d = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderstatus", F.sha2(F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderpriority"), 256).alias("digest"))
-    return d.select("digest").distinct().join(d.where("o_orderstatus = 'F'").select("digest"), "digest", "left_anti")
+    """A study of two stages, stopped behind the first and run again: the first stage is read back, not built."""
+    folder = f"{shared_folder(spark)}/study-{uuid.uuid4().hex}"
+    identity = {"inputs": rs.input_digest(spark.read.parquet(f"{sf}/events.parquet")), "interval": src.INTERVAL}
+    rs.Study(spark, folder, identity).stage("features", lambda: ft.records(_feats(spark, sf)))
+    again = rs.Study(spark, folder, identity)
+    r = again.stage("features", lambda: ft.records(_feats(spark, sf)))
+    counts = again.stage("counts", lambda: r.groupBy("symbol", "session_date").agg(F.count("*").alias("n")))
+    return counts.withColumn("resumed", F.lit(again.resumed == ["features"] and again.made == ["counts"]))
 
 
 @query("j_ledger", "SELECT coalesce(a.k, b.k) AS key, a.k IS NULL AS only_right, b.k IS NULL AS only_left FROM (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'N') b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")

@@ -11,6 +11,7 @@ from ..functions import calendar as cal
 from ..functions.lineage import cut
 from ..operators import features as ft
 from ..operators import inference as inf
+from ..operators import lineage as ln
 from ..operators import paths as pt
 from ..operators import quality as ql
 from ..operators import touch as tc
@@ -249,10 +250,11 @@ def _(spark, sf):
     return f.join(own, ["symbol", "ce"], "left_anti").groupBy("symbol").agg(F.count("*").alias("n"))
 
 
-@query("j_lineage", "WITH RECURSIVE up AS (SELECT n_nationkey AS child, n_nationkey // 2 AS parent, 1 AS depth FROM nation WHERE n_nationkey > 0 UNION SELECT u.child, n.n_nationkey // 2, u.depth + 1 FROM up u JOIN nation n ON u.parent = n.n_nationkey WHERE n.n_nationkey > 0) SELECT child, parent, depth FROM up")
+@query("j_lineage", "WITH RECURSIVE e AS (SELECT o_orderkey AS child, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS parent FROM orders), up AS (SELECT child, parent, CAST(1 AS BIGINT) AS depth FROM e WHERE parent IS NOT NULL UNION ALL SELECT u.child, e.parent, u.depth + 1 FROM up u JOIN e ON u.parent = e.child WHERE e.parent IS NOT NULL) SELECT child, parent, depth FROM up")
 def _(spark, sf):
-    spark.read.parquet(f"{sf}/nation.parquet").selectExpr("bigint(n_nationkey) as k", "bigint(n_nationkey div 2) as p").where("k > 0").createOrReplaceTempView("barloom_edges")
-    return spark.sql("with recursive up(child, parent, depth) as (select k, p, 1 from barloom_edges union all select u.child, e.p, u.depth + 1 from up u join barloom_edges e on u.parent = e.k) select child, parent, depth from up")
+    """Each order with all orders of its customer that it follows, however far back."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return ln.ancestors(spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_orderkey").alias("child"), before.alias("parent")))
 
 
 # -- paths -------------------------------------------------------------------------------------------------
