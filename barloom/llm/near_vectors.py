@@ -12,6 +12,31 @@ from pyspark.sql import functions as F
 from .common import components, cut, small_side, table
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is scaled to 1 first, so squares neither overflow nor vanish."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def similar(x: np.ndarray, y: np.ndarray, candidate: np.ndarray, threshold: float) -> np.ndarray:
+    """Which candidate pairs of two sets of unit vectors have a cosine of ``threshold`` or more; others are not computed.
+
+    Where most rows have candidates with most columns, the product of just these rows and columns is the cheaper way.
+    """
+    link = np.zeros(candidate.shape, bool)
+    rows, cols = np.flatnonzero(candidate.any(axis=1)), np.flatnonzero(candidate.any(axis=0))
+    n = int(candidate.sum())
+    if 8 * n > len(rows) * len(cols):
+        box = np.ix_(rows, cols)
+        link[box] = candidate[box] & (x[rows] @ y[cols].T >= threshold)
+        return link
+    i, j = np.nonzero(candidate)
+    for lo in range(0, n, 50_000):
+        a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
+        link[a, b] = np.einsum("ij,ij->i", x[a], y[b]) >= threshold
+    return link
+
+
 def choose_pivots(vectors: DataFrame, column: str, pivots: int, sample: int, seed: int) -> dict[int, np.ndarray]:
     """Reference points for each vector length: unit vectors, far apart, from at most about ``sample`` rows.
 
@@ -25,8 +50,7 @@ def choose_pivots(vectors: DataFrame, column: str, pivots: int, sample: int, see
     for r in rows:
         by_length.setdefault(len(r[0]), []).append(r[0])
     for d, group in by_length.items():
-        x = np.unique(np.array(group, np.float64), axis=0)
-        x /= np.linalg.norm(x, axis=1)[:, None]
+        x = unit(np.unique(np.array(group, np.float64), axis=0))
         chosen, near = [0], x @ x[0]
         while len(chosen) < min(pivots, len(x)):
             chosen.append(int(near.argmin()))
@@ -43,16 +67,16 @@ def _verify(key: tuple, group: pa.Table, pivots: int, shared: int, threshold: fl
     own, left, right = (key[i].as_py() for i in (2, 3, 4))
     side = group.column("side").to_numpy()
     ids, weights = group.column("cid").to_numpy(), group.column("w").to_numpy()
-    x = np.array(group.column("v").to_pylist(), np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
+    x = unit(np.array(group.column("v").to_pylist(), np.float64))
     near = np.array(group.column("near").to_pylist(), np.int64)
     has = np.zeros((len(ids), pivots), np.float32)
     has[np.arange(len(ids))[:, None], near] = 1
     a = np.flatnonzero(side == left)
     b = a if left == right else np.flatnonzero(side == right)
-    link = (has[a] @ has[b].T >= shared) & (has[a, :own] @ has[b, :own].T == 0) & (x[a] @ x[b].T >= threshold)
+    candidate = (has[a] @ has[b].T >= shared) & (has[a, :own] @ has[b, :own].T == 0)
     if left == right:
-        np.fill_diagonal(link, False)
+        np.fill_diagonal(candidate, False)
+    link = similar(x[a], x[b], candidate, threshold)
     degree = np.zeros(len(ids), np.int64)
     degree[a] += link @ weights[b]
     if left != right:
@@ -83,8 +107,8 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     pair in its own task; tasks give back counts and one link for each vector, never the pairs.
     """
     v = F.col(embedding)
-    norm = F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x)) | ~F.coalesce(norm > 0, F.lit(False)) | F.coalesce(norm == F.lit(float("inf")), F.lit(True)) | F.col(label).isNull()
+    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))
+    bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x)) | ~F.coalesce((most > 0) & (most < float("inf")), F.lit(False)) | F.col(label).isNull()
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(label).alias("label"), F.when(~bad, v).alias("v"))
     rows = rows.withColumns({"h": F.when(F.col("v").isNotNull(), F.xxhash64("v")), "g": F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(1)))})
     classes = cut(
@@ -99,7 +123,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 x = np.array(batch.column(2).take(pa.array(at)).to_pylist(), np.float64)
                 if d in points:
                     # stable order: equally near pivots keep their number's order
-                    order = np.argsort(-(x / np.linalg.norm(x, axis=1)[:, None]) @ points[d].T, axis=1, kind="stable")[:, :prefix]
+                    order = np.argsort(-unit(x) @ points[d].T, axis=1, kind="stable")[:, :prefix]
                 else:
                     order = np.zeros((len(at), 1), np.int64)
                 near += list(zip(at, order.tolist(), strict=True))

@@ -42,9 +42,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, need: int | None = None) -> bytes:
     out, i, n = bytearray(), 0, len(data)
-    while i < n:
+    while i < n and (need is None or len(out) < need):
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -94,8 +94,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    out, words, width, acc, bits, last = [], [], 9, 0, 0, b""
+def lzw_decode(data: bytes, need: int | None = None) -> bytes:
+    out, words, width, acc, bits, last, made = [], [], 9, 0, 0, b"", 0
     for b in data:
         acc, bits = acc << 8 | b, bits + 8
         if bits < width:
@@ -116,6 +116,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("LZW code out of range")
         out.append(word)
+        made += len(word)
+        if need is not None and made >= need:
+            break
         if last:
             words.append(last + word[:1])
         last = word
@@ -123,15 +126,16 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def _unpack(data: bytes, compression: int) -> bytes:
+def _unpack(data: bytes, compression: int, need: int) -> bytes:
+    """The first ``need`` bytes of a strip or tile; what it would inflate to beyond is never made."""
     if compression == NONE:
-        return data
+        return data[:need]
     if compression in (DEFLATE, OLD_DEFLATE):
-        return zlib.decompress(data)
+        return zlib.decompressobj().decompress(data, need)
     if compression == LZW:
-        return lzw_decode(data)
+        return lzw_decode(data, need)
     if compression == PACKBITS:
-        return packbits_decode(data)
+        return packbits_decode(data, need)
     raise ValueError(f"compression {compression} is not supported")
 
 
@@ -177,7 +181,7 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> np.ndarray:
     for i in range(planes * across * down):
         plane, y, x = i // (across * down), i // across % down * bh, i % across * bw
         rows = bh if TILES in tags else min(bh, height - y)
-        raw = _unpack(data[offsets[i] : offsets[i] + counts[i]], one(COMPRESSION, NONE))
+        raw = _unpack(data[offsets[i] : offsets[i] + counts[i]], one(COMPRESSION, NONE), rows * bw * inside * kind.itemsize)
         block = np.frombuffer(raw, kind, rows * bw * inside).reshape(rows, bw, inside).astype(out.dtype)
         if one(PREDICTOR, 1) == 2:
             block = np.cumsum(block, axis=1, dtype=block.dtype)

@@ -142,6 +142,17 @@ def test_vectors_recall_and_odd_rows(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_extreme_size_and_sparse_candidates(spark):
+    rows = [(i, [10.0 ** (e) * c for c in (1.0, 2.0, -3.0, 0.5)], 1) for i, e in enumerate((200, -200, 0, 307, -300))] + [(9, [1e200, -1e200, 1e200, 1e200], 1), (10, [float("inf"), 1.0, 1.0, 1.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), pivots=4).collect()}
+    assert got == {i: (4, 0) for i in range(5)} | {9: (0, 9), 10: (0, 10)}
+    rng = np.random.default_rng(8)
+    x, y = near_vectors.unit(rng.normal(size=(90, 8))), near_vectors.unit(rng.normal(size=(70, 8)))
+    for share in (0, 0.01, 0.1, 0.9, 1):
+        candidate = rng.random((90, 70)) < share
+        assert (near_vectors.similar(x, y, candidate, 0.3) == (candidate & (x @ y.T >= 0.3))).all()
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------
 
 
@@ -324,6 +335,20 @@ def test_tiff_pages_odd_rows(spark, odd):
     assert Counter(hashlib.sha256(r["pixels"]).hexdigest() for r in back) == want
 
 
+def test_a_strip_that_inflates_without_end_gives_its_page():
+    import resource
+
+    bomb = zlib.compress(b"\0" * (1 << 28), 9)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert tiff._unpack(bomb, tiff.DEFLATE, 640) == bytes(640)
+    assert tiff._unpack(b"\x81\x07" * 500_000, tiff.PACKBITS, 640)[:640] == b"\7" * 640
+    assert tiff._unpack(tiff.lzw_encode(b"ab" * 100_000), tiff.LZW, 640)[:640] == b"ab" * 320
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 100_000  # kilobytes
+    with pytest.raises(zlib.error):
+        tiff._unpack(b"no deflate data", tiff.DEFLATE, 640)
+    assert len(tiff._unpack(b"", tiff.LZW, 5)) == 0
+
+
 # -- 9 -----------------------------------------------------------------------------------------------------
 
 
