@@ -56,10 +56,35 @@ def erfc(x: Column) -> Column:
     return t * F.exp(-x * x + power)
 
 
-def normal_cdf(z: Column) -> Column:
-    """Normal distribution function by the complementary error function; small below as above."""
-    tail = erfc(F.abs(z) / F.sqrt(F.lit(2.0))) / 2
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+# Coefficients of the rational fit of the inverse normal distribution, highest power first (numerator and
+# denominator of the middle, then of the tails), and where the tails begin.
+MIDDLE = ([-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00], [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0])
+TAILS = ([-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00], [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0])
+TAIL = 0.02425
+
+
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(coefficients[0])
+    for c in coefficients[1:]:
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The inverse of the normal distribution function, relative error below 1.2e-9; null outside of (0, 1)."""
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    middle = q * _polynomial(MIDDLE[0], r) / _polynomial(MIDDLE[1], r)
+    tail = F.sqrt(-2 * F.ln(F.least(p, 1 - p)))
+    far = _polynomial(TAILS[0], tail) / _polynomial(TAILS[1], tail)
+    inside = (p > 0) & (p < 1)
+    return F.when(inside & (F.abs(q) <= 0.5 - TAIL), middle).when(inside & (p < 0.5), far).when(inside, -far)
+
+
+def minimum_n(effect: Column, sd: Column, alpha: float = 0.05, power: float = 0.8) -> Column:
+    """The least sample that shows a mean of ``effect`` two-sided at ``alpha`` with ``power``, by the normal approximation; null without effect or spread."""
+    z = normal_quantile(F.lit(1 - alpha / 2)) + normal_quantile(F.lit(power))
+    ratio = F.try_divide(z * sd, F.abs(effect))
+    return F.when(sd > 0, F.ceil(ratio * ratio)).cast("long")
 
 
 def two_sided_p(mean: Column, sd: Column, n: Column) -> Column:
@@ -79,20 +104,6 @@ def benjamini_hochberg(df: DataFrame, label: str, p: str, fdr: float = 0.05, fam
     return x.withColumn("significant", F.col("rank") <= F.coalesce(last, F.lit(0)))
 
 
-def lift(events: DataFrame, control: DataFrame, key: list[str], value: str, thin: int = 20) -> DataFrame:
-    """Event mean less control mean, the control standardised to the events' strata; thin strata leave both arms.
-
-    Both arms shrink to one (sum, count) row for each stratum before they meet.
-    """
-    e = events.groupBy(*key, "stratum").agg(F.sum(value).alias("es"), F.count(value).alias("en"))
-    c = control.groupBy("stratum").agg(F.sum(value).alias("cs"), F.count(value).alias("cn"))
-    j = e.join(c, "stratum", "left").withColumn("ok", F.coalesce(F.col("cn") >= thin, F.lit(False)))
-    ok = lambda x: F.sum(F.when(F.col("ok"), x))
-    return j.groupBy(*key).agg(
-        F.coalesce(ok(F.col("en")), F.lit(0)).alias("n"), F.count_if(~F.col("ok")).alias("thin_strata"), F.try_divide(ok(F.col("es")), ok(F.col("en"))).alias("event_mean"), F.try_divide(ok(F.col("en") * F.col("cs") / F.col("cn")), ok(F.col("en"))).alias("control_mean")
-    ).withColumn("lift", F.col("event_mean") - F.col("control_mean"))
-
-
 def bootstrap_mean(df: DataFrame, keys: list[str], value: str, rounds: int = 200, alpha: float = 0.05, seed: int = 20260907) -> DataFrame:
     """Percentile interval of the mean of session sums, resampling whole sessions with md5 draws.
 

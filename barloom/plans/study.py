@@ -11,7 +11,7 @@ from ..operators import paths as pt
 from ..operators import search as se
 from ..operators import study as st
 from . import oracles as O  # noqa: N812
-from .registry import _HYP, _feats, _values, query
+from .registry import _HYP, _OBS, _feats, _observations, _values, query
 
 #: Sessions of the volatility reference in the registered queries: the tape has about 21 of them; the operators take 20 by default.
 SESSIONS = 5
@@ -322,3 +322,29 @@ def _(spark, sf):
 def _(spark, sf):
     """The single winner among the assessed candidates, by formula."""
     return se.winner(_assessed(spark, sf)).select("key", "n_events", *[F.round(c, 4).alias(c) for c in ("effective_clusters", "lift", "ci_low", "score")])
+
+
+# -- distribution functions ----------------------------------------------------------------------------------
+
+
+def _quantile_sql(p: str) -> str:
+    ratio = lambda pair, x: f"{inf.horner(pair[0][::-1], x)} / {inf.horner(pair[1][::-1], x)}"
+    tail = f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    return f"CASE WHEN abs({p} - 0.5) <= {0.5 - inf.TAIL} THEN ({p} - 0.5) * {ratio(inf.MIDDLE, f'(({p} - 0.5) * ({p} - 0.5))')} WHEN {p} < 0.5 THEN {ratio(inf.TAILS, tail)} ELSE -({ratio(inf.TAILS, tail)}) END"
+
+
+@query("math_quantile", f"SELECT o_orderkey, round({_quantile_sql('p')}, 6) + 0.0 AS z FROM (SELECT o_orderkey, (o_orderkey % 9973 + 1) / 9974.0::DOUBLE AS p FROM orders)")
+def _(spark, sf):
+    """The inverse normal distribution function in its middle and both tails."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", ((F.col("o_orderkey") % 9973 + 1).cast("double") / 9974).alias("p"))
+    return o.select("o_orderkey", (F.round(inf.normal_quantile(F.col("p")), 6) + 0.0).alias("z"))
+
+
+_Z = f"(SELECT {_quantile_sql('0.975::DOUBLE')} + {_quantile_sql('0.8::DOUBLE')})"
+
+
+@query("math_minimum_n", f"WITH {_OBS} SELECT hypothesis, n, CASE WHEN sd > 0 AND mean <> 0 THEN CAST(ceil(pow({_Z} * sd / abs(mean), 2)) AS BIGINT) END AS minimum_n, n >= ceil(pow({_Z} * sd / abs(nullif(mean, 0)), 2)) AS enough FROM (SELECT hypothesis, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd FROM obs GROUP BY hypothesis)")
+def _(spark, sf):
+    """How many events each hypothesis would need to show the effect that it has."""
+    e = inf.estimate(_observations(spark, sf), ["hypothesis"], "signed").withColumn("minimum_n", inf.minimum_n(F.col("mean"), F.col("sd")))
+    return e.select("hypothesis", "n", "minimum_n", (F.col("n") >= F.col("minimum_n")).alias("enough"))

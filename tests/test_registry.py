@@ -172,3 +172,14 @@ def test_tail_of_the_normal_distribution(spark):
     z = [0.0, 0.5, 1.96, 4.0, 8.0, 20.0]
     got = [r["p"] for r in spark.createDataFrame([(x,) for x in z], "z double").select(inf.two_sided_p(F.col("z"), F.lit(1.0), F.lit(1)).alias("p")).collect()]
     assert all(abs(p / math.erfc(x / math.sqrt(2)) - 1) < 2e-7 for x, p in zip(z, got, strict=True))
+
+
+def test_inverse_normal_and_least_sample(spark):
+    from statistics import NormalDist
+
+    p = [1e-12, 1e-5, 0.02, 0.02425, 0.3, 0.5, 0.8, 0.97575, 0.99, 1 - 1e-9, 0.0, 1.0, -1.0, None]
+    got = [r["z"] for r in spark.createDataFrame([(x,) for x in p], "p double").select(inf.normal_quantile(F.col("p")).alias("z")).collect()]
+    assert got[10:] == [None] * 4 and all(abs(z - NormalDist().inv_cdf(x)) < 1e-8 for x, z in zip(p[:10], got, strict=False))
+    rows_ = [(0.5, 1.0), (0.2, 1.0), (-0.2, 1.0), (0.0, 1.0), (1.0, 0.0), (3.0, 1.0)]
+    least = [r["n"] for r in spark.createDataFrame(rows_, "effect double, sd double").select(inf.minimum_n(F.col("effect"), F.col("sd")).alias("n")).collect()]
+    assert least == [32, 197, 197, None, None, 1]
