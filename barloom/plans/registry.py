@@ -42,6 +42,11 @@ def _feats(spark: SparkSession, sf: str) -> DataFrame:
     return cut(ft.features(spark, sf))
 
 
+def _once(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide rows for a query that reads them once: nothing is written, and columns that it does not need are never computed."""
+    return ft.features(spark, sf)
+
+
 # -- sources -----------------------------------------------------------------------------------------------
 
 
@@ -185,7 +190,7 @@ for _name in [*ft.STATE, "above_vwap"]:
     else:
         _sql = _expr
     SQL[f"f_{_name}"] = f"WITH {O.FEATS} SELECT symbol, ce, {_sql} AS value FROM feats WHERE {_sql} IS NOT NULL"
-    QUERIES[f"f_{_name}"] = lambda spark, sf, e=_expr: _feats(spark, sf).select("symbol", "ce", F.expr(e).alias("value")).where("value is not null")
+    QUERIES[f"f_{_name}"] = lambda spark, sf, e=_expr: _once(spark, sf).select("symbol", "ce", F.expr(e).alias("value")).where("value is not null")
 
 _MAKERS = {
     "session_open": ft.session_events, "session_close": ft.session_events, "opening_range_established": ft.opening_range_events, "or_high_broken": ft.opening_range_events, "or_low_broken": ft.opening_range_events,
@@ -194,12 +199,12 @@ _MAKERS = {
 }
 for _name, _make in _MAKERS.items():
     SQL[f"e_{_name}"] = f"WITH {O.FEATS},\n{O.GAPS}\nSELECT symbol, session_date, ce, event, round(value, 6) AS value, reference FROM ({O.EVENTS[_name]})"
-    QUERIES[f"e_{_name}"] = lambda spark, sf, n=_name, m=_make: m(_feats(spark, sf)).where(F.col("event") == n).withColumn("value", F.round("value", 6))
+    QUERIES[f"e_{_name}"] = lambda spark, sf, n=_name, m=_make: m((_feats if m is ft.gap_events else _once)(spark, sf)).where(F.col("event") == n).withColumn("value", F.round("value", 6))
 
 
 @query("records_long", f"WITH {O.FEATS} SELECT symbol, session_date, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT symbol, session_date FROM feats WHERE {'phase' if x == 'phase' else 'vwap' if x in ('above_vwap', 'distance_to_vwap') else x.removeprefix('distance_to_')} IS NOT NULL" for x in [*ft.STATE, "phase", "above_vwap"]) + ") GROUP BY ALL")
 def _(spark, sf):
-    return ft.records(_feats(spark, sf)).groupBy("symbol", "session_date").agg(F.count("*").alias("n"))
+    return ft.records(_once(spark, sf)).groupBy("symbol", "session_date").agg(F.count("*").alias("n"))
 
 
 # -- joins -------------------------------------------------------------------------------------------------
@@ -261,7 +266,7 @@ def _(spark, sf):
 
 for _h in pt.HORIZONS:
     SQL[f"p_path_{_h // 60}"] = f"WITH {O.FEATS},\n{O.paths('p', _h)} SELECT symbol, ce, terminal, max_up, max_down, max_up_at, max_down_at, n_path, truncated FROM p"
-    QUERIES[f"p_path_{_h // 60}"] = lambda spark, sf, h=_h: pt.with_paths(_feats(spark, sf), h).select("symbol", "ce", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path", "truncated")
+    QUERIES[f"p_path_{_h // 60}"] = lambda spark, sf, h=_h: pt.with_paths(_once(spark, sf), h).select("symbol", "ce", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path", "truncated")
 
 _ORIENT = """SELECT symbol, ce, d AS direction, CASE WHEN d = 'up' THEN terminal ELSE -terminal END AS signed, CASE WHEN d = 'up' THEN max_up ELSE -max_down END AS mfe, CASE WHEN d = 'up' THEN max_down ELSE -max_up END AS mae,
   CASE WHEN fav IS NULL AND adv IS NULL THEN NULL WHEN adv IS NULL THEN true WHEN fav IS NULL THEN false WHEN fav = adv THEN NULL ELSE fav < adv END AS favorable_first
@@ -270,7 +275,7 @@ _ORIENT = """SELECT symbol, ce, d AS direction, CASE WHEN d = 'up' THEN terminal
 
 @query("p_oriented", f"WITH {O.FEATS},\n{O.paths('p', 3600)} {_ORIENT}")
 def _(spark, sf):
-    p = pt.with_paths(_feats(spark, sf), 3600).withColumn("direction", F.explode(F.array(F.lit("up"), F.lit("down"))))
+    p = pt.with_paths(_once(spark, sf), 3600).withColumn("direction", F.explode(F.array(F.lit("up"), F.lit("down"))))
     return pt.oriented(p).select("symbol", "ce", "direction", "signed", "mfe", "mae", "favorable_first")
 
 
@@ -321,7 +326,7 @@ TAPE = {"min_coverage": 0.6, "max_gap": 4, "min_bars": 4, "tolerance": 200.0}
 
 @query("a_implausible", f"WITH {O.FEATS}, n AS (SELECT *, lag(c) OVER w AS bc, lead(o) OVER w AS ao FROM feats WINDOW w AS (PARTITION BY symbol, session_date ORDER BY ce)) SELECT symbol, ce, coalesce(bc IS NOT NULL AND ao IS NOT NULL AND greatest(bc, ao) > 0 AND ((h - greatest(bc, ao)) / greatest(bc, ao) > 0.05 OR (least(bc, ao) > 0 AND (least(bc, ao) - l) / greatest(bc, ao) > 0.05)), false) AS flagged FROM n")
 def _(spark, sf):
-    return _feats(spark, sf).select("symbol", "ce", F.coalesce(ql.implausible(0.05), F.lit(False)).alias("flagged"))
+    return _once(spark, sf).select("symbol", "ce", F.coalesce(ql.implausible(0.05), F.lit(False)).alias("flagged"))
 
 
 @query("a_quality", f"WITH {_QUALITY} SELECT symbol, session_date, n_bars, volume, n_rth, n_overnight, coverage, longest_gap, n_bad, range_ratio, exclusions, observations, exclusions = '' AS passed FROM q5")

@@ -183,3 +183,12 @@ def test_inverse_normal_and_least_sample(spark):
     rows_ = [(0.5, 1.0), (0.2, 1.0), (-0.2, 1.0), (0.0, 1.0), (1.0, 0.0), (3.0, 1.0)]
     least = [r["n"] for r in spark.createDataFrame(rows_, "effect double, sd double").select(inf.minimum_n(F.col("effect"), F.col("sd")).alias("n")).collect()]
     assert least == [32, 197, 197, None, None, 1]
+
+
+def test_a_query_of_one_feature_computes_no_other(spark):
+    plan = lambda name: registry.QUERIES[name](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    atr = plan("f_atr")
+    read = [x.split(">")[0] for x in atr.split("ReadSchema: ")[1:]]
+    assert read and not any(c in x for x in read for c in ("user_id", "props"))
+    assert "session_high" not in atr and "stddev" not in atr and "ExistingRDD" not in atr  # nothing is written between
+    assert "stddev" in plan("f_realized_volatility")
