@@ -31,10 +31,10 @@ def with_paths(f: DataFrame, horizon: int) -> DataFrame:
 
 
 def oriented(p: DataFrame, direction: str = "direction") -> DataFrame:
-    """signed, mfe, mae and favorable_first (null if both extremes fall in one bar or neither exists) for up or down."""
+    """signed, mfe, mae and favorable_first for up or down; which came first is null if both extremes fall in one bar, or a side never moved."""
     up = F.col(direction) == "up"
     fav, adv = F.when(up, F.col("max_up_at")).otherwise(F.col("max_down_at")), F.when(up, F.col("max_down_at")).otherwise(F.col("max_up_at"))
-    first = F.when(fav.isNull() & adv.isNull(), None).when(adv.isNull(), True).when(fav.isNull(), False).when(fav == adv, None).otherwise(fav < adv)
+    first = F.when(fav != adv, fav < adv)
     return p.withColumns(
         {
             "signed": F.when(up, F.col("terminal")).otherwise(-F.col("terminal")),

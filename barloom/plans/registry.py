@@ -14,6 +14,7 @@ from ..operators import inference as inf
 from ..operators import lineage as ln
 from ..operators import paths as pt
 from ..operators import quality as ql
+from ..operators import study as st
 from ..operators import touch as tc
 from ..sources import bars as src
 from . import oracles as O  # noqa: N812
@@ -269,7 +270,7 @@ for _h in pt.HORIZONS:
     QUERIES[f"p_path_{_h // 60}"] = lambda spark, sf, h=_h: pt.with_paths(_once(spark, sf), h).select("symbol", "ce", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path", "truncated")
 
 _ORIENT = """SELECT symbol, ce, d AS direction, CASE WHEN d = 'up' THEN terminal ELSE -terminal END AS signed, CASE WHEN d = 'up' THEN max_up ELSE -max_down END AS mfe, CASE WHEN d = 'up' THEN max_down ELSE -max_up END AS mae,
-  CASE WHEN fav IS NULL AND adv IS NULL THEN NULL WHEN adv IS NULL THEN true WHEN fav IS NULL THEN false WHEN fav = adv THEN NULL ELSE fav < adv END AS favorable_first
+  CASE WHEN fav <> adv THEN fav < adv END AS favorable_first
   FROM (SELECT *, CASE WHEN d = 'up' THEN max_up_at ELSE max_down_at END AS fav, CASE WHEN d = 'up' THEN max_down_at ELSE max_up_at END AS adv FROM p, (VALUES ('up'), ('down')) v(d))"""
 
 
@@ -365,37 +366,58 @@ _HYP = "hyp(hypothesis, event, direction, bars, above) AS (VALUES " + ", ".join(
 _OBS = (
     O.EVS
     + ",\n"
-    + ",\n".join(O.paths(f"p{b}", b * 3600) for b in (1, 2, 4))
+    + O.STRAT
+    + ",\n"
+    + ",\n".join(O.paths(f"p{b}", b * 3600).replace("FROM feats", "FROM strat") for b in (1, 2, 4))
     + ",\nall_p AS ("
     + " UNION ALL ".join(f"SELECT {b} AS bars, * FROM p{b}" for b in (1, 2, 4))
     + "),\n"
     + _HYP
     + """,
-obs AS (SELECT y.hypothesis, e.symbol, e.session_date, e.ce, CASE WHEN y.direction = 'up' THEN p.terminal ELSE -p.terminal END AS signed, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe, CASE WHEN p.max_up_at IS NULL AND p.max_down_at IS NULL THEN NULL WHEN p.max_up_at = p.max_down_at THEN NULL ELSE (y.direction = 'up') = (p.max_down_at IS NULL OR coalesce(p.max_up_at < p.max_down_at, false)) END AS favorable_first, p.c > p.vwap AS above,
-   CASE WHEN extract('hour' FROM make_timestamp(e.ce * 1000000)) < 18 THEN 'day' ELSE 'night' END AS stratum
+obs AS (SELECT y.hypothesis, e.symbol, e.session_date, e.ce, CASE WHEN y.direction = 'up' THEN p.terminal ELSE -p.terminal END AS signed, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe, CASE WHEN p.max_up_at <> p.max_down_at THEN (y.direction = 'up') = (p.max_up_at < p.max_down_at) END AS favorable_first, p.c > p.vwap AS above, p.stratum
   FROM hyp y JOIN evs e USING (event) JOIN all_p p ON p.symbol = e.symbol AND p.ce = e.ce AND p.bars = y.bars
   WHERE p.n_path > 0 AND (y.above IS NULL OR (p.vwap IS NOT NULL AND p.c > p.vwap)))"""
 )
 
 
-def _observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Events of each hypothesis with the path that its horizon and direction ask for."""
-    f = _feats(spark, sf)
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event of each hypothesis with the path that its horizon and direction ask for; matched tells whether its condition held."""
+    f = st.stratified(_feats(spark, sf), O.SESSIONS)
     e = ft.all_events(f).join(F.broadcast(inf.hypotheses(spark)), "event").select("hypothesis", "direction", "bars", "above", "symbol", "session_date", "ce")
     p = None
     for b in (1, 2, 4):
-        x = pt.with_paths(f, b * 3600).where("n_path > 0").select(F.lit(b).alias("p_bars"), F.col("symbol").alias("p_symbol"), F.col("ce").alias("p_ce"), "above_vwap", "terminal", "max_up", "max_down", "max_up_at", "max_down_at")
+        x = pt.with_paths(f, b * 3600).select(F.lit(b).alias("p_bars"), F.col("symbol").alias("p_symbol"), F.col("ce").alias("p_ce"), "above_vwap", "stratum", "terminal", "max_up", "max_down", "max_up_at", "max_down_at", "n_path")
         p = x if p is None else p.unionByName(x)
-    j = e.join(p, (F.col("symbol") == F.col("p_symbol")) & (F.col("ce") == F.col("p_ce")) & (F.col("bars") == F.col("p_bars"))).where("above is null or above_vwap = above")
-    j = pt.oriented(j)
-    return j.withColumn("stratum", F.when(F.hour(F.timestamp_seconds("ce")) < 18, "day").otherwise("night"))
+    j = e.join(p, (F.col("symbol") == F.col("p_symbol")) & (F.col("ce") == F.col("p_ce")) & (F.col("bars") == F.col("p_bars")))
+    return pt.oriented(j).withColumn("matched", F.col("above").isNull() | F.coalesce(F.col("above_vwap") == F.col("above"), F.lit(False)))
+
+
+def _observations(spark: SparkSession, sf: str) -> DataFrame:
+    """The candidates that matched and were measured."""
+    return _candidates(spark, sf).where("matched and n_path > 0")
+
+
+_PARTS = "parts AS (SELECT session_date, CASE WHEN i < greatest(1, CAST(floor(n * 0.5) AS BIGINT)) THEN 'discovery' WHEN i < least(greatest(greatest(1, CAST(floor(n * 0.5) AS BIGINT)) + 1, CAST(floor(n * 0.8) AS BIGINT)), n - 1) THEN 'validation' ELSE 'holdout' END AS part FROM d)"
+_DAYS = "d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session_date FROM sess))"
 
 
-@query("a_hyp_result", f"WITH {_OBS} SELECT hypothesis, count(*) AS n, round(avg(signed), 4) AS mean, round(median(signed), 4) AS median, round(stddev_pop(signed), 4) AS sd, round(avg(mfe), 4) AS mfe FROM obs GROUP BY hypothesis")
+@query(
+    "a_hyp_result",
+    f"""WITH {_OBS}, {_DAYS}, {_PARTS}, every AS (SELECT y.hypothesis, q.part, y.above IS NULL OR coalesce(p.c > p.vwap, false) AS matched, p.n_path, CASE WHEN y.direction = 'up' THEN 1 ELSE -1 END * p.terminal AS signed, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe, CASE WHEN y.direction = 'up' THEN p.max_down ELSE -p.max_up END AS mae,
+  CASE WHEN p.max_up_at <> p.max_down_at THEN (y.direction = 'up') = (p.max_up_at < p.max_down_at) END AS fav FROM hyp y JOIN evs e USING (event) JOIN all_p p ON p.symbol = e.symbol AND p.ce = e.ce AND p.bars = y.bars JOIN parts q ON q.session_date = e.session_date)
+SELECT hypothesis, part, count(*) AS n_events, count(*) FILTER (matched) AS n_matched, count(*) FILTER (matched AND n_path > 0) AS n, round(avg(signed) FILTER (matched AND n_path > 0), 4) AS mean, round(median(signed) FILTER (matched AND n_path > 0), 4) AS median, round(stddev_pop(signed) FILTER (matched AND n_path > 0), 4) AS sd,
+  round(avg(mfe) FILTER (matched AND n_path > 0), 4) AS mfe, round(avg(mae) FILTER (matched AND n_path > 0), 4) AS mae, round(avg(CAST(fav AS INT)) FILTER (matched AND n_path > 0), 4) AS favorable_first FROM every GROUP BY ALL""",
+)
 def _(spark, sf):
-    o = _observations(spark, sf)
-    e, m = inf.estimate(o, ["hypothesis"], "signed"), o.groupBy("hypothesis").agg(F.avg("mfe").alias("mfe"))
-    return e.join(m, "hypothesis").select("hypothesis", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "mfe")])
+    """Each hypothesis in each partition of the days: its events, those that matched and were measured, and their figures, in one aggregate."""
+    x = _candidates(spark, sf).join(F.broadcast(_split_days(spark, sf).withColumnRenamed("session_date", "d_date")), F.col("session_date") == F.col("d_date"))
+    seen = F.col("matched") & (F.col("n_path") > 0)
+    only = lambda c: F.when(seen, F.col(c).cast("double"))
+    g = x.groupBy("hypothesis", "part").agg(
+        F.count("*").alias("n_events"), F.count_if("matched").alias("n_matched"), F.count_if(seen).alias("n"), F.avg(only("signed")).alias("mean"), F.median(only("signed")).alias("median"), F.stddev_pop(only("signed")).alias("sd"),
+        F.avg(only("mfe")).alias("mfe"), F.avg(only("mae")).alias("mae"), F.avg(F.when(seen, F.col("favorable_first").cast("int"))).alias("favorable_first"),
+    )
+    return g.select("hypothesis", "part", "n_events", "n_matched", "n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "sd", "mfe", "mae", "favorable_first")])
 
 
 @query("a_strata", f"WITH {_OBS} SELECT hypothesis, session_date, stratum, CAST(sum(signed) AS BIGINT) AS total, count(*) AS n FROM obs GROUP BY ALL")
@@ -435,21 +457,23 @@ def _(spark, sf):
     return x.select("hypothesis", F.round("p", 6).alias("p"), "rank", F.round("p_adjusted", 6).alias("p_adjusted"), F.round(F.least(F.lit(1.0), F.col("p") * F.col("m")), 6).alias("bonferroni"), "significant")
 
 
-_DAYS = "d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT session_date FROM sess))"
-
-
 def _session_days(spark: SparkSession, sf: str) -> DataFrame:
     # one row per trading day: the window runs over a calendar's worth of rows
     d = _bars(spark, sf).select("session_date").distinct()
     return d.withColumn("i", F.row_number().over(Window.orderBy("session_date")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
 
 
-@query("w_split", f"WITH {O.SESS}, {_DAYS} SELECT session_date, CASE WHEN i < greatest(1, CAST(floor(n * 0.5) AS BIGINT)) THEN 'discovery' WHEN i < least(greatest(greatest(1, CAST(floor(n * 0.5) AS BIGINT)) + 1, CAST(floor(n * 0.8) AS BIGINT)), n - 1) THEN 'validation' ELSE 'holdout' END AS part FROM d")
-def _(spark, sf):
+def _split_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Trading days in time order: half for discovery, three tenths for validation, the rest held out."""
     d = _session_days(spark, sf).withColumn("d_end", F.greatest(F.lit(1), F.expr("bigint(n * double(0.5))"))).withColumn("v_end", F.least(F.greatest(F.col("d_end") + 1, F.expr("bigint(n * (double(0.5) + double(0.3)))")), F.col("n") - 1))
     return d.select("session_date", F.when(F.col("i") < F.col("d_end"), "discovery").when(F.col("i") < F.col("v_end"), "validation").otherwise("holdout").alias("part"))
 
 
+@query("w_split", f"WITH {O.SESS}, {_DAYS}, {_PARTS} SELECT session_date, part FROM parts")
+def _(spark, sf):
+    return _split_days(spark, sf)
+
+
 @query("w_thirds", f"WITH {O.SESS}, {_DAYS} SELECT session_date, least(2, i * 3 // n) AS third FROM d")
 def _(spark, sf):
     return _session_days(spark, sf).select("session_date", F.least(F.lit(2), F.expr("i * 3 div n")).alias("third"))

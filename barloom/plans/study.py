@@ -13,21 +13,13 @@ from ..operators import study as st
 from . import oracles as O  # noqa: N812
 from .registry import _HYP, _OBS, _feats, _observations, _values, query
 
-#: Sessions of the volatility reference in the registered queries: the tape has about 21 of them; the operators take 20 by default.
-SESSIONS = 5
+SESSIONS = O.SESSIONS
 #: The search's bar for this tape of half-hour bars over a month; the operators' defaults are those for minute bars over years.
 CRITERIA = se.Criteria(min_events=40, min_event_sessions=12, min_effective_clusters=9, min_events_per_third=10, min_clusters_per_third=3, min_absolute_lift=20.0, min_lift_to_mfe_ratio=0.01, min_perturbed_magnitude_ratio=0.2, confidence=0.8, rounds=400)
 #: Rounds of the two event-level diagnostics in the registered queries; the operators take 400 by default.
 DIAGNOSTIC = 100
 
-REF = """closing AS (SELECT symbol, session_date, arg_max(atr, ce) AS atr FROM feats WHERE atr IS NOT NULL GROUP BY ALL),
-ref AS (SELECT symbol, session_date, CASE WHEN count(atr) OVER w = {n} THEN median(atr) OVER w END AS reference FROM closing WINDOW w AS (PARTITION BY symbol ORDER BY session_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))"""
-STRAT = (
-    REF.format(n=SESSIONS)
-    + """,
-strat0 AS (SELECT f.*, CAST(floor((f.ce - f.open_s) / 3600.0) AS BIGINT) AS bucket, CASE WHEN reference IS NULL OR f.atr IS NULL THEN 'unknown' WHEN f.atr < 0.75 * reference THEN 'quiet' WHEN f.atr > 1.25 * reference THEN 'elevated' ELSE 'normal' END AS band FROM feats f LEFT JOIN ref USING (symbol, session_date)),
-strat AS (SELECT *, bucket || '|' || band AS stratum FROM strat0)"""
-)
+REF, STRAT = O.REF, O.STRAT
 
 
 def paths(name: str, horizon: int, source: str = "strat") -> str:
@@ -46,7 +38,7 @@ ARMS = (
     + _HYP
     + """,
 each AS (SELECT y.hypothesis, y.event, y.above AS need, p.symbol, p.session_date, p.ce, p.stratum, CASE WHEN y.direction = 'up' THEN p.terminal ELSE -p.terminal END AS y, CASE WHEN y.direction = 'up' THEN p.max_up ELSE -p.max_down END AS mfe, CASE WHEN y.direction = 'up' THEN p.max_down ELSE -p.max_up END AS mae,
-  CASE WHEN p.max_up_at IS NULL AND p.max_down_at IS NULL THEN NULL WHEN p.max_up_at = p.max_down_at THEN NULL ELSE (y.direction = 'up') = (p.max_down_at IS NULL OR coalesce(p.max_up_at < p.max_down_at, false)) END AS fav, coalesce(p.c > p.vwap, false) AS above
+  CASE WHEN p.max_up_at <> p.max_down_at THEN (y.direction = 'up') = (p.max_up_at < p.max_down_at) END AS fav, coalesce(p.c > p.vwap, false) AS above
   FROM all_p p JOIN hyp y USING (bars) WHERE n_path > 0),
 co AS (SELECT *, row_number() OVER (PARTITION BY hypothesis, stratum ORDER BY md5('5|' || hypothesis || '|' || symbol || '|' || ce), symbol, ce) AS draw FROM each WHERE NOT EXISTS (SELECT 1 FROM evs o WHERE o.event = each.event AND o.symbol = each.symbol AND o.ce = each.ce)),
 arms AS (SELECT 'event' AS arm, hypothesis, symbol, each.session_date, ce, stratum, y, mfe, mae, fav, above FROM each JOIN (SELECT event, symbol, ce FROM evs) o USING (event, symbol, ce) WHERE need IS NULL OR above
