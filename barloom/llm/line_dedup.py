@@ -59,15 +59,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH lines AS (
-  SELECT d.doc_id, i AS pos, list_extract(l, i) AS line,
+  SELECT d.row, d.doc_id, i AS pos, list_extract(l, i) AS line,
          translate(trim(list_extract(l, i), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d,
+  FROM (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d,
        LATERAL (SELECT unnest(range(1, len(d.l) + 1)) AS i)
 ), frequent AS (
-  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN f.key IS NULL THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id
+FROM lines LEFT JOIN frequent f USING (key) GROUP BY row, doc_id
 """

@@ -199,6 +199,19 @@ def test_line_dedup_odd_rows(spark, odd):
     assert line_dedup.dedup_lines(odd.where("false")).count() == 0
 
 
+def test_repeated_ids_count_as_documents(spark, tmp_path):
+    """Rows are documents, in the operator as in its SQL: a line of ten rows goes, whatever their ids."""
+    import duckdb
+
+    rows = [(i // 4, f"Ten rows\nown {i}\n nine rows " if i < 9 else f"TEN rows\nown {i}") for i in range(10)] + [(3, "own 3"), (3, "own 3"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()), key=str)
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(c.execute(line_dedup.ORACLE).fetchall(), key=str)
+    assert sum(r[2] for r in got) == 10 and len(got) == len(rows)
+
+
 # -- 5 -----------------------------------------------------------------------------------------------------
 
 
