@@ -338,5 +338,6 @@ _Z = f"(SELECT {_quantile_sql('0.975::DOUBLE')} + {_quantile_sql('0.8::DOUBLE')}
 @query("math_minimum_n", f"WITH {_OBS} SELECT hypothesis, n, CASE WHEN sd > 0 AND mean <> 0 THEN CAST(ceil(pow({_Z} * sd / abs(mean), 2)) AS BIGINT) END AS minimum_n, n >= ceil(pow({_Z} * sd / abs(nullif(mean, 0)), 2)) AS enough FROM (SELECT hypothesis, count(*) AS n, avg(signed) AS mean, stddev_pop(signed) AS sd FROM obs GROUP BY hypothesis)")
 def _(spark, sf):
     """How many events each hypothesis would need to show the effect that it has."""
-    e = inf.estimate(_observations(spark, sf), ["hypothesis"], "signed").withColumn("minimum_n", inf.minimum_n(F.col("mean"), F.col("sd")))
-    return e.select("hypothesis", "n", "minimum_n", (F.col("n") >= F.col("minimum_n")).alias("enough"))
+    e = inf.estimate(_observations(spark, sf), ["hypothesis"], "signed")
+    n, mean, sd = F.col("n"), F.col("mean"), F.col("sd")
+    return e.select("hypothesis", "n", inf.minimum_n(mean, sd).alias("minimum_n"), inf.enough(n, mean, sd).alias("enough"))

@@ -39,6 +39,18 @@ def test_matches_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+def test_sample_without_spread_is_enough(spark, tmp_path):
+    """One displacement alone: its mean has no spread, so no least sample is named, and any sample shows it."""
+    px = [100 + i % 2 for i in range(40)] + [90] + [92] * 8
+    t = pd.DataFrame({"event_id": range(len(px)), "ts": pd.Timestamp("2024-01-02 00:05") + pd.to_timedelta([30 * i for i in range(len(px))], "min"), "user_id": 1, "event_type": "view", "value": [float(x) for x in px], "props": "{}"})
+    c = duckdb.connect()
+    c.execute("create table events as select * replace (cast(ts as timestamp) as ts) from t")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = registry.QUERIES["math_minimum_n"](spark, str(tmp_path)).toPandas(), c.execute(registry.SQL["math_minimum_n"]).fetchdf()
+    assert rows(got) == rows(want)
+    assert [tuple(r) for r in got.loc[got.hypothesis == "H5", ["n", "enough"]].itertuples(index=False)] == [(1, True)]
+
+
 def test_store_holds_whole_runs(spark, tmp_path):
     r = spark.createDataFrame([("A", "2024-01-02", 1, "vwap", 2.5, None), ("A", "2024-01-02", 2, "phase", None, "rth")], "symbol string, session_date string, ce long, feature string, value double, state string")
     folder = str(tmp_path / "store")
