@@ -32,11 +32,12 @@ def as_of(left: DataFrame, right: DataFrame, value: str, late: str = "10 minutes
     goes out once the watermark has passed its time, so right rows may come ``late``; what comes later still is dropped by the
     watermark. Symbols share ``buckets`` states by hash, so that Python is entered once a bucket and trigger, not once a
     symbol; a state is the last value of each of its symbols and the rows that the watermark has not passed. The number is part
-    of a checkpoint. A null symbol meets nothing.
+    of a checkpoint. A null symbol meets nothing, a row without a time goes, a right row without a seq comes last of its time.
     """
-    one = left.select("symbol", "ce", F.lit(1).alias("side"), F.col("id").cast("long").alias("seq"), F.lit(None).cast("string").alias("value"))
-    two = right.select("symbol", "ce", F.lit(0).alias("side"), F.col("seq").cast("long").alias("seq"), F.col(value).cast("string").alias("value"))
-    both = one.unionByName(two).withColumn("at", F.timestamp_micros(F.col("ce") * (1_000_000 // ticks))).withWatermark("at", late).withColumn("bucket", F.expr(f"pmod(xxhash64(symbol), {buckets})"))
+    none = F.lit(-(1 << 63)).cast("long")
+    one = left.select("symbol", "ce", F.lit(1).alias("side"), F.coalesce(F.col("id").cast("long"), none).alias("seq"), F.lit(None).cast("string").alias("value"))
+    two = right.select("symbol", "ce", F.lit(0).alias("side"), F.coalesce(F.col("seq").cast("long"), F.lit((1 << 63) - 1)).alias("seq"), F.col(value).cast("string").alias("value"))
+    both = one.unionByName(two).where("ce is not null").withColumn("at", F.timestamp_micros(F.col("ce") * (1_000_000 // ticks))).withWatermark("at", late).withColumn("bucket", F.expr(f"pmod(xxhash64(symbol), {buckets})"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known, waiting = json.loads(state.get[0]) if state.exists else ({}, [[], [], [], [], []])
@@ -62,4 +63,5 @@ def as_of(left: DataFrame, right: DataFrame, value: str, late: str = "10 minutes
         if waiting[1]:
             state.setTimeoutTimestamp(-(-min(waiting[1]) * 1000 // ticks))
 
-    return both.groupBy("bucket").applyInPandasWithState(step, f"symbol string, ce long, id long, {value} string", "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+    joined = both.groupBy("bucket").applyInPandasWithState(step, f"symbol string, ce long, id long, {value} string", "memory string", "append", GroupStateTimeout.EventTimeTimeout)
+    return joined.withColumn("id", F.nullif("id", none))

@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 from barloom.streaming import joins as sj
+from barloom.streaming.bars import run_to_end
 
 SCHEMA = "symbol string, ce long, side int, seq long, value string"
 
@@ -36,3 +37,13 @@ def test_as_of_over_a_restart_in_few_states(spark, tmp_path):
         assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 1024
         got = sorted((tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").select("symbol", "ce", "id", "value").collect()), key=repr)
         assert len(got) > 1000 and got == plain(rows, max(x[1] for x in part) - 600)
+
+
+def test_as_of_with_nulls(spark, tmp_path):
+    rows = [("a", 1000, 0, None, "no seq"), ("a", 1000, 0, 5, "first"), ("a", 1001, 1, None, None), ("a", None, 1, 7, None), ("a", None, 0, 1, "never"), (None, 1000, 0, 1, "x"), (None, 1002, 1, 8, None), ("b", 9000, 1, 9, None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    e = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    joined = sj.as_of(e.where("side = 1").selectExpr("symbol", "ce", "seq as id"), e.where("side = 0").select("symbol", "ce", "seq", "value"), "value")
+    run_to_end(joined, f"{tmp_path}/out", f"{tmp_path}/mark")
+    got = spark.read.parquet(f"{tmp_path}/out").select("symbol", "ce", "id", "value").collect()
+    assert sorted(map(tuple, got), key=repr) == [("a", 1001, None, "first"), (None, 1002, 8, None)]
