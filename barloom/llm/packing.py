@@ -283,8 +283,9 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, par
     if spark is None:
         found = ((*_search(f[:3], size, bound, total, capacity, nodes), f[3]) for f in front)
     else:
-        rows = [(i, json.dumps([list(left.items()), used, waste])) for i, (left, used, waste, _) in enumerate(front)]
-        made = spark.createDataFrame(rows, "i long, node string").repartition(len(rows), "i").mapInArrow(task, "i long, n long, bins string").collect()
+        # tables of Arrow: rows of Python would start a second daemon with workers of its own in every executor, for good
+        rows = pa.table({"i": pa.array(range(len(front)), pa.int64()), "node": pa.array([json.dumps([list(left.items()), used, waste]) for left, used, waste, _ in front], pa.string())})
+        made = spark.createDataFrame(rows).repartition(len(front), "i").mapInArrow(task, "i long, n long, bins string").collect()
         found = [(r["n"], json.loads(r["bins"]), front[r["i"]][3]) for r in sorted(made, key=lambda r: r["i"])]
     for n, bins, path in found:
         if bins is not None and n < size:
@@ -327,7 +328,7 @@ def pack(pieces: DataFrame, length: str = "length", order: list[str] | None = No
     begins = np.searchsorted(s_len, np.arange(capacity + 2))
 
     spark = pieces.sparkSession
-    number = spark.createDataFrame([(x, max(1, -(-n // bucket))) for x, n in hist.items()], "b_len long, n_buckets long")
+    number = spark.createDataFrame(pa.table({"b_len": pa.array(list(hist), pa.int64()), "n_buckets": pa.array([max(1, -(-n // bucket)) for n in hist.values()], pa.int64())}))
     rows = rows.join(F.broadcast(number), F.col("len") == F.col("b_len")).withColumn("bucket", F.pmod(F.xxhash64("len", *keys), "n_buckets")).drop("b_len", "n_buckets")
     sizes = rows.groupBy("len", "bucket").agg(F.count("*").alias("n"))
     past = Window.partitionBy("len").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -106,3 +106,18 @@ def test_near_duplicates_keep_every_different_text(spark):
     for df in (docs, docs.repartition(5)):
         got = [tuple(r)[:4] for r in P.near_duplicates(spark, df, "").collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_packing_keeps_executors_small(spark, monkeypatch):
+    """No Python rows are dealt out (they start a second daemon with workers in each executor); few rows go to Python at once."""
+    docs = spark.createDataFrame([(i, "one two three " * (40 * i + 1)) for i in range(30)], "doc_id long, text string").cache()
+    assert docs.count() == 30
+
+    def dealt(*_, **__):
+        raise AssertionError("rows of Python")
+
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", dealt)
+    packed = dict(P.STAGES)["packing"](spark, docs, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 250
+    rows = packed.collect()
+    assert {r["doc_id"] for r in rows} == set(range(30)) and sum(r["length"] for r in rows if r["doc_id"] == 0) == 5
