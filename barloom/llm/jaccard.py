@@ -134,7 +134,8 @@ def frequent_tokens(docs: DataFrame, text: str, n: int, one_in: int, least: int,
         from_level, total = at, total + k
     if from_level is None:
         return np.empty(0, np.uint32)
-    return np.sort(np.array([r[0] for r in found.where(level >= from_level).select("token").toLocalIterator()], np.uint32))
+    # one job, 8 bytes a token; an iterator over rows would start one for each partition
+    return np.sort(found.where(level >= from_level).select("token").toArrow().column(0).to_numpy().astype(np.uint32))
 
 
 def _late(tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -143,19 +144,25 @@ def _late(tokens: np.ndarray, last: np.ndarray) -> np.ndarray:
     return last[np.minimum(np.searchsorted(last, bits), len(last) - 1)] == bits if len(last) else np.zeros(len(tokens), bool)
 
 
-def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
-    """(token, cid, c, late): the classes of each prefix token that two classes or more hold; c is the first of the list.
+def _bands(sizes: np.ndarray, t: int) -> np.ndarray:
+    """Numbers of bands of set sizes; any two sizes of one band may be similar."""
+    return np.floor(np.log(sizes) / np.log(100 / t)).astype(np.int32) if 0 < t < 100 else sizes.astype(np.int32)
+
+
+def token_lists(described: DataFrame, hot, bucket: int, percent: int) -> DataFrame:
+    """(token, cid, c, band): the classes of each prefix token that two classes or more hold; c is the first of the list.
 
     Tasks send packets of about ``bucket`` tokens in all, by range of the hash space; a range's packets are
     sorted together and tokens of one class go, so each token travels once, in 12 bytes. Frequent tokens (late)
     are not brought together: each lot of them stays with the packets of a task, so that no list has to meet
-    in one task, has a first class of its own, and keeps tokens of one class. First in a lot is the class with the
-    largest share of frequent tokens, of near copies the one with the fewest changes.
+    in one task, and keeps tokens of one class. Each band of set sizes in a lot has a first class of its own, so that
+    a passage that texts of several lengths quote has a star in each; it is the class with the largest share of
+    frequent tokens, of near copies the one with the fewest changes. The band of a token that is not frequent is -1.
     """
     ranges = max(1, -(-int(described.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0]) // (8 * bucket)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, cls, size = hot.value, [], [], 0
+        last, held, cls, sizes, size = hot.value, [], [], [], 0
 
         def out() -> pa.RecordBatch:
             x = np.concatenate(held)
@@ -168,22 +175,25 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
             at = np.searchsorted(r[order], np.arange(ranges + 1))
             for i in np.flatnonzero(at[1:] > at[:-1]):
                 mine = order[at[i] : at[i + 1]]
-                rows.append((int(i), False, low[mine].tobytes(), c[mine].tobytes(), None))
+                rows.append((int(i), False, low[mine].tobytes(), c[mine].tobytes(), None, None))
             if late.any():
                 whole = (r[late].astype(np.int64) << 32) | low[late].astype(np.int64)
                 size = np.array([len(v) for v in held])
                 alone = 1 - np.add.reduceat(late, np.cumsum(size) - size, dtype=np.int64) / size
-                rows.append((int(cls[0] % ranges), True, whole.tobytes(), c[late].tobytes(), np.repeat(alone, size)[late].astype(np.float32).tobytes()))
+                band = np.repeat(_bands(np.array(sizes, np.int64), percent), size)[late]
+                rows.append((int(cls[0] % ranges), True, whole.tobytes(), c[late].tobytes(), np.repeat(alone, size)[late].astype(np.float32).tobytes(), band.tobytes()))
             held.clear()
             cls.clear()
-            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([v[j] for v in rows], k) for j, k in enumerate(kinds)], names=["range", "late", "tokens", "classes", "alone"])
+            sizes.clear()
+            kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([v[j] for v in rows], k) for j, k in enumerate(kinds)], names=["range", "late", "tokens", "classes", "alone", "bands"])
 
         for batch in batches:
-            for h, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for h, n, b in zip(*(v.to_pylist() for v in batch.columns), strict=True):
                 if b:
                     held.append(np.frombuffer(b, np.uint64))
                     cls.append(h)
+                    sizes.append(n)
                     size += len(held[-1])
                 if size > bucket:
                     yield out()
@@ -195,34 +205,34 @@ def token_lists(described: DataFrame, hot, bucket: int) -> DataFrame:
         tidy_worker()
         lots: dict[tuple, list] = {}
         for batch in batches:
-            for r, late, t, c, a in zip(*(v.to_pylist() for v in batch.columns), strict=True):
-                lots.setdefault((r, late), []).append((np.frombuffer(t, np.int64 if late else np.uint32), np.frombuffer(c, np.int64), np.frombuffer(a or b"", np.float32)))
+            for r, late, t, c, a, b in zip(*(v.to_pylist() for v in batch.columns), strict=True):
+                lots.setdefault((r, late), []).append((np.frombuffer(t, np.int64 if late else np.uint32), np.frombuffer(c, np.int64), np.frombuffer(a or b"", np.float32), np.frombuffer(b or b"", np.int32)))
         for (r, late), parts in lots.items():
-            token, cid, alone = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 2))
+            token, cid, alone, band = (np.concatenate([p[j] for p in parts]) for j in (0, 1, 2, 3))
             parts.clear()
             order = np.argsort(token, kind="stable")
             if not late:  # most tokens are alone: only the others are sorted by class
                 s = token[order]
                 same = s[1:] == s[:-1]
                 order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
-            order = order[np.lexsort((cid[order], alone[order], token[order]) if late else (cid[order], token[order]))]
-            token, cid = token[order].astype(np.int64), cid[order]
+            order = order[np.lexsort((cid[order], alone[order], band[order], token[order]) if late else (cid[order], token[order]))]
+            token, cid, band = token[order].astype(np.int64), cid[order], band[order] if late else np.full(len(order), -1, np.int32)
             new = np.ones(len(token), bool)  # copies described by several tasks are one
             new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
-            token, cid = token[new], cid[new]
+            token, cid, band = token[new], cid[new], band[new]
             first = np.ones(len(token), bool)
-            first[1:] = token[1:] != token[:-1]
+            first[1:] = (token[1:] != token[:-1]) | (band[1:] != band[:-1])
             begin = np.maximum.accumulate(np.where(first, np.arange(len(token)), 0))
             c = cid[begin]
             if not late:
                 several = ~(first & np.append(first[1:], True))
-                token, cid, c = token[several] + (r << 32), cid[several], c[several]
+                token, cid, c, band = token[several] + (r << 32), cid[several], c[several], band[several]
             for lo in range(0, len(token), 100_000):
                 part = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(cid[part]), pa.array(c[part]), pa.array(np.full(len(token[part]), late))], names=["token", "cid", "c", "late"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[part]), pa.array(cid[part]), pa.array(c[part]), pa.array(band[part])], names=["token", "cid", "c", "band"])
 
-    sent = described.where("h is not null").select("h", "prefix").mapInArrow(tidied(send), "range int, late boolean, tokens binary, classes binary, alone binary")
-    return cut(sent.repartition(ranges, "range").mapInArrow(tidied(meet), "token long, cid long, c long, late boolean"))
+    sent = described.where("h is not null").select("h", "n", "prefix").mapInArrow(tidied(send), "range int, late boolean, tokens binary, classes binary, alone binary, bands binary")
+    return cut(sent.repartition(ranges, "range").mapInArrow(tidied(meet), "token long, cid long, c long, band int"))
 
 
 def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
@@ -248,9 +258,9 @@ def _open_groups(key: tuple, group: pa.Table, t: int) -> pa.Table:
         where = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         common = np.bincount(holder[where], minlength=len(own))
         hit = np.flatnonzero(100 * common >= t * (sizes + len(s) - common))
-        if len(hit):  # the group is connected already: one link joins the query to all of it
+        if len(hit):  # the group is connected already: one link to its name joins the query to all of it
             a.append(ids[q])
-            b.append(ids[own[hit[0]]])
+            b.append(key[0].as_py())
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -266,11 +276,13 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
        sizes a and b must meet in their first a - ceil(percent a) + 1 and b - ... tokens, so only these prefixes matter;
        each travels once, by range of the hash space, and tokens that one class alone holds end there. The list of
        frequent tokens is the one thing broadcast: ``most_frequent`` entries of 4 bytes at the most, the same links whatever it holds.
-    3. In each token's list the classes are held against the first one (a star, not all pairs). A class is compared
+    3. In each token's list the classes are held against the first one (a star, not all pairs), in those of frequent
+       tokens against the first of their band of sizes. A class is compared
        with the ``centres`` it meets most often by whole sets; verified links make the groups of similar texts, in
        blocks of at most ``group`` members. This only finds groups; what it misses, steps 4 and 5 find.
     4. The token-group matrix (token, group) holds the union of each group's prefixes. A text's overlap with a
-       group it is not in is counted in the matrix; if too small for any size in the group, the group stays shut.
+       group it is not in is counted in the matrix; if too small for any size in the group, the group stays shut. What
+       has fewer tokens left in other groups than a link needs is not counted.
     5. Open groups get the text: the union of all their tokens bounds it again, then members are compared.
     6. All links found are joined to components.
 
@@ -309,7 +321,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     described = cut(slim.mapInArrow(tidied(describe), "id long, n long, h long, prefix binary"))
     rows = described.select("id", "n", "h")
     classes = cut(rows.where("h is not null and id is not null").groupBy(F.col("h").alias("k_cid")).agg(F.min("id").alias("k_id"), F.first("n").alias("n")))
-    lists = token_lists(described, hot, bucket)
+    lists = token_lists(described, hot, bucket, percent)
 
     def fits(a: Column, b: Column) -> Column:
         return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -319,10 +331,17 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
         need = F.ceil((a + b) * percent / (100 + percent))
         return need - F.greatest(F.ceil(a * percent / 100), F.ceil(b * percent / 100)) + 1
 
-    # first classes of the lots of one frequent token meet the smallest of them
-    lots = lists.where("late").groupBy("token", "c").agg(F.lit(1).alias("one"))
-    heads = lots.groupBy("token").agg(F.min("c").alias("least"), F.count("*").alias("lots")).where("lots > 1").withColumnRenamed("token", "h_token")
-    across = lots.join(heads, F.col("token") == F.col("h_token")).select(F.col("c").alias("cid"), F.col("least").alias("c"))
+    def enough(n: Column, low: Column, high: Column) -> Column:
+        """What n shares with any fitting size from low to high: both ends and the own size bound every size between.
+
+        One less for rounding, one for two tokens of a range with the same 32 bits.
+        """
+        small, large = F.greatest(low, F.ceil(n * percent / 100)), F.least(high, F.floor(n * 100 / percent))
+        return F.when(small <= large, F.least(least_overlap(n, small), least_overlap(n, large)) - 2)
+
+    # first classes of the lots of one frequent token and band (a lot a task) meet the smallest of them
+    lots = lists.where("band >= 0").groupBy("token", "band").agg(F.collect_set("c").alias("firsts")).where("size(firsts) > 1")
+    across = lots.select(F.explode("firsts").alias("cid"), F.array_min("firsts").alias("c"))
     met = lists.select("cid", "c").unionByName(across).where("cid <> c").groupBy("cid", "c").agg(F.count("*").alias("met"))
     x, y = (classes.select(F.col("k_cid").alias(f"{k}_cid"), F.col("n").alias(f"{k}_n")) for k in "xy")
     met = met.join(x, F.col("cid") == F.col("x_cid")).join(y, F.col("c") == F.col("y_cid")).where(fits(F.col("x_n"), F.col("y_n")) & (F.col("met") * 2 >= least_overlap(F.col("x_n"), F.col("y_n"))))
@@ -379,19 +398,17 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     parts = parts.join(several, F.col("token") == F.col("s_token"), "left_semi")
     big = part.join(classes, F.col("node") == F.col("k_cid")).groupBy(F.col("component").alias("b_part")).agg(F.greatest(F.ceil(F.count("*") / group), F.ceil(F.sum("n") / group_tokens)).alias("blocks")).where("blocks > 1")
     parts = parts.join(small_side(big), F.col("part") == F.col("b_part"), "left")
-    parts = cut(parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block")))
-    matrix = parts.groupBy(F.col("token").alias("m_token"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    # a class can share no more with another part than the tokens it has left (held)
+    held = F.count("*").over(Window.partitionBy("cid"))
+    parts = cut(parts.select("token", "cid", "n", "part", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("block"), held.alias("held")))
+    matrix = parts.groupBy(F.col("token").alias("m_token"), F.col("part").alias("m_part"), F.col("block").alias("m_block")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("held").alias("m_held"))
     bounds = parts.groupBy("part", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     # a pair of parts is tried once, from the larger id
-    met = parts.select("token", "cid", "n", "part").join(matrix, (F.col("token") == F.col("m_token")) & (F.col("m_part") < F.col("part")) & (F.col("low") * percent <= F.col("n") * 100) & (F.col("n") * percent <= F.col("high") * 100))
+    met = parts.select("token", "cid", "n", "part", "held").join(matrix, (F.col("token") == F.col("m_token")) & (F.col("m_part") < F.col("part")) & (F.least("held", "m_held") >= enough(F.col("n"), F.col("low"), F.col("high"))))
     counted = met.groupBy("cid", "n", F.col("m_part").alias("g_part"), F.col("m_block").alias("g_block")).agg(F.count("*").alias("overlap"))
     b = bounds.withColumnsRenamed({"part": "o_part", "block": "o_block"})
     counted = counted.join(b, (F.col("g_part") == F.col("o_part")) & (F.col("g_block") == F.col("o_block")))
-    small = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    large = F.least(F.col("high"), F.floor(F.col("n") * 100 / percent))
-    # both ends and the own size bound every size between; one less for rounding, one for two tokens of a range with the same 32 bits
-    enough = F.least(least_overlap(F.col("n"), small), least_overlap(F.col("n"), large)) - 2
-    opened = cut(counted.where((small <= large) & (F.col("overlap") >= enough)).select("cid", "g_part", "g_block"))
+    opened = cut(counted.where(F.col("overlap") >= enough(F.col("n"), F.col("low"), F.col("high"))).select("cid", "g_part", "g_block"))
 
     inside = member.join(small_side(big), F.col("part") == F.col("b_part"), "left").select(F.col("k_cid").alias("i_cid"), F.col("part").alias("i_part"), F.pmod(F.xxhash64("k_cid"), F.coalesce("blocks", F.lit(1)).cast("long")).alias("i_block"))
     chunks = opened.groupBy(F.col("g_part").alias("c_part"), F.col("g_block").alias("c_block")).agg(F.ceil(F.count("*") / queries).cast("long").alias("chunks"))
@@ -405,7 +422,7 @@ def _similar(docs: DataFrame, doc_id: str, text: str, words: int, percent: int,
     filled = work.join(every, F.col("cid") == F.col("s_cid")).select("g_part", "g_block", "chunk", "member", "cid", "tokens")
     with small_batches(spark, 100):
         late = cut(filled.groupBy("g_part", "g_block", "chunk").applyInArrow(lambda key, g: _open_groups(key, g, percent), "a long, b long"))
-    whole = components(links.unionByName(late))
+    whole = components(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
     label = classes.select("k_cid", "k_id").join(whole, F.col("k_cid") == F.col("node"), "left").select("k_cid", "k_id", F.coalesce("component", "k_cid").alias("component"))
     # classes are named by hashes, components by their smallest document
     smallest = label.groupBy(F.col("component").alias("s_component")).agg(F.min("k_id").alias("label"))

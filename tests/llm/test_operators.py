@@ -187,6 +187,23 @@ def test_jaccard_against_sets(spark, odd, sizes):
     assert jaccard.similar_texts(df.where("false")).count() == 0
 
 
+def test_near_copies_beside_short_quotes_have_a_star(spark, monkeypatch):
+    """Two short texts quote all of a passage but its seam: its near copies are held against one of their own size."""
+    random.seed(5)
+    passage = [f"p{i}" for i in range(150)]
+    rows = [(1, " ".join(passage[:87])), (2, " ".join(passage[87:]))]
+    for i in range(31):
+        w = list(passage)
+        for j in range(1 + (i > 0)):
+            w[random.randrange(10, 140)] = f"u{i}x{j}"
+        rows.append((10 + i, " ".join(w)))
+    stars = []
+    monkeypatch.setattr(jaccard, "components", lambda edges: (stars.append(edges.distinct().count()), components(edges))[1])
+    got = jaccard.similar_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), one_in=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2} | {10 + i: 10 for i in range(31)}
+    assert stars[0] >= 30
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------
 
 
