@@ -51,6 +51,34 @@ def test_sample_without_spread_is_enough(spark, tmp_path):
     assert [tuple(r) for r in got.loc[got.hypothesis == "H5", ["n", "enough"]].itertuples(index=False)] == [(1, True)]
 
 
+def test_which_came_first_needs_both_sides(spark, tmp_path):
+    """A side that never moved, or one bar with both extremes, leaves open which came first; the row stays."""
+    bars = {
+        "flat": [[100], [100], [100]],
+        "rises": [[100], [101], [102]],
+        "falls": [[100], [99], [98]],
+        "same_bar": [[100], [102, 98], [100]],
+        "rise_first": [[100], [102], [98, 102]],
+        "fall_first": [[100], [98], [102, 98]],
+        "alone": [[100]],
+    }
+    tape = [(s, pd.Timestamp("2024-01-02 00:05") + pd.Timedelta(30 * i + k, "min"), float(x)) for s, b in bars.items() for i, px in enumerate(b) for k, x in enumerate(px)]
+    t = pd.DataFrame({"event_id": range(len(tape)), "ts": [r[1] for r in tape], "user_id": 1, "event_type": [r[0] for r in tape], "value": [r[2] for r in tape], "props": "{}"})
+    c = duckdb.connect()
+    c.execute("create table events as select * replace (cast(ts as timestamp) as ts) from t")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = registry.QUERIES["p_oriented"](spark, str(tmp_path)).toPandas(), c.execute(registry.SQL["p_oriented"]).fetchdf()
+    assert rows(got) == rows(want) and len(got) == 2 * sum(map(len, bars.values()))
+    first = got[got.ce == got.ce.min()]
+    assert {(r.symbol, r.direction): None if pd.isna(r.favorable_first) else bool(r.favorable_first) for r in first.itertuples()} == {
+        **{(s, d): None for s in bars for d in ("up", "down")},
+        ("rise_first", "up"): True,
+        ("rise_first", "down"): False,
+        ("fall_first", "up"): False,
+        ("fall_first", "down"): True,
+    }
+
+
 def test_store_holds_whole_runs(spark, tmp_path):
     r = spark.createDataFrame([("A", "2024-01-02", 1, "vwap", 2.5, None), ("A", "2024-01-02", 2, "phase", None, "rth")], "symbol string, session_date string, ce long, feature string, value double, state string")
     folder = str(tmp_path / "store")
